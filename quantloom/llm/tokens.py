@@ -7,10 +7,14 @@ import functools
 import os
 import re
 
+import numpy as np
+
 #: Chunks kept in a worker's memory, and their characters; beyond either the memory is emptied.
 KEPT_CHUNKS, KEPT_CHARS = 700_000, 24_000_000
 #: A space amid white space: only there a cut before the space could change the pre-tokens.
 UNSAFE = re.compile(r"\s \s")
+#: Marks that are cut off a word's end.
+TAIL = ".,;:!?"
 
 
 class ChunkEncoder:
@@ -37,6 +41,8 @@ class ChunkEncoder:
         self.cuts = told.get("normalizer") is None and told.get("post_processor") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
         self.added = [x["content"] for x in told.get("added_tokens", [])]
         self.kept: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        (self.mark,) = self._library(["\n"])
         self.chars = 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -53,18 +59,63 @@ class ChunkEncoder:
         for i, x in zip(firsts, self._library([cut[i][0] for i in firsts]), strict=True):
             out[i] = x
         if len(self.kept) > KEPT_CHUNKS or self.chars > KEPT_CHARS:
-            self.kept, self.chars = {}, 0
-        new: set[str] = set()
-        for i in firsts:
-            new.update(cut[i][1:])
-        missing = [x for x in new if x not in self.kept]
-        self.chars += sum(map(len, missing))
-        self.kept.update(zip(missing, self._library([" " + x for x in missing]), strict=True))
-        get = self.kept.__getitem__
-        for i in firsts:
-            out[i] += b"".join(map(get, cut[i][1:]))
+            self.kept, self.bare, self.chars = {}, {}, 0
+        known = [list(map(self.kept.get, cut[i][1:])) for i in firsts]
+        gaps = [[k for k, x in enumerate(ids) if x is None] if None in ids else [] for ids in known]
+        self._learn({cut[i][k + 1] for i, at in zip(firsts, gaps, strict=True) for k in at})
+        for i, ids, at in zip(firsts, known, gaps, strict=True):
+            chunks = cut[i]
+            for k in at:
+                ids[k] = self.kept[chunks[k + 1]]
+            out[i] += b"".join(ids)
         return out
 
+    def _learn(self, chunks: set[str]) -> None:
+        """Ids of chunks, each after a space.
+
+        Marks of TAIL after a letter or digit are pre-tokens of their own, and so is a line break
+        between visible characters: words without them are encoded once. Chunks with other white
+        space go to the library whole.
+        """
+        kept, words, marked, broken, other = self.kept, set(), [], [], []
+        for x in chunks:
+            if x.isprintable() and x:
+                core = x.rstrip(TAIL)
+                if len(core) < len(x) and core[-1:].isalnum():
+                    marked.append((x, core))
+                    x = core
+                if x not in kept:
+                    words.add(x)
+            elif all(y and y.isprintable() for y in x.split("\n")):
+                broken.append(x)
+            else:
+                other.append(x)
+        self._learn_words(kept, list(words), " ")
+        tails = {x[len(core) :] for x, core in marked}
+        self._learn_words(self.bare, [x for x in tails if x not in self.bare], "")
+        for x, core in marked:
+            kept[x] = kept[core] + self.bare[x[len(core) :]]
+        if broken:
+            parts = [x.split("\n") for x in broken]
+            self._learn({x[0] for x in parts if x[0] not in kept})
+            self._learn_words(self.bare, list({y for x in parts for y in x[1:] if y not in self.bare}), "")
+            for x, (first, *more) in zip(broken, parts, strict=True):
+                kept[x] = self.mark.join([kept[first], *(self.bare[y] for y in more)])
+        kept.update(zip(other, self._library([" " + x for x in other]), strict=True))
+        self.chars += sum(map(len, chunks))
+
+    def _learn_words(self, to: dict[str, bytes], words: list[str], before: str) -> None:
+        """One text of many words, with a line break between them, costs less than many texts: the
+        break's id parts the words."""
+        if len(self.mark) != 4:
+            to.update(zip(words, self._library([before + x for x in words]), strict=True))
+            return
+        for i in range(0, len(words), 5000):
+            some = words[i : i + 5000]
+            (ids,) = self._library([before + f"\n{before}".join(some)])
+            places = 4 * np.flatnonzero(np.frombuffer(ids, "=u4") == np.frombuffer(self.mark, "=u4")[0])
+            to.update((x, ids[a:b]) for x, a, b in zip(some, [0, *(places + 4).tolist()], [*places.tolist(), len(ids)], strict=True))
+
 
 @functools.lru_cache(maxsize=4)
 def chunk_encoder(path: str) -> ChunkEncoder:
