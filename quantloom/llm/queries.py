@@ -32,16 +32,37 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(common.documents(spark, sf_dir))
 
 
+def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.bpe_automaton import encode_report
+
+    return encode_report(common.documents(spark, sf_dir), tokenizer(BYTE_BPE))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.token_counts import token_counts
+
+    return token_counts(common.documents(spark, sf_dir), tokenizer(PIECE_BPE), common.shared_folder(spark, "token-counts"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.quality_rules import quality_rules
 
     return quality_rules(common.documents(spark, sf_dir))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.packing import pack
+
+    return pack(common.documents(spark, sf_dir), tokenizer(BYTE_BPE), end_id=2, capacity=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op4_secret_scan": op4_secret_scan,
+    "op5_bpe_automaton": op5_bpe_automaton,
+    "op6_token_counts": op6_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {

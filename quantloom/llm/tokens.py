@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import functools
+import json
 import os
 import re
 
@@ -17,46 +18,37 @@ UNSAFE = re.compile(r"\s \s")
 TAIL = ".,;:!?"
 
 
-class ChunkEncoder:
-    """Ids of whole texts, as the tokenizers library gives them.
+class ChunkCache:
+    """Ids of whole texts, from the ids of their chunks.
 
     The byte-level pre-tokenizer never joins characters across a cut made before a space, unless
-    white space stands on both sides of that space. So a text is cut before each space and the
-    library encodes each distinct chunk once per worker; texts with such a space, or with an added
-    token inside, go to the library whole.
+    white space stands on both sides of that space. So a text is cut before each space and each
+    distinct chunk is encoded once per worker; texts with such a space, or with an added token
+    inside, are encoded whole. A subclass says how, in `_whole`.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         with open(path, encoding="utf-8") as f:
-            told = json.load(f)
+            self.told = told = json.load(f)
         pre = told.get("pre_tokenizer") or {}
         self.cuts = told.get("normalizer") is None and told.get("post_processor") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
         self.added = [x["content"] for x in told.get("added_tokens", [])]
         self.kept: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
-        (self.mark,) = self._library(["\n"])
         self.chars = 0
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        raise NotImplementedError
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit unsigned integers in the machine's order."""
         cut = [None if not self.cuts or UNSAFE.search(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
         whole = [i for i, x in enumerate(cut) if x is None]
         out: list[bytes] = [b""] * len(texts)
-        for i, x in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+        for i, x in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = x
         firsts = [i for i, x in enumerate(cut) if x is not None]
-        for i, x in zip(firsts, self._library([cut[i][0] for i in firsts]), strict=True):
+        for i, x in zip(firsts, self._whole([cut[i][0] for i in firsts]), strict=True):
             out[i] = x
         if len(self.kept) > KEPT_CHUNKS or self.chars > KEPT_CHARS:
             self.kept, self.bare, self.chars = {}, {}, 0
@@ -75,7 +67,7 @@ class ChunkEncoder:
 
         Marks of TAIL after a letter or digit are pre-tokens of their own, and so is a line break
         between visible characters: words without them are encoded once. Chunks with other white
-        space go to the library whole.
+        space are encoded whole.
         """
         kept, words, marked, broken, other = self.kept, set(), [], [], []
         for x in chunks:
@@ -96,23 +88,44 @@ class ChunkEncoder:
         for x, core in marked:
             kept[x] = kept[core] + self.bare[x[len(core) :]]
         if broken:
+            (mark,) = self._whole(["\n"])
             parts = [x.split("\n") for x in broken]
             self._learn({x[0] for x in parts if x[0] not in kept})
             self._learn_words(self.bare, list({y for x in parts for y in x[1:] if y not in self.bare}), "")
             for x, (first, *more) in zip(broken, parts, strict=True):
-                kept[x] = self.mark.join([kept[first], *(self.bare[y] for y in more)])
-        kept.update(zip(other, self._library([" " + x for x in other]), strict=True))
+                kept[x] = mark.join([kept[first], *(self.bare[y] for y in more)])
+        kept.update(zip(other, self._whole([" " + x for x in other]), strict=True))
         self.chars += sum(map(len, chunks))
 
+    def _learn_words(self, to: dict[str, bytes], words: list[str], before: str) -> None:
+        to.update(zip(words, self._whole([before + x for x in words]), strict=True))
+
+
+class ChunkEncoder(ChunkCache):
+    """With the tokenizers library."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        (self.mark,) = self._whole(["\n"])
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array.array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn_words(self, to: dict[str, bytes], words: list[str], before: str) -> None:
         """One text of many words, with a line break between them, costs less than many texts: the
         break's id parts the words."""
         if len(self.mark) != 4:
-            to.update(zip(words, self._library([before + x for x in words]), strict=True))
+            to.update(zip(words, self._whole([before + x for x in words]), strict=True))
             return
         for i in range(0, len(words), 5000):
             some = words[i : i + 5000]
-            (ids,) = self._library([before + f"\n{before}".join(some)])
+            (ids,) = self._whole([before + f"\n{before}".join(some)])
             places = 4 * np.flatnonzero(np.frombuffer(ids, "=u4") == np.frombuffer(self.mark, "=u4")[0])
             to.update((x, ids[a:b]) for x, a, b in zip(some, [0, *(places + 4).tolist()], [*places.tolist(), len(ids)], strict=True))
 
