@@ -44,6 +44,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.documents(spark, sf_dir), tokenizer(PIECE_BPE), common.shared_folder(spark, "token-counts"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm import language_id
+
+    docs = common.documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.quality_rules import quality_rules
 
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
