@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm import common
-from quantloom.llm.tokens import ChunkCache
+from quantloom.llm.tokens import ChunkCache, byte_letters
 
 #: The pre-tokenizer's pattern of byte-level BPE files. A fixed value.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -20,14 +20,6 @@ START = -1
 NEVER = 1 << 40
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: visible Latin-1 characters
-    stand for themselves, the other bytes, in order, for the characters from 256 on."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(visible)]
-    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class MergeAutomaton:
     """Accepts exactly the token strings that the merges produce.
 

@@ -10,14 +10,22 @@ import re
 
 import numpy as np
 
-#: Chunks kept in a worker's memory, and their characters; beyond either the memory is emptied.
-KEPT_CHUNKS, KEPT_CHARS = 700_000, 24_000_000
+#: Chunks a worker gathers, and their characters, before the older half of its memory is dropped.
+KEPT_CHUNKS, KEPT_CHARS = 600_000, 12_000_000
 #: A space amid white space: only there a cut before the space could change the pre-tokens.
 UNSAFE = re.compile(r"\s \s")
 #: Marks that are cut off a word's end.
 TAIL = ".,;:!?"
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: visible Latin-1 characters
+    stand for themselves, the other bytes, in order, for the characters from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class ChunkCache:
     """Ids of whole texts, from the ids of their chunks.
 
@@ -34,6 +42,7 @@ class ChunkCache:
         self.cuts = told.get("normalizer") is None and told.get("post_processor") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
         self.added = [x["content"] for x in told.get("added_tokens", [])]
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.chars = 0
 
@@ -51,10 +60,15 @@ class ChunkCache:
         for i, x in zip(firsts, self._whole([cut[i][0] for i in firsts]), strict=True):
             out[i] = x
         if len(self.kept) > KEPT_CHUNKS or self.chars > KEPT_CHARS:
-            self.kept, self.bare, self.chars = {}, {}, 0
+            self.older, self.kept, self.bare, self.chars = self.kept, {}, {}, 0
         known = [list(map(self.kept.get, cut[i][1:])) for i in firsts]
         gaps = [[k for k, x in enumerate(ids) if x is None] if None in ids else [] for ids in known]
-        self._learn({cut[i][k + 1] for i, at in zip(firsts, gaps, strict=True) for k in at})
+        new = {cut[i][k + 1] for i, at in zip(firsts, gaps, strict=True) for k in at}
+        if self.older:
+            again = {x: self.older[x] for x in new if x in self.older}
+            self.kept |= again
+            new -= again.keys()
+        self._learn(new)
         for i, ids, at in zip(firsts, known, gaps, strict=True):
             chunks = cut[i]
             for k in at:
@@ -113,18 +127,27 @@ class ChunkEncoder(ChunkCache):
         self.library.no_truncation()
         self.library.no_padding()
         (self.mark,) = self._whole(["\n"])
+        self.model, self.letters = self.library.model, {b: c for c, b in byte_letters().items()}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_words(self, to: dict[str, bytes], words: list[str], before: str) -> None:
-        """One text of many words, with a line break between them, costs less than many texts: the
-        break's id parts the words."""
-        if len(self.mark) != 4:
-            to.update(zip(words, self._whole([before + x for x in words]), strict=True))
-            return
-        for i in range(0, len(words), 5000):
-            some = words[i : i + 5000]
+        """A word of Latin letters is one pre-token, so it goes to the library's model at once. Of the
+        others, one text of many, with a line break between them, costs less than many texts: the
+        break's id parts them."""
+        tokenize, lead, letters = self.model.tokenize, before and self.letters[ord(before)], self.letters
+        others = words
+        if self.cuts:
+            others = []
+            for w in words:
+                if w.isalpha() and (w.isascii() or max(w) < "\u0250"):
+                    spelt = w if w.isascii() else w.encode().decode("latin-1").translate(letters)
+                    to[w] = array.array("I", [t.id for t in tokenize(lead + spelt)]).tobytes()
+                else:
+                    others.append(w)
+        for i in range(0, len(others), 5000):
+            some = others[i : i + 5000]
             (ids,) = self._whole([before + f"\n{before}".join(some)])
             places = 4 * np.flatnonzero(np.frombuffer(ids, "=u4") == np.frombuffer(self.mark, "=u4")[0])
             to.update((x, ids[a:b]) for x, a, b in zip(some, [0, *(places + 4).tolist()], [*places.tolist(), len(ids)], strict=True))
