@@ -51,6 +51,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.jaccard_join import JaccardSettings, jaccard_groups
+
+    return jaccard_groups(common.documents(spark, sf_dir), JaccardSettings(words=3, percent=90))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.quality_rules import quality_rules
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
