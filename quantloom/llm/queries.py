@@ -26,6 +26,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.suffix_dedup import removal_report
+
+    return removal_report(common.documents(spark, sf_dir))
+
+
+def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.embedding_links import embedding_links
+
+    return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.secret_scan import secret_report
 
@@ -71,6 +83,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_embedding_links": op3_embedding_links,
     "op4_secret_scan": op4_secret_scan,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_token_counts": op6_token_counts,
