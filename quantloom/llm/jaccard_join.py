@@ -129,8 +129,8 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def filtered(docs: DataFrame, bloom: np.ndarray, column: str) -> DataFrame:
-    """Rows whose id the filter lets pass: all of the ids it was made of, and a few others."""
+def filtered(docs: DataFrame, bloom: np.ndarray, column: str, inside: bool = True) -> DataFrame:
+    """Rows whose id the filter lets pass, all of the ids it was made of and a few others; or the rest."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +139,7 @@ def filtered(docs: DataFrame, bloom: np.ndarray, column: str) -> DataFrame:
             for k in ("b1", "b2"):
                 bit = batch[k].to_numpy(np.int64)
                 ok &= (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            yield batch[ok].drop(columns=["b1", "b2"])
+            yield batch[ok == inside].drop(columns=["b1", "b2"])
 
     marked = docs.withColumns({f"b{k}": F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(BLOOM_BITS)) for k in (1, 2)})
     return marked.mapInPandas(run, docs.schema)
