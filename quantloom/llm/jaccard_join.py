@@ -92,7 +92,12 @@ def index_entries(values: np.ndarray, frequent: np.ndarray, s: JaccardSettings)
 
 def _keys(docs: DataFrame, summaries: DataFrame, frequent: np.ndarray, s: JaccardSettings) -> DataFrame:
     """key, rep: the smallest document of each distinct set under each of its keys, where a key has two
-    sets or more. Of keys with the same members one is kept."""
+    sets or more. Of keys with the same members one is kept.
+
+    Each entry of the index counts once with the set's size class and once with the next: linked sets
+    have sizes of one class or of two neighbours, so they still meet, and others mostly don't.
+    """
+    narrow = -math.log(min(s.percent, 99) / 100) * 1.001  # a class's width, above the widest of linked sizes
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most frequent_tokens numbers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,7 +107,8 @@ def _keys(docs: DataFrame, summaries: DataFrame, frequent: np.ndarray, s: Jaccar
             values, starts = shingle_sets(batch["text"].tolist(), s.words)
             keys, digest = [], []
             for a, b in zip(starts[:-1], starts[1:], strict=True):
-                keys.append(index_entries(values[a:b], shared.value, s))
+                entries, band = index_entries(values[a:b], shared.value, s), int(math.log(max(1, b - a)) / narrow)
+                keys.append(np.concatenate([mix(entries ^ np.uint64(0x5851F42D4C957F2D * (c + 1) % (1 << 64))) for c in (band, band + 1)]))
                 digest.append(xxhash.xxh3_64_intdigest(values[a:b].tobytes()))
             n = [len(k) for k in keys]
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)

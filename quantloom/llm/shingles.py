@@ -23,7 +23,29 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def slices(texts: list, most: int = 1_000_000) -> list[tuple[int, int]]:
+    """Runs of texts of about `most` characters in all, so that arrays over them stay small."""
+    cuts, n = [0], 0
+    for i, t in enumerate(texts):
+        if n and n + len(t) > most:
+            cuts.append(i)
+            n = 0
+        n += len(t)
+    return list(zip(cuts, [*cuts[1:], len(texts)], strict=True)) if texts else []
+
+
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _shingle_sets(), some texts at a time."""
+    values, starts, at = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for a, b in slices(texts):
+        some, start = _shingle_sets(texts[a:b], words)
+        values.append(some)
+        starts.append(start[1:] + at)
+        at += len(some)
+    return np.concatenate(values), np.concatenate(starts)
+
+
+def _shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts' distinct shingles, as 64-bit hashes in ascending order text by text, and each text's
     start (one more than there are texts).
 
@@ -51,7 +73,7 @@ def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(n_words)])
     few = np.flatnonzero((n_words > 0) & (n_words < words))
     if len(few):
-        short = [mix(np.uint64(len(few) * 0 + n_words[i]) + np.bitwise_xor.reduce(mix(h[first[i] : first[i + 1]] + np.arange(n_words[i], dtype=np.uint64) * BASE)).reshape(1))[0] for i in few]
+        short = [mix(np.uint64(n_words[i]) + np.bitwise_xor.reduce(mix(h[first[i] : first[i + 1]] + np.arange(n_words[i], dtype=np.uint64) * BASE)).reshape(1))[0] for i in few]
         values.append(np.array(short, np.uint64))
         owners.append(few)
     value, own = np.concatenate(values), np.concatenate(owners)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm import common
 from quantloom.llm.jaccard_join import filtered, id_filter
-from quantloom.llm.shingles import BASE, INVERSE, mix, powers
+from quantloom.llm.shingles import BASE, INVERSE, mix, powers, slices
 
 
 @dataclass(frozen=True)
@@ -176,8 +176,8 @@ def _anchor_table(docs: DataFrame, s: SuffixSettings) -> DataFrame:
         for batch in batches:
             texts = [t.encode() for t in batch["text"]]
             uid = batch["uid"].to_numpy(np.int64)
-            for i in range(0, len(texts), 500):
-                some = texts[i : i + 500]
+            for i, end in slices(texts):
+                some = texts[i:end]
                 text, pos, key = anchors(some, s)
                 around = [xxhash.xxh3_64_intdigest(some[t][max(0, p - s.half) : p + s.length], seed=min(p, s.half)) for t, p in zip(text.tolist(), pos.tolist(), strict=True)]
                 yield pd.DataFrame({"key": key.astype(np.int64), "around": np.array(around, np.uint64).astype(np.int64), "uid": uid[i + text], "pos": pos.astype(np.int32)})
