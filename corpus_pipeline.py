@@ -1,7 +1,66 @@
-"""Corpus pipeline (stages follow)."""
-STAGES = []
+"""A corpus from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and is written as
+Parquet before the next one reads it. Stages but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quantloom.llm import common, queries
+from quantloom.llm.jaccard_join import JaccardSettings, drop_near_duplicates
+from quantloom.llm.packing import pack
+from quantloom.llm.quality_rules import keep_quality
+from quantloom.llm.secret_scan import redact
+from quantloom.llm.suffix_dedup import drop_repeated_strings
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules, or whose host does, go."""
+    return keep_quality(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 on five-word shingles, the smallest id stays."""
+    return drop_near_duplicates(docs, JaccardSettings(words=5, percent=80))
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes that occur at two places are cut out at both; every document stays."""
+    return _measured(drop_repeated_strings(docs))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return _measured(redact(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence of at most 1024 tokens and their offset in it."""
+    return pack(docs, queries.tokenizer(queries.BYTE_BPE), end_id=2, capacity=1024)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_strings),
+    ("secret scans", secrets),
+    ("best-fit packing", packing),
+]
+
+#: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for _, stage in STAGES:
+        docs = common.materialise(stage(spark, docs, sf_dir), "stage")
+    return docs
