@@ -24,12 +24,13 @@ class JaccardSettings:
     miss: float = 1e-6  # chance that a linked pair of long texts shares no index entry
     frequent_share: float = 0.002  # of the documents, for a token to count as frequent
     frequent_tokens: int = 20_000  # most of them that are told
+    sketch: int = 64  # first tokens that two sets are compared on before whole sets are
     block: int = 1000  # members of a group that one task compares with one another
 
     @property
     def depth(self) -> int:
         """Tokens of a prefix that are indexed."""
-        return max(2, math.ceil(math.log(self.miss) / math.log(1 - min(self.percent, 99) / 100)))
+        return 3 + max(2, math.ceil(math.log(self.miss) / math.log(1 - min(self.percent, 99) / 100)))
 
 
 def _summaries(docs: DataFrame, s: JaccardSettings) -> DataFrame:
@@ -95,7 +96,9 @@ def _keys(docs: DataFrame, summaries: DataFrame, frequent: np.ndarray, s: Jaccar
     sets or more. Of keys with the same members one is kept.
 
     Each entry of the index counts once with the set's size class and once with the next: linked sets
-    have sizes of one class or of two neighbours, so they still meet, and others mostly don't.
+    have sizes of one class or of two neighbours, so they still meet, and others mostly don't. A set
+    whose prefix is cut shares two tokens or more of it with a linked one, but for the chance
+    `miss`; those that share just one entry with anything are left out, twice.
     """
     narrow = -math.log(min(s.percent, 99) / 100) * 1.001  # a class's width, above the widest of linked sizes
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most frequent_tokens numbers
@@ -105,20 +108,25 @@ def _keys(docs: DataFrame, summaries: DataFrame, frequent: np.ndarray, s: Jaccar
 
         for batch in batches:
             values, starts = shingle_sets(batch["text"].tolist(), s.words)
-            keys, digest = [], []
+            keys, digest, least = [], [], []
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 entries, band = index_entries(values[a:b], shared.value, s), int(math.log(max(1, b - a)) / narrow)
                 keys.append(np.concatenate([mix(entries ^ np.uint64(0x5851F42D4C957F2D * (c + 1) % (1 << 64))) for c in (band, band + 1)]))
                 digest.append(xxhash.xxh3_64_intdigest(values[a:b].tobytes()))
+                least.append(2 if b - a - -(-s.percent * (b - a) // 100) + 1 > s.depth else 1)
             n = [len(k) for k in keys]
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pd.DataFrame({"key": flat.astype(np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(np.int64), n), "d": np.repeat(np.array(digest, np.uint64).astype(np.int64), n)})
+            yield pd.DataFrame({"key": flat.astype(np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(np.int64), n), "d": np.repeat(np.array(digest, np.uint64).astype(np.int64), n), "least": np.repeat(least, n)})
 
-    rows = docs.mapInPandas(run, "key long, doc_id long, d long").groupBy("key", "d").agg(F.min("doc_id").alias("rep"))
+    rows = docs.mapInPandas(run, "key long, doc_id long, d long, least int").groupBy("key", "d").agg(F.min("doc_id").alias("rep"), F.first("least").alias("least"))
     rows = common.materialise(rows, "keys")
+    for _ in range(2):
+        rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "key")
+        enough = rows.groupBy("rep").agg(F.count("*").alias("n"), F.max("least").alias("most")).where("n >= most").select("rep")
+        rows = common.materialise(rows.join(enough, "rep"), "keys-kept")
     members = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.col("rep"), F.lit(1))).alias("xor"))
     chosen = members.where("members > 1").groupBy("members", "sum", "xor").agg(F.min("key").alias("key")).select("key", "members")
-    return rows.select("key", "rep").join(chosen, "key")
+    return rows.select("key", "rep").join(chosen.select("key"), "key")
 
 
 BLOOM_BITS = 1 << 23
@@ -162,18 +170,21 @@ def _unpacked(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _sets(docs: DataFrame, s: JaccardSettings) -> DataFrame:
+def _sets(docs: DataFrame, s: JaccardSettings, first: int | None = None) -> DataFrame:
+    """rep, tokens: the set of each document, or the `first` tokens of it."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values, starts = shingle_sets(batch["text"].tolist(), s.words)
-            yield pd.DataFrame({"rep": batch["doc_id"], "tokens": [_packed(values[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]})
+            ends = starts[1:] if first is None else np.minimum(starts[1:], starts[:-1] + first)
+            yield pd.DataFrame({"rep": batch["doc_id"], "tokens": [_packed(values[a:b]) for a, b in zip(starts[:-1], ends, strict=True)]})
 
     return docs.mapInPandas(run, "rep long, tokens binary")
 
 
-def linked(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> np.ndarray:
-    """Which pairs of sets link, as a matrix. Overlaps are sums of products of membership columns, of
-    the tokens that two sets hold, some thousand columns at a time."""
+def overlaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of all intersections, and of the sets. Sums of products of membership columns, of the
+    tokens that two sets hold, some thousand columns at a time."""
     n = len(sets)
     size = np.array([len(x) for x in sets], np.int64)
     flat, row = np.concatenate(sets), np.repeat(np.arange(n), size)
@@ -181,20 +192,32 @@ def linked(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
     column = np.cumsum(times > 1) - 1
     keep = times[place] > 1
     row, place = row[keep], column[place[keep]]
-    overlap, width = np.zeros((n, n), np.float32), max(64, 4_000_000 // n)
+    out, width = np.zeros((n, n), np.float32), max(64, 4_000_000 // n)
     order = np.argsort(place, kind="stable")
     row, place = row[order], place[order]
     for start in range(0, int(place[-1]) + 1 if len(place) else 0, width):
         a, b = np.searchsorted(place, [start, start + width])
         held = np.zeros((n, min(width, int(place[-1]) + 1 - start)), np.float32)
         held[row[a:b], place[a:b] - start] = 1
-        overlap += held @ held.T
-    shared = overlap.astype(np.int64)
-    out = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
-    np.fill_diagonal(out, False)
-    if sides is not None:
-        out &= sides[:, None] != sides[None, :]
-    return out
+        out += held @ held.T
+    return out.astype(np.int64), size
+
+
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets link, as a matrix."""
+    shared, size = overlaps(sets)
+    return 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+
+
+def least_common(s: JaccardSettings) -> int:
+    """Of the first `sketch` tokens of two linked sets' union, each in both with a chance of `percent`
+    at least, fewer than so many are in both with a chance of `miss` / 10 at most."""
+    p, tail = s.percent / 100, 0.0
+    for k in range(s.sketch + 1):
+        tail += math.comb(s.sketch, k) * p**k * (1 - p) ** (s.sketch - k)
+        if tail > s.miss / 10:
+            return k
+    return s.sketch
 
 
 def forest(match: np.ndarray) -> list[tuple[int, int]]:
@@ -212,38 +235,72 @@ def forest(match: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _verified(keys: DataFrame, sets: DataFrame, s: JaccardSettings) -> DataFrame:
-    """a, b: links within each key's members, enough to connect them as all links would.
+def _by_key(keys: DataFrame, sets: DataFrame, s: JaccardSettings, f, schema: str) -> DataFrame:
+    """f(members, which of their pairs to look at) for the members of every key.
 
     A key with more than a block of members is split into blocks by hash; each pair of blocks is a
     group of its own, so all pairs of members still meet.
     """
-    blocks = F.ceil(F.col("members") / s.block).cast("int")
-    rows = keys.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
+    members = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    rows = keys.join(members, "key").withColumn("blocks", F.ceil(F.col("members") / s.block).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "rep", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(sets, "rep")
     rows = rows.repartition(common.partitions(keys.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def links(group: list) -> list[tuple[int, int]]:
-            if len(group) < 2:
-                return []
-            sides = np.array([r.block for r in group]) if group[0].low != group[0].high else None
-            pairs = forest(linked([_unpacked(r.tokens) for r in group], s.percent, sides))
-            return [(group[i].rep, group[j].rep) for i, j in pairs]
+    def done(group: list) -> pd.DataFrame | None:
+        if len(group) < 2:
+            return None
+        pairs = ~np.eye(len(group), dtype=bool)
+        if group[0].low != group[0].high:
+            side = np.array([r.block for r in group])
+            pairs &= side[:, None] != side[None, :]
+        return f(group, pairs)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, out = [], []
         for batch in batches:
             for r in batch.itertuples(index=False):
                 if group and (r.key, r.low, r.high) != (group[0].key, group[0].low, group[0].high):
-                    out += links(group)
+                    out.append(done(group))
                     group = []
                 group.append(r)
-            yield pd.DataFrame(out, columns=["a", "b"])
+            if found := [x for x in out if x is not None]:
+                yield pd.concat(found)
             out = []
-        yield pd.DataFrame(links(group), columns=["a", "b"])
+        if (last := done(group)) is not None:
+            yield last
+
+    return rows.mapInPandas(run, schema)
+
+
+def _promising(keys: DataFrame, docs: DataFrame, s: JaccardSettings) -> DataFrame:
+    """The keys of sets that have a partner there whose sketch, its first tokens, is like theirs. Sets
+    hardly larger than a sketch all stay."""
+    least, small = least_common(s), math.ceil(s.sketch * 100 / s.percent) + 1
+
+    def f(group: list, pairs: np.ndarray) -> pd.DataFrame:
+        shared, _ = overlaps([_unpacked(r.tokens)[: s.sketch] for r in group])
+        few = np.array([len(r.tokens) // 5 <= small for r in group])
+        good = (pairs & ((shared >= least) | few[:, None] & few[None, :])).any(axis=1)
+        return pd.DataFrame([(r.key, r.rep) for r, ok in zip(group, good, strict=True) if ok], columns=["key", "rep"]).astype("int64")
+
+    return _by_key(keys, _sets(docs, s, small + 1), s, f, "key long, rep long").distinct()
+
+
+def _verified(keys: DataFrame, docs: DataFrame, s: JaccardSettings) -> DataFrame:
+    """a, b: links within each key's members, enough to connect them as all links would."""
+
+    def f(group: list, pairs: np.ndarray) -> pd.DataFrame:
+        found = forest(linked([_unpacked(r.tokens) for r in group], s.percent) & pairs)
+        return pd.DataFrame([(group[i].rep, group[j].rep) for i, j in found], columns=["a", "b"]).astype("int64")
+
+    return _by_key(keys, _sets(docs, s), s, f, "a long, b long")
+
 
-    return rows.mapInPandas(run, "a long, b long")
+def _of(keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents that stand for a set among the keys, and a few others."""
+    return filtered(docs, id_filter(keys, "rep"), "doc_id")
 
 
 def jaccard_groups(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -265,10 +322,8 @@ def jaccard_groups(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     rows = summaries.where("kind = 0").drop("kind")
     frequent = _frequent(summaries, rows.count(), s)
     keys = common.materialise(_keys(docs, summaries, frequent, s), "shared-keys")
-    sets = _sets(filtered(docs, id_filter(keys, "rep"), "doc_id"), s)
-    wanted = keys.select("rep").distinct()
-    sets = sets.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
-    joined = components(_verified(keys, sets, s), "a", "b")
+    keys = common.materialise(_promising(keys, _of(keys, docs), s), "promising-keys")
+    joined = components(_verified(keys, _of(keys, docs), s), "a", "b")
     classes = rows.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"))
     merged = classes.join(joined, classes["rep"] == joined["node"], "left").select("d0", "d1", F.coalesce("component", "rep").alias("component"))
     out = rows.join(merged, ["d0", "d1"], "left")
