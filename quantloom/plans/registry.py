@@ -2,5 +2,16 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quantloom.plans import indicator_queries, market, market_queries, screening_queries
+from quantloom.sources import tables
+from quantloom.streaming import queries as streaming_queries
+
+QUERIES: dict = {"flagship": market.flagship, **indicator_queries.QUERIES, **screening_queries.QUERIES, **market_queries.QUERIES, **streaming_queries.QUERIES}
+
+_W = lambda n: f"CASE WHEN count(close) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN avg(close) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END"
+FLAGSHIP_SQL = f"""WITH {tables.BARS_SQL}, m AS (SELECT *, {_W(5)} AS a5, {_W(20)} AS a20, {_W(60)} AS a60, count(*) OVER (PARTITION BY code) AS rows FROM bars),
+l AS (SELECT *, CASE WHEN rows >= 60 THEN a60 ELSE a20 END AS b60, close / a20 - 1 AS ds FROM m QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1),
+s AS (SELECT *, (rank() OVER (ORDER BY ds) + (count(*) OVER (PARTITION BY ds) - 1) / 2) / count(*) OVER () * 100 AS score FROM l WHERE close > a20)
+SELECT code, date, round(close, 4) AS close, round(a5, 4) AS ma5, round(a20, 4) AS ma20, round(b60, 4) AS ma60, round(score, 4) AS score FROM s ORDER BY s.score DESC, code LIMIT 20"""
+
+ORACLES: dict = {"flagship": FLAGSHIP_SQL, **indicator_queries.ORACLES, **screening_queries.ORACLES, **market_queries.ORACLES, **streaming_queries.ORACLES}
