@@ -238,20 +238,22 @@ def forest(match: np.ndarray) -> list[tuple[int, int]]:
 def _by_key(keys: DataFrame, sets: DataFrame, s: JaccardSettings, f, schema: str) -> DataFrame:
     """f(members, which of their pairs to look at) for the members of every key.
 
-    A key with more than a block of members is split into blocks by hash; each pair of blocks is a
-    group of its own, so all pairs of members still meet.
+    Pairs within one component are settled and left out. A key with more than a block of members is
+    split into blocks by hash; each pair of blocks is a group of its own, so all pairs of members
+    still meet.
     """
     members = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     rows = keys.join(members, "key").withColumn("blocks", F.ceil(F.col("members") / s.block).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "rep", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(sets, "rep")
+    rows = rows.select("key", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(sets, "rep")
     rows = rows.repartition(common.partitions(keys.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
 
     def done(group: list) -> pd.DataFrame | None:
         if len(group) < 2:
             return None
-        pairs = ~np.eye(len(group), dtype=bool)
+        component = np.array([r.component for r in group])
+        pairs = component[:, None] != component[None, :]
         if group[0].low != group[0].high:
             side = np.array([r.block for r in group])
             pairs &= side[:, None] != side[None, :]
@@ -283,9 +285,9 @@ def _promising(keys: DataFrame, docs: DataFrame, s: JaccardSettings) -> DataFram
         shared, _ = overlaps([_unpacked(r.tokens)[: s.sketch] for r in group])
         few = np.array([len(r.tokens) // 5 <= small for r in group])
         good = (pairs & ((shared >= least) | few[:, None] & few[None, :])).any(axis=1)
-        return pd.DataFrame([(r.key, r.rep) for r, ok in zip(group, good, strict=True) if ok], columns=["key", "rep"]).astype("int64")
+        return pd.DataFrame([(r.key, r.rep, r.component) for r, ok in zip(group, good, strict=True) if ok], columns=["key", "rep", "component"]).astype("int64")
 
-    return _by_key(keys, _sets(docs, s, small + 1), s, f, "key long, rep long").distinct()
+    return _by_key(keys, _sets(docs, s, small + 1), s, f, "key long, rep long, component long").distinct()
 
 
 def _verified(keys: DataFrame, docs: DataFrame, s: JaccardSettings) -> DataFrame:
@@ -298,6 +300,40 @@ def _verified(keys: DataFrame, docs: DataFrame, s: JaccardSettings) -> DataFrame
     return _by_key(keys, _sets(docs, s), s, f, "a long, b long")
 
 
+def _unsettled(keys: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """key, rep, component: the rows of keys whose members aren't all of one component."""
+    if joined is None:
+        return keys.withColumn("component", F.col("rep"))
+    rows = keys.join(joined, keys["rep"] == joined["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    spread = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    return rows.join(spread.select("key"), "key")
+
+
+def _one_key(keys: DataFrame, best) -> DataFrame:
+    """Of each set's keys that with the most (best: F.max) or the fewest (F.min) members."""
+    members = keys.groupBy("key").agg(F.count("*").alias("members"))
+    chosen = keys.join(members, "key").groupBy("rep", "component").agg(best(F.struct("members", "key")).alias("best"))
+    return chosen.select("best.key", "rep", "component")
+
+
+def _components(keys: DataFrame, docs: DataFrame, s: JaccardSettings) -> DataFrame:
+    """node, component of the sets that link.
+
+    First each set is compared under its most shared key alone, then under its least shared one. Then
+    all keys follow whose members aren't of one component by then: large groups of near copies, which meet under hundreds
+    of keys, are joined already, and pairs within a component need no comparison.
+    """
+    links = joined = None
+    for best in (F.max, F.min, None):
+        rows = _unsettled(keys, joined)
+        rows = common.materialise(_one_key(rows, best) if best else rows, "open-keys")
+        rows = common.materialise(_promising(rows, _of(rows, docs), s), "promising-keys")
+        found = common.materialise(_verified(rows, _of(rows, docs), s), "links")
+        links = found if links is None else links.union(found)
+        joined = common.materialise(components(links, "a", "b"), "components")
+    return joined
+
+
 def _of(keys: DataFrame, docs: DataFrame) -> DataFrame:
     """The documents that stand for a set among the keys, and a few others."""
     return filtered(docs, id_filter(keys, "rep"), "doc_id")
@@ -322,8 +358,7 @@ def jaccard_groups(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     rows = summaries.where("kind = 0").drop("kind")
     frequent = _frequent(summaries, rows.count(), s)
     keys = common.materialise(_keys(docs, summaries, frequent, s), "shared-keys")
-    keys = common.materialise(_promising(keys, _of(keys, docs), s), "promising-keys")
-    joined = components(_verified(keys, _of(keys, docs), s), "a", "b")
+    joined = _components(keys, docs, s)
     classes = rows.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"))
     merged = classes.join(joined, classes["rep"] == joined["node"], "left").select("d0", "d1", F.coalesce("component", "rep").alias("component"))
     out = rows.join(merged, ["d0", "d1"], "left")
