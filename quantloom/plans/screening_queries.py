@@ -10,10 +10,13 @@ from quantloom.sources import tables
 
 c = F.col
 WEIGHTS = {"value": 0.25, "momentum": 0.25, "liquidity": 0.15, "activity": 0.15, "stability": 0.1, "size": 0.1}
-RULES = [
-    scr.Rule("name", scr.excludes_names("ST|退")), scr.Rule("price_min", c("price") >= 1000), scr.Rule("pe_range", (c("pe_ratio") > 0) & (c("pe_ratio") <= 500)),
-    scr.Rule("turnover_max", c("turnover_rate") <= 15), scr.Rule("regions", c("concepts").isin("ASIA", "EUROPE", "AMERICA")),
-]
+RULE_NAMES = ["name", "price_min", "pe_range", "turnover_max", "regions"]
+
+
+def _rules() -> list[scr.Rule]:
+    """Made when a query runs: columns need a session."""
+    conditions = [scr.excludes_names("ST|退"), c("price") >= 1000, (c("pe_ratio") > 0) & (c("pe_ratio") <= 500), c("turnover_rate") <= 15, c("concepts").isin("ASIA", "EUROPE", "AMERICA")]
+    return [scr.Rule(name, x) for name, x in zip(RULE_NAMES, conditions, strict=True)]
 
 
 def _scored(spark, sf_dir):
@@ -21,8 +24,8 @@ def _scored(spark, sf_dir):
 
 
 QUERIES = {
-    "p1_hard_filters": lambda s, d: rounded(scr.hard_filters(tables.snapshot(s, d), RULES).select("code", "name", "price", "pe_ratio"), 4),
-    "p6_filter_waterfall": lambda s, d: rounded(scr.waterfall(tables.snapshot(s, d), RULES)),
+    "p1_hard_filters": lambda s, d: scr.hard_filters(tables.snapshot(s, d), _rules()).select("code", "name", "price", "pe_ratio"),
+    "p6_filter_waterfall": lambda s, d: rounded(scr.waterfall(tables.snapshot(s, d), _rules())),
     "f1_f7_factor_scores": lambda s, d: rounded(scr.score(tables.snapshot(s, d), dict.fromkeys(scr.FACTORS, 1.0)).select("code", *[f"{f}_score" for f in scr.FACTORS])),
     "f10_r2_r3_candidates": lambda s, d: rounded(scr.candidates(_scored(s, d), WEIGHTS, 20).select("code", "screen_score", "value_score")),
     "f12_risk": lambda s, d: scr.risk(tables.snapshot(s, d)).select("code", "risk_points", "risk_flags", "risk_level"),
@@ -53,8 +56,8 @@ _N = ["count(*) AS n0", *(f"count_if({' AND '.join(_RULES_SQL[: i + 1])}) AS n{i
 _RISK = "CASE WHEN change_pct >= 8 THEN 3 ELSE 0 END + CASE WHEN turnover_rate >= 15 THEN 2 ELSE 0 END + CASE WHEN volume_ratio >= 6 THEN 2 ELSE 0 END + CASE WHEN pe_ratio <= 0 THEN 3 ELSE 0 END + CASE WHEN change_60d <= -35 THEN 2 ELSE 0 END"
 
 ORACLES = {
-    "p1_hard_filters": f"WITH {tables.SNAPSHOT_SQL} SELECT code, name, round(price, 4) AS price, pe_ratio FROM snap WHERE {' AND '.join(_RULES_SQL)}",
-    "p6_filter_waterfall": f"WITH {tables.SNAPSHOT_SQL}, n AS (SELECT {', '.join(_N)} FROM snap), u AS (" + " UNION ALL ".join(f"SELECT {i} AS step, '{r.name}' AS rule, CAST(n{i - 1} AS BIGINT) AS before, CAST(n{i} AS BIGINT) AS after FROM n" for i, r in enumerate(RULES, 1)) + ") SELECT step, rule, before, after, before - after AS removed, round(CASE WHEN before > 0 THEN (before - after) / before * 100 ELSE 0 END, 6) AS removed_pct FROM u",
+    "p1_hard_filters": f"WITH {tables.SNAPSHOT_SQL} SELECT code, name, price, pe_ratio FROM snap WHERE {' AND '.join(_RULES_SQL)}",
+    "p6_filter_waterfall": f"WITH {tables.SNAPSHOT_SQL}, n AS (SELECT {', '.join(_N)} FROM snap), u AS (" + " UNION ALL ".join(f"SELECT {i} AS step, '{r}' AS rule, CAST(n{i - 1} AS BIGINT) AS before, CAST(n{i} AS BIGINT) AS after FROM n" for i, r in enumerate(RULE_NAMES, 1)) + ") SELECT step, rule, before, after, before - after AS removed, round(CASE WHEN before > 0 THEN (before - after) / before * 100 ELSE 0 END, 6) AS removed_pct FROM u",
     "f1_f7_factor_scores": _F + " SELECT code, " + ", ".join(f"round({f}_score, 6) AS {f}_score" for f in scr.FACTORS) + " FROM f",
     "f10_r2_r3_candidates": _SC + " SELECT code, round(screen_score, 6) AS screen_score, round(value_score, 6) AS value_score FROM g ORDER BY g.screen_score DESC, momentum_score DESC, g.value_score DESC, activity_score DESC, liquidity_score DESC, size_score DESC, stability_score DESC, code LIMIT 20",
     "f12_risk": f"WITH {tables.SNAPSHOT_SQL} SELECT code, {_RISK} AS risk_points, concat_ws(',', CASE WHEN change_pct >= 8 THEN 'hot' END, CASE WHEN turnover_rate >= 15 THEN 'turnover' END, CASE WHEN volume_ratio >= 6 THEN 'ratio' END, CASE WHEN pe_ratio <= 0 THEN 'loss' END, CASE WHEN change_60d <= -35 THEN 'fall' END) AS risk_flags, CASE WHEN {_RISK} >= 7.92 THEN 'high' WHEN {_RISK} >= 3.96 THEN 'medium' ELSE 'low' END AS risk_level FROM snap",
