@@ -18,10 +18,11 @@ def ohlc(ticks: DataFrame, width: str = "1 day", late: str = "2 hours", key: str
     return out.select("code", F.col("w.start").alias("start"), "open", "high", "low", "close", "ticks")
 
 
-def alerts(ticks: DataFrame, level: float, cooldown_s: int = 3600, key: str = "user_id", at: str = "ts", price: str = "value") -> DataFrame:
+def alerts(ticks: DataFrame, level: float, cooldown_s: int = 3600, late: str = "2 hours", key: str = "user_id", at: str = "ts", price: str = "value") -> DataFrame:
     """A row when a key's price rises above the level from it or below, at most one per cool-down.
 
-    State per key: the last price and the end of its cool-down; it goes when a key is silent for a day.
+    State per key: the last price and the end of its cool-down; it goes when a key is silent for a day
+    of event time.
     """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -38,8 +39,8 @@ def alerts(ticks: DataFrame, level: float, cooldown_s: int = 3600, key: str = "u
                 until = s + cooldown_s
             last = x
         state.update((float(last), float(until)))
-        state.setTimeoutDuration(86_400_000)
+        state.setTimeoutTimestamp(max(int(rows[at].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 86_400_000)
         yield pd.DataFrame(found, columns=["code", "at", "price"])
 
-    t = ticks.withColumn(at, F.col(at).cast("timestamp")).select(key, at, price, "event_id")
-    return t.groupBy(key).applyInPandasWithState(run, "code long, at timestamp, price double", "last double, until double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    t = ticks.withColumn(at, F.col(at).cast("timestamp")).select(key, at, price, "event_id").withWatermark(at, late)
+    return t.groupBy(key).applyInPandasWithState(run, "code long, at timestamp, price double", "last double, until double", "append", GroupStateTimeout.EventTimeTimeout)
