@@ -50,7 +50,7 @@ def _summaries(docs: DataFrame, s: JaccardSettings) -> DataFrame:
             all_tokens, place = np.unique(np.concatenate([tokens, values]), return_inverse=True)
             counts = np.bincount(place, np.concatenate([counts, np.ones(len(values), np.int64)])).astype(np.int64)
             tokens = all_tokens
-            if len(tokens) > 3_000_000:
+            if len(tokens) > 1_000_000:
                 tokens, counts = tokens[counts > 1], counts[counts > 1]
         top = counts >= max(3, s.frequent_share * n_docs)
         order = np.argsort(-counts[top])[: s.frequent_tokens]
