@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quantloom.llm import common
 from quantloom.llm.jaccard_join import filtered, id_filter
@@ -319,5 +320,6 @@ def drop_repeated_strings(docs: DataFrame, settings: SuffixSettings = SuffixSett
         text = [None if gone else _kept(t, x).decode("utf-8", "ignore") if x else t for t, x, gone in zip(batch["text"], runs, batch["absent"], strict=True)]
         return pd.DataFrame({"row": batch["row"], "text": text})
 
-    out = _cut(inner, settings, make, inner.select("row", "text").schema)
+    schema = StructType([inner.schema["row"], StructField("text", StringType())])  # null texts come back null
+    out = _cut(inner, settings, make, schema)
     return out.select(*[F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns])
