@@ -37,7 +37,7 @@ def _ewm(values: str, alpha: str) -> str:
 def _adjust(spark, sf_dir):
     df = tables.daily_bars(spark, sf_dir)
     factors = df.where(F.dayofmonth("date") == 1).select("code", "date", (1 + F.dayofyear("date") / 1000).alias("factor"))
-    return rounded(ind.adjusted(df, factors).select(*KEY, "close", "factor"), 4)
+    return rounded(ind.adjusted(df, factors).select(*KEY, "close", "factor"), 8)
 
 
 QUERIES = {
@@ -129,5 +129,5 @@ ORACLES = {
     "w33_w36_point_in_time": W + f", t AS (SELECT *, {LAG} AS p, CASE WHEN {LAG} IS NULL THEN high - low ELSE {_TR} END AS tr FROM bars) SELECT code, date, round(close / p - 1, 6) AS return_1d, round({_full('avg', 'amount', 20)}, 6) AS adv20, round(({_full('stddev_pop', 'close', 20)}) / ({_MA(20)}), 6) AS variation_20, round({_full('avg', 'tr', 14)}, 6) AS atr14 FROM t",
     "w49_adjusted_prices": B + """, f AS (SELECT code, date, 1 + dayofyear(date) / 1000 AS factor FROM bars WHERE day(date) = 1), m AS (SELECT code, arg_max(factor, date) AS latest FROM f GROUP BY code),
       j AS (SELECT b.code, b.date, b.close, coalesce(first_value(f.factor IGNORE NULLS) OVER (PARTITION BY b.code ORDER BY b.date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS factor FROM bars b LEFT JOIN f ON b.code = f.code AND b.date = f.date)
-      SELECT j.code, date, round(close * (factor / coalesce(latest, 1)), 4) AS close, round(factor / coalesce(latest, 1), 4) AS factor FROM j LEFT JOIN m ON j.code = m.code""",
+      SELECT j.code, date, round(close * (factor / coalesce(latest, 1)), 8) AS close, round(factor / coalesce(latest, 1), 8) AS factor FROM j LEFT JOIN m ON j.code = m.code""",
 }
