@@ -14,7 +14,10 @@ from quantloom.llm.jaccard_join import JaccardSettings, drop_near_duplicates
 from quantloom.llm.packing import pack
 from quantloom.llm.quality_rules import keep_quality
 from quantloom.llm.secret_scan import redact
-from quantloom.llm.suffix_dedup import drop_repeated_strings
+from quantloom.llm.suffix_dedup import SuffixSettings, drop_repeated_strings
+
+#: Repeats of over 50 words are cut, however short the words; op2's length in bytes is its own.
+PASSAGES = SuffixSettings(words=51)
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -33,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur at two places are cut out at both; every document stays."""
-    return _measured(drop_repeated_strings(docs))
+    """Passages of over 50 words that occur at two places are cut out at both; every document stays."""
+    return _measured(drop_repeated_strings(docs, PASSAGES))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,11 +5,15 @@ smallest hash; equal strings hold it at the same place. So only suffixes that be
 are compared, and only those whose anchor string occurs again. Around an anchor, half a length on
 each side decides which strings through it occur twice: members with equal surroundings settle each
 other by count alone; of the others one for each surrounding is sorted.
+
+Passages told by words go the same way: each word stands as WIDTH bytes of its hash, so a number of
+words is a number of bytes, however short the words are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,15 +28,46 @@ from quantloom.llm.jaccard_join import filtered, id_filter
 from quantloom.llm.shingles import BASE, INVERSE, mix, powers, slices
 
 
+#: Bytes of a word's hash.
+WIDTH = 8
+#: Characters of scripts written without spaces; each counts as a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff"
+ALONE, WORD = re.compile(f"[{UNSPACED}]"), re.compile(rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+")
+
+
 @dataclass(frozen=True)
 class SuffixSettings:
     length: int = 400  # even
     block: int = 20_000  # suffixes of one anchor string that a task sorts at once
+    words: int | None = None  # if given, passages of so many words are told, in place of `length` bytes
+
+    def __post_init__(self) -> None:
+        if self.words is not None:
+            object.__setattr__(self, "length", WIDTH * self.words)
 
     @property
     def half(self) -> int:
         return self.length // 2
 
+    def coded(self, text: str) -> bytes:
+        """The bytes that are compared: the text's own, or its words' hashes."""
+        if self.words is None:
+            return text.encode()
+        import xxhash
+
+        found = WORD.findall(text) if not text.isascii() and ALONE.search(text) else text.encode().split()
+        return b"".join(map(xxhash.xxh3_64_digest, found))
+
+    def removed(self, text: str, spans) -> list[tuple[int, int]]:
+        """Runs of the text's own bytes for spans of coded(). Of a word, all bytes are in a span or it
+        stays: parts of it can only agree by chance. The white space after a word goes with it."""
+        if self.words is None:
+            return merged(spans, len(text.encode()))
+        places = [m.span() for m in WORD.finditer(text)]
+        whole = merged([{"start": -(-x["start"] // WIDTH), "stop": x["stop"] // WIDTH} for x in spans], len(places))
+        ends = [(places[a][0], places[b][0] if b < len(places) else places[-1][1]) for a, b in whole]
+        return [(len(text[:a].encode()), len(text[:b].encode())) for a, b in ends]
+
 
 def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     """best of x[i : i + width] for each i, by doubling."""
@@ -175,7 +210,7 @@ def _anchor_table(docs: DataFrame, s: SuffixSettings) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            texts = [t.encode() for t in batch["text"]]
+            texts = [s.coded(t) for t in batch["text"]]
             uid = batch["uid"].to_numpy(np.int64)
             for i, end in slices(texts):
                 some = texts[i:end]
@@ -196,7 +231,7 @@ def _sorted_extents(suffixes: DataFrame, docs: DataFrame, s: SuffixSettings) ->
         for batch in batches:
             rows = []
             for uid, text, at in zip(batch["uid"], batch["text"], batch["at"], strict=True):
-                data = text.encode()
+                data = s.coded(text)
                 for x in at:
                     p = x["pos"]
                     around = (uid, p, x["single"], data[max(0, p - half) : p][::-1], data[p : p + s.length])
@@ -269,7 +304,7 @@ def _cut(docs: DataFrame, s: SuffixSettings, make, schema) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield make(batch, [merged(x, len(t.encode())) if x is not None and len(x) else [] for t, x in zip(batch["text"], batch["spans"], strict=True)])
+            yield make(batch, [s.removed(t, x) if x is not None and len(x) else [] for t, x in zip(batch["text"], batch["spans"], strict=True)])
 
     none = F.lit(None).cast("array<struct<start: bigint, stop: bigint>>")
     kept = filtered(docs, bloom, "uid", inside=False).withColumn("spans", none)
@@ -295,7 +330,8 @@ def removal_report(docs: DataFrame, settings: SuffixSettings = SuffixSettings(),
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Every byte is removed that lies in a string of `length` bytes found at another place too, in the
-    same text or another; places are judged on the input. Null texts count as empty. Rows that
+    same text or another; places are judged on the input. With `words` set it is whole words that are
+    removed, those in a passage of so many found at another place. Null texts count as empty. Rows that
     repeat an id are told apart by their text; equal rows are copies of one another. Other columns
     are ignored.
     """
