@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import common, queries
-from quantloom.llm.jaccard_join import JaccardSettings, drop_near_duplicates
+from quantloom.llm.jaccard_join import JaccardSettings, keep_one_of_each
 from quantloom.llm.packing import pack
 from quantloom.llm.quality_rules import keep_quality
 from quantloom.llm.secret_scan import redact
@@ -31,8 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 on five-word shingles, the smallest id stays."""
-    return drop_near_duplicates(docs, JaccardSettings(words=5, percent=80))
+    """Of each group linked by a Jaccard similarity of 0.8 on five-word shingles, one row stays, that of
+    the smallest id; repeated rows and rows without an id are members like others."""
+    return keep_one_of_each(docs, JaccardSettings(words=5, percent=80))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -371,3 +371,20 @@ def drop_near_duplicates(docs: DataFrame, settings: JaccardSettings = JaccardSet
     groups = jaccard_groups(docs, settings, id_column, text_column)
     gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_column] == gone["__gone"], "left_anti")
+
+
+def keep_one_of_each(docs: DataFrame, settings: JaccardSettings = JaccardSettings(words=5, percent=80), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group of linked rows, all columns: that of the smallest id, null ids last.
+
+    Rows are told apart by a key of their own, not by their id: repeated rows and copies without an id
+    are compared as all others, and unlinked texts under one id both stay. Rows without shingles are
+    groups of their own.
+    """
+    row = "__row"
+    docs = common.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")  # written once: the key stays
+    groups = jaccard_groups(docs.select(row, text_column), settings, row, text_column).select(F.col("doc_id").alias(row), "component_id")
+    groups = common.materialise(groups.join(docs.select(row, F.col(id_column).alias("__id")), row), "row-groups")
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", row)).alias("first")
+    shared = groups.groupBy("component_id").agg(F.count("*").alias("n"), first).where("n > 1").select("component_id", F.col(f"first.{row}").alias("__first"))
+    gone = groups.join(shared, "component_id").where(F.col(row) != F.col("__first")).select(row)
+    return docs.join(gone, row, "left_anti").drop(row)
