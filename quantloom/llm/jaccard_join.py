@@ -1,8 +1,20 @@
-"""Operator 8: Jaccard self-join on word shingles with token-combination prefixes."""
+"""Operator 8: Jaccard self-join on word shingles with token-combination prefixes.
+
+Tokens are shingle hashes in one global order: rare ones first, then frequent and very frequent ones,
+each class by hash. Let a set have n tokens and share at least `least` of them with any linked set. The
+i-th of the tokens that two linked sets share, in that order, is then one of the first
+n - least + i tokens of both: the prefix, extended by i - 1. So each linked pair meets under its first shared
+token if that one is rare, under its first two if the first is frequent, and under its first three if
+that one is very frequent; these combinations are the index keys.
+
+A key's members are compared with one pivot at a time, the member nearest to the common part of the group, and members of
+one component aren't compared any more: a group of copies costs one comparison for each member. What is still open after a few
+pivots is compared pair by pair. Comparisons are made on the words themselves.
+"""
 
 from __future__ import annotations
 
-import math
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -14,28 +26,43 @@ from pyspark.sql import functions as F
 
 from quantloom.llm import common
 from quantloom.llm.components import components
-from quantloom.llm.shingles import mix, shingle_sets
+from quantloom.llm.shingles import FOLD, mix, shingle_sets
 
 
 @dataclass(frozen=True)
 class JaccardSettings:
     words: int = 3
     percent: int = 90  # two sets link when 100 * intersection >= percent * union
-    miss: float = 1e-6  # chance that a linked pair of long texts shares no index entry
-    frequent_share: float = 0.002  # of the documents, for a token to count as frequent
-    frequent_tokens: int = 20_000  # most of them that are told
-    sketch: int = 64  # first tokens that two sets are compared on before whole sets are
-    block: int = 1000  # members of a group that one task compares with one another
-
-    @property
-    def depth(self) -> int:
-        """Tokens of a prefix that are indexed."""
-        return 3 + max(2, math.ceil(math.log(self.miss) / math.log(1 - min(self.percent, 99) / 100)))
+    frequent_share: float = 0.0002  # of the documents, for a token to count as frequent
+    very_share: float = 0.002  # for a very frequent one
+    least_frequent: int = 8  # sets that hold it, whatever the share
+    least_very: int = 64
+    frequent_tokens: int = 100_000  # most of them that are told; the choice only affects speed
+    triples: int = 12  # longest prefix whose very frequent tokens are indexed in threes
+    pairs: int = 40  # longest prefix whose frequent tokens are indexed in twos; beyond, all are keys alone
+    pivots: int = 3  # of a key, before what is left is compared pair by pair
+    block: int = 20_000  # members of a key that one task pairs with one another
+    chunk: int = 128  # texts that one task compares with the same other text
+
+    def least(self, n: int) -> int:
+        """Tokens that a set of n shares with a linked one, at least."""
+        return -(-self.percent * n // 100)
+
+    def level(self, n: int) -> int:
+        """Tokens of a combination of very frequent ones, for sets of n tokens."""
+        take = n - self.least(n) + 1
+        return max(1, min(3 if take <= self.triples else 2 if take <= self.pairs else 1, self.least(n)))
+
+    def levels(self, n: int) -> tuple[int, ...]:
+        """Those under which a set of n tokens can meet a linked one: a pair uses the lower of its two."""
+        if self.level(n) == 1 and n - self.least(n) + 1 > self.pairs:
+            return (1,)
+        return tuple(sorted({min(self.level(n), self.level(m)) for m in range(max(1, self.least(n)), 100 * n // self.percent + 1)}))
 
 
 def _summaries(docs: DataFrame, s: JaccardSettings) -> DataFrame:
-    """kind 0: doc_id, set size, digest of the set. kind 1: token, how many sets of a task hold it, for
-    the tokens that a fair share of the task's documents hold."""
+    """kind 0: node, doc_id, set size, digest of the set. kind 1: token, how many sets of a task hold it,
+    for the tokens that a fair share of the task's documents hold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -44,7 +71,7 @@ def _summaries(docs: DataFrame, s: JaccardSettings) -> DataFrame:
         for batch in batches:
             values, starts = shingle_sets(batch["text"].tolist(), s.words)
             digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(values[a:b].tobytes()), "<i8") for a, b in zip(starts[:-1], starts[1:], strict=True)]).reshape(-1, 2)
-            yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"], "n": np.diff(starts), "d0": digests[:, 0], "d1": digests[:, 1]})
+            yield pd.DataFrame({"kind": 0, "node": batch["node"], "doc_id": batch["id"].astype("Int64").where(batch["known"]), "n": np.diff(starts), "d0": digests[:, 0], "d1": digests[:, 1]})
             n_docs += len(batch)
             # Running counts of this task; when they grow large the rarest go, as in a frequency sketch.
             all_tokens, place = np.unique(np.concatenate([tokens, values]), return_inverse=True)
@@ -52,81 +79,120 @@ def _summaries(docs: DataFrame, s: JaccardSettings) -> DataFrame:
             tokens = all_tokens
             if len(tokens) > 1_000_000:
                 tokens, counts = tokens[counts > 1], counts[counts > 1]
-        top = counts >= max(3, s.frequent_share * n_docs)
-        order = np.argsort(-counts[top])[: s.frequent_tokens]
-        yield pd.DataFrame({"kind": 1, "doc_id": tokens[top][order].astype(np.int64), "n": counts[top][order], "d0": 0, "d1": 0})
-
-    return docs.mapInPandas(run, "kind int, doc_id long, n long, d0 long, d1 long")
-
-
-def _frequent(summaries: DataFrame, n_docs: int, s: JaccardSettings) -> np.ndarray:
-    """At most `frequent_tokens` tokens, ascending. Any choice is right; they only decide which tokens are indexed in pairs."""
-    rows = summaries.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, s.frequent_share * n_docs))
-    found = rows.orderBy(F.desc("n"), "doc_id").limit(s.frequent_tokens).select("doc_id").collect()
-    return np.sort(np.array([r[0] for r in found], np.int64).astype(np.uint64))
-
-
-def index_entries(values: np.ndarray, frequent: np.ndarray, s: JaccardSettings) -> np.ndarray:
-    """Index keys of one set, whose tokens are in the order of their hashes.
-
-    A prefix of n - ceil(percent * n / 100) + 1 tokens meets that of any linked set. It is extended
-    by two tokens if it holds frequent ones: then linked sets share a rare token of their prefixes,
-    which is a key alone, or two frequent ones, whose pair is a key. Beyond `depth` tokens a prefix
-    is cut: as the order is that of a hash, each of its tokens is shared with a chance of `percent`.
-    """
-    n = len(values)
-    least = -(-s.percent * n // 100)
-    take = min(n - least + 1, s.depth)
-    if not n or not len(frequent):
-        return values[:take]
-    at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
-    often = frequent[at] == values
-    n_often = np.cumsum(often)
-    reached = np.flatnonzero(np.arange(1, n + 1) - np.minimum(n_often, 2) >= take) if often[:take].any() else [take - 1]
-    end = int(reached[0]) + 1 if len(reached) else n
-    rare, more = values[:end][~often[:end]], values[:end][often[:end]]
-    pairs = np.array(list(combinations(more.tolist(), 2)), np.uint64).reshape(-1, 2)
-    keys = mix(pairs[:, 0] * np.uint64(3) + mix(pairs[:, 1]))
-    # Where one shared token can be enough, frequent ones are keys alone as well.
-    return np.concatenate([rare, keys] + ([mix(more + np.uint64(1))] if least < 2 else []))
-
-
-def _keys(docs: DataFrame, summaries: DataFrame, frequent: np.ndarray, s: JaccardSettings) -> DataFrame:
-    """key, rep: the smallest document of each distinct set under each of its keys, where a key has two
-    sets or more. Of keys with the same members one is kept.
-
-    Each entry of the index counts once with the set's size class and once with the next: linked sets
-    have sizes of one class or of two neighbours, so they still meet, and others mostly don't. A set
-    whose prefix is cut shares two tokens or more of it with a linked one, but for the chance
-    `miss`; those that share just one entry with anything are left out, twice.
-    """
-    narrow = -math.log(min(s.percent, 99) / 100) * 1.001  # a class's width, above the widest of linked sizes
+        top = counts >= max(min(3, s.least_frequent), s.frequent_share * n_docs)
+        order = np.argsort(-counts[top], kind="stable")[: s.frequent_tokens]
+        yield pd.DataFrame({"kind": 1, "node": tokens[top][order].astype(np.int64), "doc_id": pd.array([None] * len(order), "Int64"), "n": counts[top][order], "d0": 0, "d1": 0})
+
+    ids = docs.select("node", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNotNull().alias("known"), "text")
+    return ids.mapInPandas(run, "kind int, node long, doc_id long, n long, d0 long, d1 long")
+
+
+def _frequent(summaries: DataFrame, n_docs: int, s: JaccardSettings) -> tuple[np.ndarray, np.ndarray]:
+    """At most `frequent_tokens` tokens, ascending, and which of them are very frequent. Any choice gives
+    the same links."""
+    rows = summaries.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= max(s.least_frequent, s.frequent_share * n_docs))
+    found = rows.orderBy(F.desc("n"), "node").limit(s.frequent_tokens).select("node", "n").collect()
+    tokens = np.array([r[0] for r in found], np.int64).astype(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.array([r[1] for r in found], np.int64)[order] >= max(s.least_very, s.very_share * n_docs)
+
+
+@functools.lru_cache(maxsize=64)
+def _triples(n: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3)
+
+
+def combined_keys(values: np.ndarray, kind: np.ndarray, s: JaccardSettings) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of one set in the global order, whose prefix holds frequent tokens (kind 1, or 2 if very
+    frequent), and for each the number of tokens before its last one that are not in the key."""
+    n, least = len(values), s.least(len(values))
+    take = n - least + 1
+    rare = np.flatnonzero(kind[:take] == 0)
+    keys, places = [values[rare]], [rare]
+    first = len(rare)  # the tokens from here on are frequent
+    for level in s.levels(n):
+        if level == 1:
+            at = np.arange(first, take)
+            keys.append(mix(values[at] + np.uint64(1)))
+            places.append(at)
+            continue
+        i, j = np.triu_indices(min(n, take + 1) - first, 1)
+        i, j = i + first, j + first
+        ok = (i < take) & ((kind[i] == 1) | (level == 2))
+        i, j = i[ok], j[ok]
+        keys.append(mix(values[i] * np.uint64(3) + mix(values[j])))
+        places.append(j - 1)
+        if level == 3:
+            very = max(first, int(np.searchsorted(kind, 2)))
+            i, j, k = _triples(max(0, min(n, take + 2) - very)).T + very
+            ok = (i < take) & (j < take + 1)
+            i, j, k = i[ok], j[ok], k[ok]
+            keys.append(mix(values[i] * np.uint64(5) + mix(values[j] * np.uint64(3) + mix(values[k]))))
+            places.append(k - 2)
+    keys, places = np.concatenate(keys), np.concatenate(places)
+    keys, at = np.unique(keys, return_index=True)
+    return keys, places[at]
+
+
+def index_rows(values: np.ndarray, starts: np.ndarray, frequent: np.ndarray, very: np.ndarray, s: JaccardSettings) -> tuple[np.ndarray, ...]:
+    """set number, key, place (see combined_keys) and number of rare tokens in the prefix, for some sets."""
+    n = np.diff(starts)
+    own = np.repeat(np.arange(len(n)), n)
+    take = n - -(-s.percent * n // 100) + 1
+    kind = np.zeros(len(values), np.int8)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
+        hit = frequent[at] == values
+        kind[hit] = 1 + very[at[hit]]
+    rare = kind == 0
+    count = np.concatenate([[0], np.cumsum(rare)])
+    nth = count[:-1] - count[starts[:-1]][own]  # rare tokens before it in its set
+    rares = count[starts[1:]] - count[starts[:-1]]
+    easy = rares >= take  # nearly all: the prefix is all rare
+    pick = np.flatnonzero(rare & easy[own] & (nth < take[own]))
+    sets, keys, places = [own[pick]], [values[pick]], [nth[pick]]
+    for i in np.flatnonzero(~easy & (n > 0)):
+        v, c = values[starts[i] : starts[i + 1]], kind[starts[i] : starts[i + 1]]
+        order = np.argsort(c, kind="stable")
+        k, p = combined_keys(v[order], c[order], s)
+        sets.append(np.full(len(k), i))
+        keys.append(k)
+        places.append(p)
+    sets = np.concatenate(sets)
+    return sets, np.concatenate(keys), np.concatenate(places), np.minimum(rares, take)[sets]
+
+
+def _index(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], s: JaccardSettings) -> DataFrame:
+    """key, d (digest of the set), node, n, place, rares: the whole index. A task indexes equal sets once."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most frequent_tokens numbers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        seen: set[int] = set()
         for batch in batches:
             values, starts = shingle_sets(batch["text"].tolist(), s.words)
-            keys, digest, least = [], [], []
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                entries, band = index_entries(values[a:b], shared.value, s), int(math.log(max(1, b - a)) / narrow)
-                keys.append(np.concatenate([mix(entries ^ np.uint64(0x5851F42D4C957F2D * (c + 1) % (1 << 64))) for c in (band, band + 1)]))
-                digest.append(xxhash.xxh3_64_intdigest(values[a:b].tobytes()))
-                least.append(2 if b - a - -(-s.percent * (b - a) // 100) + 1 > s.depth else 1)
-            n = [len(k) for k in keys]
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pd.DataFrame({"key": flat.astype(np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(np.int64), n), "d": np.repeat(np.array(digest, np.uint64).astype(np.int64), n), "least": np.repeat(least, n)})
-
-    rows = docs.mapInPandas(run, "key long, doc_id long, d long, least int").groupBy("key", "d").agg(F.min("doc_id").alias("rep"), F.first("least").alias("least"))
-    rows = common.materialise(rows, "keys")
-    for _ in range(2):
-        rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "key")
-        enough = rows.groupBy("rep").agg(F.count("*").alias("n"), F.max("least").alias("most")).where("n >= most").select("rep")
-        rows = common.materialise(rows.join(enough, "rep"), "keys-kept")
-    members = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.col("rep"), F.lit(1))).alias("xor"))
-    chosen = members.where("members > 1").groupBy("members", "sum", "xor").agg(F.min("key").alias("key")).select("key", "members")
-    return rows.select("key", "rep").join(chosen.select("key"), "key")
+            digests = [xxhash.xxh3_64_intdigest(values[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            seen = seen if len(seen) < 100_000 else set()
+            new = np.zeros(len(batch), bool)
+            for i, d in enumerate(digests):
+                if d not in seen:
+                    seen.add(d)
+                    new[i] = True
+            sets, keys, places, rares = index_rows(values, starts, *shared.value, s)
+            keep = new[sets]
+            sets = sets[keep]
+            d, node = np.array(digests, np.uint64).astype(np.int64), batch["node"].to_numpy(np.int64)
+            yield pd.DataFrame({"key": keys[keep].astype(np.int64), "d": d[sets], "node": node[sets], "n": np.diff(starts)[sets].astype(np.int32), "place": places[keep].astype(np.int32), "rares": rares[keep].astype(np.int32)})
+
+    return docs.select("node", "text").mapInPandas(run, "key long, d long, node long, n int, place int, rares int")
+
+
+def _shared_keys(index: DataFrame) -> DataFrame:
+    """key, node, n, place, rares where a key has two sets or more; one node for each set."""
+    several = index.groupBy("key").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a <> b").select("key")
+    rows = index.join(several, "key").groupBy("key", "d").agg(F.min("node").alias("node"), *(F.first(c).alias(c) for c in ("n", "place", "rares")))
+    return rows.drop("d")
 
 
 BLOOM_BITS = 1 << 23
@@ -159,210 +225,151 @@ def filtered(docs: DataFrame, bloom: np.ndarray, column: str, inside: bool = Tru
     return marked.mapInPandas(run, docs.schema)
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """The upper 40 bits of each token, 5 bytes each."""
-    return np.ascontiguousarray((values >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def word_shingles(text: str, words: int) -> set:
+    """The set itself, of tuples of words."""
+    w = text.encode().translate(FOLD).split()
+    return set(zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else {tuple(w)} if w else set()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
-
-
-def _sets(docs: DataFrame, s: JaccardSettings, first: int | None = None) -> DataFrame:
-    """rep, tokens: the set of each document, or the `first` tokens of it."""
+def _verified(pairs: DataFrame, docs: DataFrame, s: JaccardSettings) -> DataFrame:
+    """a, b of the pairs that link. Of pairs with the same a, `chunk` at a time follow its text in one
+    group, so a task holds two sets, and an a with very many partners is split."""
+    spark = pairs.sparkSession
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = filtered(docs.select("node", "text"), id_filter(nodes, "node"), "node")
+    # Rows of one node are copies; told apart by a second hash, two texts under one hash would both be compared.
+    texts = common.materialise(texts.join(nodes, "node").withColumn("check", F.xxhash64("text", F.lit(1))).dropDuplicates(["node", "check"]).drop("check"), "texts")
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / s.chunk).alias("chunks"))
+    pairs = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
+    firsts = pairs.select("a", "chunk").distinct().join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "chunk", F.lit(0).cast("long").alias("b"), F.lit(True).alias("first"), "text")
+    others = pairs.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "chunk", "b", F.lit(False).alias("first"), "text")
+    rows = firsts.union(others).repartition(common.partitions(spark), "a", "chunk").sortWithinPartitions("a", "chunk", F.desc("first"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, firsts = None, []
         for batch in batches:
-            values, starts = shingle_sets(batch["text"].tolist(), s.words)
-            ends = starts[1:] if first is None else np.minimum(starts[1:], starts[:-1] + first)
-            yield pd.DataFrame({"rep": batch["doc_id"], "tokens": [_packed(values[a:b]) for a, b in zip(starts[:-1], ends, strict=True)]})
-
-    return docs.mapInPandas(run, "rep long, tokens binary")
-
-
-def overlaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of all intersections, and of the sets. Sums of products of membership columns, of the
-    tokens that two sets hold, some thousand columns at a time."""
-    n = len(sets)
-    size = np.array([len(x) for x in sets], np.int64)
-    flat, row = np.concatenate(sets), np.repeat(np.arange(n), size)
-    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
-    column = np.cumsum(times > 1) - 1
-    keep = times[place] > 1
-    row, place = row[keep], column[place[keep]]
-    out, width = np.zeros((n, n), np.float32), max(64, 4_000_000 // n)
-    order = np.argsort(place, kind="stable")
-    row, place = row[order], place[order]
-    for start in range(0, int(place[-1]) + 1 if len(place) else 0, width):
-        a, b = np.searchsorted(place, [start, start + width])
-        held = np.zeros((n, min(width, int(place[-1]) + 1 - start)), np.float32)
-        held[row[a:b], place[a:b] - start] = 1
-        out += held @ held.T
-    return out.astype(np.int64), size
-
-
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which pairs of sets link, as a matrix."""
-    shared, size = overlaps(sets)
-    return 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
-
-
-def least_common(s: JaccardSettings) -> int:
-    """Of the first `sketch` tokens of two linked sets' union, each in both with a chance of `percent`
-    at least, fewer than so many are in both with a chance of `miss` / 10 at most."""
-    p, tail = s.percent / 100, 0.0
-    for k in range(s.sketch + 1):
-        tail += math.comb(s.sketch, k) * p**k * (1 - p) ** (s.sketch - k)
-        if tail > s.miss / 10:
-            return k
-    return s.sketch
-
-
-def forest(match: np.ndarray) -> list[tuple[int, int]]:
-    """For each member of a component of a link matrix but its first, the pair of both."""
-    left, out = np.ones(len(match), bool), []
-    for i in range(len(match)):
-        if not left[i]:
-            continue
-        left[i] = False
-        frontier = np.array([i])
-        while len(frontier):
-            frontier = np.flatnonzero(match[frontier].any(axis=0) & left)
-            left[frontier] = False
-            out += [(i, int(j)) for j in frontier]
-    return out
-
-
-def _by_key(keys: DataFrame, sets: DataFrame, s: JaccardSettings, f, schema: str) -> DataFrame:
-    """f(members, which of their pairs to look at) for the members of every key.
-
-    Pairs within one component are settled and left out. A key with more than a block of members is
-    split into blocks by hash; each pair of blocks is a group of its own, so all pairs of members
-    still meet.
-    """
-    members = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    rows = keys.join(members, "key").withColumn("blocks", F.ceil(F.col("members") / s.block).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(sets, "rep")
-    rows = rows.repartition(common.partitions(keys.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
-
-    def done(group: list) -> pd.DataFrame | None:
-        if len(group) < 2:
-            return None
-        component = np.array([r.component for r in group])
-        pairs = component[:, None] != component[None, :]
-        if group[0].low != group[0].high:
-            side = np.array([r.block for r in group])
-            pairs &= side[:, None] != side[None, :]
-        return f(group, pairs)
+            found = []
+            for a, chunk, b, first, text in zip(*(batch[c].tolist() for c in ("a", "chunk", "b", "first", "text")), strict=True):
+                if group != (a, chunk):
+                    group, firsts = (a, chunk), []
+                tokens = word_shingles(text, s.words)
+                if first:
+                    firsts.append(tokens)
+                    continue
+                for x in firsts:
+                    both = len(x & tokens)
+                    if 100 * both >= s.percent * (len(x) + len(tokens) - both):
+                        found.append((a, b))
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return rows.mapInPandas(run, "a long, b long")
+
+
+def _close(percent: int, n, place, m, other):
+    """Whether sets of n and m tokens that share none before these places can link."""
+    most = F.least(n - place, m - other)
+    return 100 * most >= percent * (n + m - most)
+
+
+def _with_pivot(rows: DataFrame, s: JaccardSettings) -> tuple[DataFrame, DataFrame]:
+    """(pairs of each key's pivot with its other members, the rows without the pivots)."""
+    pivots = rows.groupBy("key").agg(F.min(F.struct("rares", "node", "n", "place", "component")).alias("p"))
+    both = rows.join(pivots, "key")
+    pairs = both.where((F.col("node") != F.col("p.node")) & (F.col("component") != F.col("p.component")) & _close(s.percent, F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place")))
+    return pairs.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct(), both.where(F.col("node") != F.col("p.node")).select(*rows.columns)
+
+
+def _rest(rows: DataFrame, s: JaccardSettings) -> DataFrame:
+    """a, b: all pairs of a key's members of different components that can link. A key of more than a
+    block of members is split into pairs of blocks, each a group of its own."""
+    members = rows.groupBy("key").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
+    rows = rows.join(members, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    one = rows.where("blocks = 1").withColumn("other", F.col("block"))
+    many = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = one.union(many).select("key", "node", "n", "place", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    rows = rows.repartition(common.partitions(rows.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+
+    def pairs(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        node, n, place, component = (g[c].to_numpy(np.int64) for c in ("node", "n", "place", "component"))
+        split, block = g["low"].iloc[0] != g["high"].iloc[0], g["block"].to_numpy()
+        step = max(1, 2_000_000 // len(g))
+        for a in range(0, len(g), step):
+            i = slice(a, a + step)
+            most = np.minimum((n - place)[i, None], (n - place)[None, :])
+            ok = (component[i, None] != component[None, :]) & (100 * most >= s.percent * (n[i, None] + n[None, :] - most)) & (np.arange(len(g))[i, None] < np.arange(len(g))[None, :])
+            if split:
+                ok &= block[i, None] != block[None, :]
+            x, y = np.nonzero(ok)
+            yield pd.DataFrame({"a": node[a + x], "b": node[y]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, out = [], []
+        held = None
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                if group and (r.key, r.low, r.high) != (group[0].key, group[0].low, group[0].high):
-                    out.append(done(group))
-                    group = []
-                group.append(r)
-            if found := [x for x in out if x is not None]:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = held.iloc[-1]
+            whole = ~((held["key"] == last["key"]) & (held["low"] == last["low"]) & (held["high"] == last["high"]))
+            found = [x for _, g in held[whole].groupby(["key", "low", "high"], sort=False) if len(g) > 1 for x in pairs(g)]
+            held = held[~whole]
+            if found:
                 yield pd.concat(found)
-            out = []
-        if (last := done(group)) is not None:
-            yield last
-
-    return rows.mapInPandas(run, schema)
-
-
-def _promising(keys: DataFrame, docs: DataFrame, s: JaccardSettings) -> DataFrame:
-    """The keys of sets that have a partner there whose sketch, its first tokens, is like theirs. Sets
-    hardly larger than a sketch all stay."""
-    least, small = least_common(s), math.ceil(s.sketch * 100 / s.percent) + 1
-
-    def f(group: list, pairs: np.ndarray) -> pd.DataFrame:
-        shared, _ = overlaps([_unpacked(r.tokens)[: s.sketch] for r in group])
-        few = np.array([len(r.tokens) // 5 <= small for r in group])
-        good = (pairs & ((shared >= least) | few[:, None] & few[None, :])).any(axis=1)
-        return pd.DataFrame([(r.key, r.rep, r.component) for r, ok in zip(group, good, strict=True) if ok], columns=["key", "rep", "component"]).astype("int64")
-
-    return _by_key(keys, _sets(docs, s, small + 1), s, f, "key long, rep long, component long").distinct()
-
+        if held is not None and len(held) > 1:
+            yield from pairs(held)
 
-def _verified(keys: DataFrame, docs: DataFrame, s: JaccardSettings) -> DataFrame:
-    """a, b: links within each key's members, enough to connect them as all links would."""
-
-    def f(group: list, pairs: np.ndarray) -> pd.DataFrame:
-        found = forest(linked([_unpacked(r.tokens) for r in group], s.percent) & pairs)
-        return pd.DataFrame([(group[i].rep, group[j].rep) for i, j in found], columns=["a", "b"]).astype("int64")
-
-    return _by_key(keys, _sets(docs, s), s, f, "a long, b long")
-
-
-def _unsettled(keys: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """key, rep, component: the rows of keys whose members aren't all of one component."""
-    if joined is None:
-        return keys.withColumn("component", F.col("rep"))
-    rows = keys.join(joined, keys["rep"] == joined["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    spread = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    return rows.join(spread.select("key"), "key")
-
-
-def _one_key(keys: DataFrame, best) -> DataFrame:
-    """Of each set's keys that with the most (best: F.max) or the fewest (F.min) members."""
-    members = keys.groupBy("key").agg(F.count("*").alias("members"))
-    chosen = keys.join(members, "key").groupBy("rep", "component").agg(best(F.struct("members", "key")).alias("best"))
-    return chosen.select("best.key", "rep", "component")
+    return rows.mapInPandas(run, "a long, b long").distinct()
 
 
 def _components(keys: DataFrame, docs: DataFrame, s: JaccardSettings) -> DataFrame:
-    """node, component of the sets that link.
-
-    First each set is compared under its most shared key alone, then under its least shared one. Then
-    all keys follow whose members aren't of one component by then: large groups of near copies, which meet under hundreds
-    of keys, are joined already, and pairs within a component need no comparison.
-    """
+    """node, component of the sets that link."""
     links = joined = None
-    for best in (F.max, F.min, None):
-        rows = _unsettled(keys, joined)
-        rows = common.materialise(_one_key(rows, best) if best else rows, "open-keys")
-        rows = common.materialise(_promising(rows, _of(rows, docs), s), "promising-keys")
-        found = common.materialise(_verified(rows, _of(rows, docs), s), "links")
+    rows = keys
+    for turn in range(s.pivots + 1):
+        if joined is not None:
+            known = joined.withColumnRenamed("component", "__known")
+            rows = rows.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("__known", "node")).drop("__known")
+            spread = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+            rows = common.materialise(rows.join(spread, "key"), "open-keys")
+            if rows.isEmpty():
+                break
+        else:
+            rows = rows.withColumn("component", F.col("node"))
+        if turn < s.pivots:
+            pairs, rows = _with_pivot(rows, s)
+        else:
+            pairs = _rest(rows, s)
+        pairs = common.materialise(pairs, "pairs")
+        found = common.materialise(_verified(pairs, docs, s), "links")
         links = found if links is None else links.union(found)
         joined = common.materialise(components(links, "a", "b"), "components")
     return joined
 
 
-def _of(keys: DataFrame, docs: DataFrame) -> DataFrame:
-    """The documents that stand for a set among the keys, and a few others."""
-    return filtered(docs, id_filter(keys, "rep"), "doc_id")
-
-
 def jaccard_groups(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links).
 
     Equal sets are one class, told by a 128-bit digest. Each distinct set is indexed under the keys of
-    its prefix (see index_entries), and sets under one key are compared exactly, on 40 bits of each
-    token's hash. A prefix counts at most `depth` tokens: texts whose full prefix is no longer are
-    joined exactly, for others a linked pair is missed with a chance of `miss` at most, since the
-    tokens' order is that of a hash.
+    its whole prefix (see the module's text), so no linked pair is missed, whatever the lengths; sets
+    that meet are compared word by word. n_shingles counts distinct 64-bit hashes.
 
-    Null and empty texts have no shingles and their own component. Rows with a null id are left out;
-    rows that repeat an id each come back, under that id's component. Other columns are ignored.
+    Null and empty texts have no shingles and their own component. Rows that repeat an id are compared
+    each by its own text. Rows with a null id are members like others, but their id is nobody's
+    component; a component without an id is null. An empty table gives an empty result. Other columns are ignored.
     """
     s, spark = settings, docs.sparkSession
     common.small_batches(spark)
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), common.empty_text(text_column).alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), common.empty_text(text_column).alias("text"))
+    docs = docs.withColumn("node", F.xxhash64("doc_id", "text"))
     summaries = common.materialise(_summaries(docs, s), "summaries")
     rows = summaries.where("kind = 0").drop("kind")
     frequent = _frequent(summaries, rows.count(), s)
-    keys = common.materialise(_keys(docs, summaries, frequent, s), "shared-keys")
+    keys = common.materialise(_shared_keys(common.materialise(_index(docs, frequent, s), "index")), "shared-keys")
     joined = _components(keys, docs, s)
-    classes = rows.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"))
-    merged = classes.join(joined, classes["rep"] == joined["node"], "left").select("d0", "d1", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(merged, ["d0", "d1"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    classes = rows.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("low"))
+    named = joined.join(rows.select("node", "d0", "d1").distinct(), "node").select("d0", "d1", "component").distinct()
+    classes = classes.join(named, ["d0", "d1"], "left")
+    lows = classes.where("component is not null").groupBy("component").agg(F.min("low").alias("lowest"))
+    classes = classes.join(lows, "component", "left").select("d0", "d1", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component_id"), F.lit(True).alias("__set"))
+    out = rows.join(classes, ["d0", "d1"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("__set"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, settings: JaccardSettings = JaccardSettings(words=5, percent=80), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
