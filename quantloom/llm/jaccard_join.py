@@ -40,7 +40,8 @@ class JaccardSettings:
     frequent_tokens: int = 100_000  # most of them that are told; the choice only affects speed
     triples: int = 12  # longest prefix whose very frequent tokens are indexed in threes
     pairs: int = 40  # longest prefix whose frequent tokens are indexed in twos; beyond, all are keys alone
-    pivots: int = 3  # of a key, before what is left is compared pair by pair
+    words_of_bits: int = 16  # of 64 bits, in which each token of a set flips one
+    pivots: int = 2  # of a key, before what is left is compared pair by pair
     block: int = 20_000  # members of a key that one task pairs with one another
     chunk: int = 128  # texts that one task compares with the same other text
 
@@ -60,9 +61,18 @@ class JaccardSettings:
         return tuple(sorted({min(self.level(n), self.level(m)) for m in range(max(1, self.least(n)), 100 * n // self.percent + 1)}))
 
 
+def parity_bits(values: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
+    """For each set, bits of which every token flips one. Two sets' bits differ in no more places than
+    there are tokens in one of them alone, so far bits rule a link out and near ones prove nothing."""
+    bits = np.zeros((len(starts) - 1, words * 64), np.uint8)
+    own = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    flat = np.bincount(own * (words * 64) + (values & np.uint64(words * 64 - 1)).astype(np.int64), minlength=bits.size)
+    return np.packbits((flat & 1).astype(np.uint8).reshape(bits.shape), axis=1).view(np.int64)
+
+
 def _summaries(docs: DataFrame, s: JaccardSettings) -> DataFrame:
-    """kind 0: node, doc_id, set size, digest of the set. kind 1: token, how many sets of a task hold it,
-    for the tokens that a fair share of the task's documents hold."""
+    """kind 0: node, doc_id, set size, digest of the set, its parity bits. kind 1: token, how many sets of a
+    task hold it, for the tokens that a fair share of the task's documents hold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -71,7 +81,7 @@ def _summaries(docs: DataFrame, s: JaccardSettings) -> DataFrame:
         for batch in batches:
             values, starts = shingle_sets(batch["text"].tolist(), s.words)
             digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(values[a:b].tobytes()), "<i8") for a, b in zip(starts[:-1], starts[1:], strict=True)]).reshape(-1, 2)
-            yield pd.DataFrame({"kind": 0, "node": batch["node"], "doc_id": batch["id"].astype("Int64").where(batch["known"]), "n": np.diff(starts), "d0": digests[:, 0], "d1": digests[:, 1]})
+            yield pd.DataFrame({"kind": 0, "node": batch["node"], "doc_id": batch["id"].astype("Int64").where(batch["known"]), "n": np.diff(starts), "d0": digests[:, 0], "d1": digests[:, 1], "bits": list(parity_bits(values, starts, s.words_of_bits))})
             n_docs += len(batch)
             # Running counts of this task; when they grow large the rarest go, as in a frequency sketch.
             all_tokens, place = np.unique(np.concatenate([tokens, values]), return_inverse=True)
@@ -81,10 +91,10 @@ def _summaries(docs: DataFrame, s: JaccardSettings) -> DataFrame:
                 tokens, counts = tokens[counts > 1], counts[counts > 1]
         top = counts >= max(min(3, s.least_frequent), s.frequent_share * n_docs)
         order = np.argsort(-counts[top], kind="stable")[: s.frequent_tokens]
-        yield pd.DataFrame({"kind": 1, "node": tokens[top][order].astype(np.int64), "doc_id": pd.array([None] * len(order), "Int64"), "n": counts[top][order], "d0": 0, "d1": 0})
+        yield pd.DataFrame({"kind": 1, "node": tokens[top][order].astype(np.int64), "doc_id": pd.array([None] * len(order), "Int64"), "n": counts[top][order], "d0": 0, "d1": 0, "bits": None})
 
     ids = docs.select("node", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNotNull().alias("known"), "text")
-    return ids.mapInPandas(run, "kind int, node long, doc_id long, n long, d0 long, d1 long")
+    return ids.mapInPandas(run, "kind int, node long, doc_id long, n long, d0 long, d1 long, bits array<long>")
 
 
 def _frequent(summaries: DataFrame, n_docs: int, s: JaccardSettings) -> tuple[np.ndarray, np.ndarray]:
@@ -271,6 +281,15 @@ def _close(percent: int, n, place, m, other):
     return 100 * most >= percent * (n + m - most)
 
 
+def _alike(pairs: DataFrame, bits: DataFrame, s: JaccardSettings) -> DataFrame:
+    """a, b of the pairs whose parity bits don't rule a link out: of n + m tokens in two linked sets, at
+    most a share of (100 - percent) / (100 + percent) is in one set alone."""
+    for x in ("a", "b"):
+        pairs = pairs.join(bits.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+    return pairs.where((100 + s.percent) * apart <= (100 - s.percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def _with_pivot(rows: DataFrame, s: JaccardSettings) -> tuple[DataFrame, DataFrame]:
     """(pairs of each key's pivot with its other members, the rows without the pivots)."""
     pivots = rows.groupBy("key").agg(F.min(F.struct("rares", "node", "n", "place", "component")).alias("p"))
@@ -279,18 +298,20 @@ def _with_pivot(rows: DataFrame, s: JaccardSettings) -> tuple[DataFrame, DataFra
     return pairs.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct(), both.where(F.col("node") != F.col("p.node")).select(*rows.columns)
 
 
-def _rest(rows: DataFrame, s: JaccardSettings) -> DataFrame:
-    """a, b: all pairs of a key's members of different components that can link. A key of more than a
-    block of members is split into pairs of blocks, each a group of its own."""
+def _rest(rows: DataFrame, bits: DataFrame, s: JaccardSettings) -> DataFrame:
+    """a, b: all pairs of a key's members of different components that can link, by places and parity
+    bits. A key of more than a block of members is split into pairs of blocks, each a group of its own."""
     members = rows.groupBy("key").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
     rows = rows.join(members, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     one = rows.where("blocks = 1").withColumn("other", F.col("block"))
     many = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = one.union(many).select("key", "node", "n", "place", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    rows = rows.join(bits.select("node", "bits"), "node")
     rows = rows.repartition(common.partitions(rows.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
 
     def pairs(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
         node, n, place, component = (g[c].to_numpy(np.int64) for c in ("node", "n", "place", "component"))
+        bits = np.stack(g["bits"].to_list())
         split, block = g["low"].iloc[0] != g["high"].iloc[0], g["block"].to_numpy()
         step = max(1, 2_000_000 // len(g))
         for a in range(0, len(g), step):
@@ -300,6 +321,12 @@ def _rest(rows: DataFrame, s: JaccardSettings) -> DataFrame:
             if split:
                 ok &= block[i, None] != block[None, :]
             x, y = np.nonzero(ok)
+            near = np.zeros(len(x), bool)
+            for c in range(0, len(x), 100_000):
+                p, q = a + x[c : c + 100_000], y[c : c + 100_000]
+                apart = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+                near[c : c + 100_000] = (100 + s.percent) * apart <= (100 - s.percent) * (n[p] + n[q])
+            x, y = x[near], y[near]
             yield pd.DataFrame({"a": node[a + x], "b": node[y]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,10 +345,12 @@ def _rest(rows: DataFrame, s: JaccardSettings) -> DataFrame:
     return rows.mapInPandas(run, "a long, b long").distinct()
 
 
-def _components(keys: DataFrame, docs: DataFrame, s: JaccardSettings) -> DataFrame:
+def _components(keys: DataFrame, docs: DataFrame, sets: DataFrame, s: JaccardSettings) -> DataFrame:
     """node, component of the sets that link."""
     links = joined = None
     rows = keys
+    bits = sets.join(keys.select("node").distinct(), "node").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    bits = common.materialise(bits, "parity-bits")
     for turn in range(s.pivots + 1):
         if joined is not None:
             known = joined.withColumnRenamed("component", "__known")
@@ -334,8 +363,9 @@ def _components(keys: DataFrame, docs: DataFrame, s: JaccardSettings) -> DataFra
             rows = rows.withColumn("component", F.col("node"))
         if turn < s.pivots:
             pairs, rows = _with_pivot(rows, s)
+            pairs = _alike(pairs, bits, s)
         else:
-            pairs = _rest(rows, s)
+            pairs = _rest(rows, bits, s)
         pairs = common.materialise(pairs, "pairs")
         found = common.materialise(_verified(pairs, docs, s), "links")
         links = found if links is None else links.union(found)
@@ -362,7 +392,7 @@ def jaccard_groups(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     rows = summaries.where("kind = 0").drop("kind")
     frequent = _frequent(summaries, rows.count(), s)
     keys = common.materialise(_shared_keys(common.materialise(_index(docs, frequent, s), "index")), "shared-keys")
-    joined = _components(keys, docs, s)
+    joined = _components(keys, docs, rows.select("node", "n", "bits"), s)
     classes = rows.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("low"))
     named = joined.join(rows.select("node", "d0", "d1").distinct(), "node").select("d0", "d1", "component").distinct()
     classes = classes.join(named, ["d0", "d1"], "left")
