@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Temporary folders of sessions on one machine, by application.
+_LOCAL: dict[str, str] = {}
+
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -18,15 +21,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share.
+    """A fresh folder under spark.checkpoint.dir, which all executors share."""
+    return stable_folder(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def stable_folder(spark: SparkSession, name: str) -> str:
+    """A folder under spark.checkpoint.dir that keeps its name from run to run.
 
-    Where the setting is absent (tests on one machine), a temporary folder takes its place.
+    Where the setting is absent a temporary folder takes its place, but only if driver and executors
+    are one process: on a cluster they wouldn't share it, and that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quantloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="quantloom-")
+    return f"{root.rstrip('/')}/{name}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -41,9 +51,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches sent to Python: texts can be long, so few rows at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Bound the Arrow batches sent to Python, by rows and by bytes: texts can be long.
+
+    A frame that is returned runs later, so its session's setting is lowered for good; one that is
+    lower already stays."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(now, rows) if now > 0 else rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def join_sized(rows: DataFrame, sized: DataFrame, on: list[str], count: str, total: int, parts: int = 2000) -> DataFrame:
+    """rows joined with sized, which has one row per key and the number of rows that hold it, of `total`
+    in all. Keys with a `parts`-th of the rows or more are at most `parts`, so those are broadcast and
+    their rows stay where they are; the rows of the others are shuffled, none of which fills a task."""
+    hot = F.col(count) * parts >= total
+    heavy = F.broadcast(sized.where(hot))
+    return rows.join(heavy.select(on), on, "left_anti").join(sized.where(~hot), on).unionByName(rows.join(heavy, on))
 
 
 def filesystem(uri: str):
