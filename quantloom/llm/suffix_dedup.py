@@ -3,8 +3,9 @@
 A string of `length` bytes holds, at one of its first half + 1 places, the half-length string with the
 smallest hash; equal strings hold it at the same place. So only suffixes that begin at such anchors
 are compared, and only those whose anchor string occurs again. Around an anchor, half a length on
-each side decides which strings through it occur twice: members with equal surroundings settle each
-other by count alone; of the others one for each surrounding is sorted.
+each side decides which strings through it occur twice: members with equal surroundings, told by a
+128-bit digest, settle each other by count; of the others one for each surrounding is sorted, and what the
+sort's hashes say is confirmed byte by byte.
 
 Passages told by words go the same way: each word stands as WIDTH bytes of its hash, so a number of
 words is a number of bytes, however short the words are.
@@ -150,14 +151,14 @@ def suffix_order(rows: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> n
     return order
 
 
-def repeated_offsets(left: list[bytes], right: list[bytes], s: SuffixSettings) -> tuple[np.ndarray, np.ndarray]:
+def repeated_offsets(left: list[bytes], right: list[bytes], s: SuffixSettings, by_bytes: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """For each member of some anchors' groups, the least and the largest number of bytes before the
     anchor at which a string of `length` bytes begins that another member has too; -1 for none.
 
     left, right: the bytes before the anchor, last first, and those from the anchor on. Sorted
     suffixes with `length` - o bytes in common stand together; among those, equal prefixes of o bytes
     of `left` are found by hash. Every result is confirmed byte by byte; if a hash misled, the order
-    and the results are worked out from the bytes themselves.
+    and the results are worked out from the bytes themselves (by_bytes).
     """
     n, half = len(left), s.half
     r_len, l_len = np.array([len(x) for x in right]), np.array([len(x) for x in left])
@@ -170,7 +171,7 @@ def repeated_offsets(left: list[bytes], right: list[bytes], s: SuffixSettings) -
     agree = r[order[:-1]] == r[order[1:]]
     k = np.minimum(shared, s.length - 1)
     true = (agree | (column >= shared[:, None])).all(axis=1) & ((shared == np.minimum(r_len[order[:-1]], r_len[order[1:]])) | ~agree[np.arange(n - 1), k])
-    by_bytes = not true.all()
+    by_bytes = by_bytes or not true.all()
     if by_bytes:
         order = np.array(sorted(range(n), key=lambda i: right[i]), np.int64)
         agree = (r[order[:-1]] == r[order[1:]]) & (column < np.minimum(r_len[order[:-1]], r_len[order[1:]])[:, None])
@@ -199,12 +200,12 @@ def repeated_offsets(left: list[bytes], right: list[bytes], s: SuffixSettings) -
             edge = (least[i] == o) | (most[i] == o)
             i, j = i[edge], j[edge]
             if not ((lft[i, :o] == lft[j, :o]).all() and (r[i, : s.length - o] == r[j, : s.length - o]).all()):
-                raise ArithmeticError("a hash of 64 bits misled; use another BASE")
+                return repeated_offsets(left, right, s, by_bytes=True)
     return least, most
 
 
 def _anchor_table(docs: DataFrame, s: SuffixSettings) -> DataFrame:
-    """key (hash of an anchor string), around (hash of its surroundings), uid, pos."""
+    """key (hash of an anchor string), a0 and a1 (digest of its surroundings), uid, pos."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -215,17 +216,18 @@ def _anchor_table(docs: DataFrame, s: SuffixSettings) -> DataFrame:
             for i, end in slices(texts):
                 some = texts[i:end]
                 text, pos, key = anchors(some, s)
-                around = [xxhash.xxh3_64_intdigest(some[t][max(0, p - s.half) : p + s.length], seed=min(p, s.half)) for t, p in zip(text.tolist(), pos.tolist(), strict=True)]
-                yield pd.DataFrame({"key": key.astype(np.int64), "around": np.array(around, np.uint64).astype(np.int64), "uid": uid[i + text], "pos": pos.astype(np.int32)})
+                around = b"".join(xxhash.xxh3_128_digest(some[t][max(0, p - s.half) : p + s.length], seed=min(p, s.half)) for t, p in zip(text.tolist(), pos.tolist(), strict=True))
+                around = np.frombuffer(around, "<i8").reshape(-1, 2)
+                yield pd.DataFrame({"key": key.astype(np.int64), "a0": around[:, 0], "a1": around[:, 1], "uid": uid[i + text], "pos": pos.astype(np.int32)})
 
-    return docs.select("uid", "text").mapInPandas(run, "key long, around long, uid long, pos int")
+    return docs.select("uid", "text").mapInPandas(run, "key long, a0 long, a1 long, uid long, pos int")
 
 
 def _sorted_extents(suffixes: DataFrame, docs: DataFrame, s: SuffixSettings) -> DataFrame:
     """uid, start, stop for single members, from the surroundings of one member for each kind."""
     spark, half = docs.sparkSession, s.half
     wanted = suffixes.groupBy("uid").agg(F.collect_list(F.struct("key", "pos", "single", "blocks", "block")).alias("at"))
-    texts = filtered(docs.select("uid", "text"), id_filter(suffixes, "uid"), "uid").dropDuplicates(["uid"]).join(wanted, "uid")
+    texts = filtered(docs.select("uid", "text"), id_filter(suffixes, "uid"), "uid").join(wanted, "uid")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -271,15 +273,16 @@ def _sorted_extents(suffixes: DataFrame, docs: DataFrame, s: SuffixSettings) ->
 def repeated_spans(docs: DataFrame, s: SuffixSettings) -> DataFrame:
     """uid and spans, (start, stop) pairs in any order whose union is to go, for docs with uid, text."""
     table = common.materialise(_anchor_table(docs, s), "anchors")
-    keys = table.groupBy("key").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).where("n > 1")
-    shared = common.materialise(table.join(keys.select("key", (F.col("a") != F.col("b")).alias("differ")), "key"), "shared-anchors")
-    kinds = shared.groupBy("key", "around").agg(F.count("*").alias("n"), F.max("differ").alias("differ"), F.min(F.struct("uid", "pos")).alias("one"))
+    keys = table.groupBy("key").agg(F.count("*").alias("n"), *(f(a).alias(f"{a}_{x}") for a in ("a0", "a1") for f, x in ((F.min, "low"), (F.max, "high")))).where("n > 1")
+    keys = common.materialise(keys.select("key", "n", ((F.col("a0_low") != F.col("a0_high")) | (F.col("a1_low") != F.col("a1_high"))).alias("differ")), "anchor-keys")
+    shared = common.materialise(common.join_sized(table, keys, ["key"], "n", table.count()).drop("n"), "shared-anchors")
+    kinds = shared.groupBy("key", "a0", "a1").agg(F.count("*").alias("n"), F.max("differ").alias("differ"), F.min(F.struct("uid", "pos")).alias("one"))
     kinds = common.materialise(kinds, "surroundings")
     groups = kinds.where("differ").groupBy("key").agg(F.count("*").alias("members"), F.max(F.col("n") == 1).alias("open")).where("open")
     blocks = F.ceil(F.col("members") / s.block).cast("int")
     suffixes = kinds.where("differ").join(groups, "key").select("key", "one.uid", "one.pos", (F.col("n") == 1).alias("single"), blocks.alias("blocks"))
     suffixes = common.materialise(suffixes.withColumn("block", F.pmod(F.xxhash64("uid", "pos"), F.col("blocks")).cast("int")), "suffixes")
-    settled = shared.join(kinds.where("n > 1").select("key", "around"), ["key", "around"])
+    settled = common.join_sized(shared.drop("differ"), kinds.where("n > 1").select("key", "a0", "a1", "n"), ["key", "a0", "a1"], "n", shared.count())
     settled = settled.select("uid", (F.col("pos") - s.half).cast("long").alias("start"), (F.col("pos") + s.length).cast("long").alias("stop"))
     spans = settled.union(_sorted_extents(suffixes, docs, s))
     return spans.groupBy("uid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
@@ -321,36 +324,37 @@ def _kept(text: str, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def _identified(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    text = common.empty_text(text_column)
-    return docs.withColumns({"uid": F.xxhash64(F.col(id_column), text), "text": text})
-
-
 def removal_report(docs: DataFrame, settings: SuffixSettings = SuffixSettings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, the kept text (a character
+    that a cut goes through is left out of it) and whether anything was removed.
 
     Every byte is removed that lies in a string of `length` bytes found at another place too, in the
     same text or another; places are judged on the input. With `words` set it is whole words that are
-    removed, those in a passage of so many found at another place. Null texts count as empty. Rows that
-    repeat an id are told apart by their text; equal rows are copies of one another. Other columns
-    are ignored.
+    removed, those in a passage of so many found at another place. Null texts count as empty. Rows are
+    told apart by a number of their own, so rows that repeat an id, or a whole row, are copies of one
+    another, and null ids come back null. An empty table gives an empty result. Other columns are ignored.
     """
     common.small_batches(docs.sparkSession)
-    rows = _identified(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "doc_id", "text")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), common.empty_text(text_column).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    rows = common.materialise(rows, "numbered-texts").withColumn("id", F.struct("doc_id"))  # written once: the number stays
 
     def make(batch: pd.DataFrame, runs: list) -> pd.DataFrame:
         left = [_kept(t, x) for t, x in zip(batch["text"], runs, strict=True)]
         n = [len(t.encode()) for t in batch["text"]]
-        return pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": n, "n_removed": [a - len(b) for a, b in zip(n, left, strict=True)], "n_spans": [len(x) for x in runs], "kept_sha256": [hashlib.sha256(x).hexdigest() for x in left]})
+        gone = [a - len(b) for a, b in zip(n, left, strict=True)]
+        return pd.DataFrame({"id": batch["id"], "n_bytes": n, "n_removed": gone, "n_spans": [len(x) for x in runs], "kept_sha256": [hashlib.sha256(x).hexdigest() for x in left], "kept_text": [x.decode("utf-8", "ignore") for x in left], "changed": [x > 0 for x in gone]})
 
-    return _cut(rows, settings, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = _cut(rows.drop("doc_id"), settings, make, "id struct<doc_id: bigint>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, changed boolean")
+    return out.select("id.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "changed")
 
 
 def drop_repeated_strings(docs: DataFrame, settings: SuffixSettings = SuffixSettings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The same rows and columns with what removal_report() counts cut out of the text. A character
-    that a cut goes through is dropped whole; null texts stay null."""
+    that a cut goes through is dropped whole; null texts stay null. Rows are told apart by a number of
+    their own: repeated rows are copies of one another."""
     common.small_batches(docs.sparkSession)
-    inner = docs.select(F.xxhash64(F.col(id_column), common.empty_text(text_column)).alias("uid"), common.empty_text(text_column).alias("text"), F.col(text_column).isNull().alias("absent"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_column]).alias("row"))
+    inner = docs.select(F.monotonically_increasing_id().alias("uid"), common.empty_text(text_column).alias("text"), F.col(text_column).isNull().alias("absent"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_column]).alias("row"))
+    inner = common.materialise(inner, "numbered-texts")  # written once: the number stays
 
     def make(batch: pd.DataFrame, runs: list) -> pd.DataFrame:
         text = [None if gone else _kept(t, x).decode("utf-8", "ignore") if x else t for t, x, gone in zip(batch["text"], runs, batch["absent"], strict=True)]

@@ -99,7 +99,7 @@ def test_suffix_dedup(docs):
     want = []
     for doc, text, r in zip(source["doc_id"], source["text"], runs, strict=True):
         kept = brute.kept_bytes(text, r)
-        want.append((doc, len((text or "").encode()), len((text or "").encode()) - len(kept), len(r), brute.sha(kept)))
+        want.append((doc, len((text or "").encode()), len((text or "").encode()) - len(kept), len(r), brute.sha(kept), kept.decode("utf-8", "ignore"), len(r) > 0))
     got = [tuple(r) for r in removal_report(docs).collect()]
     assert _by_id(got) == _by_id(want)
 
