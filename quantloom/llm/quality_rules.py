@@ -90,17 +90,16 @@ def quality_rules(docs: DataFrame, limits: RuleLimits = RuleLimits(), id_column:
 def keep_quality(docs: DataFrame, limits: RuleLimits = RuleLimits(), host_column: str = "source", text_column: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that quality_rules() keeps.
 
-    The rules run once for the hosts' rates and once for the rows, so texts stay where they are; only
-    rejected hosts are joined.
+    The rules run once: rows that pass the base rules are written beside each row's host and failure,
+    both are read back for the hosts' rates, and only rejected hosts are joined, so texts are never
+    shuffled.
     """
     base, failed = _failed(limits)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_column).alias("__text"), F.col(host_column).alias("__host"))
-    # The row number keeps the filter above the counts: pushed below, it would repeat them inside
-    # their own lambdas.
-    rows = rule_counts(rows, limits, "__text").withColumns({"__base": base, "__failed": failed, "__nth": F.monotonically_increasing_id()})
-    hosts = host_verdicts(rows.select("__host", "__failed"), "__host", "__failed", limits)
-    rejected = hosts.where("host_rejected").select("__host")
-    return rows.where(~F.col("__base") & (F.col("__nth") >= 0)).join(rejected, "__host", "left_anti").select("__row.*")
+    rows = rule_counts(rows, limits, "__text").select("__host", failed.alias("__failed"), F.when(~base, F.col("__row")).alias("__row"))
+    rows = common.materialise(rows, "rule-rows")
+    rejected = host_verdicts(rows, "__host", "__failed", limits).where("host_rejected").select("__host")
+    return rows.where("__row is not null").join(rejected, "__host", "left_anti").select("__row.*")
 
 
 #: The same over all of `documents`, for DuckDB.

@@ -11,7 +11,7 @@ import re
 import numpy as np
 
 #: Chunks a worker gathers, and their characters, before the older half of its memory is dropped.
-KEPT_CHUNKS, KEPT_CHARS = 450_000, 9_000_000
+KEPT_CHUNKS, KEPT_CHARS = 200_000, 4_000_000
 #: A space amid white space: only there a cut before the space could change the pre-tokens.
 UNSAFE = re.compile(r"\s \s")
 #: Marks that are cut off a word's end.
