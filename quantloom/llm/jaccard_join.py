@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm import common
@@ -199,10 +199,11 @@ def _index(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], s: JaccardS
 
 
 def _shared_keys(index: DataFrame) -> DataFrame:
-    """key, node, n, place, rares where a key has two sets or more; one node for each set."""
-    several = index.groupBy("key").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a <> b").select("key")
-    rows = index.join(several, "key").groupBy("key", "d").agg(F.min("node").alias("node"), *(F.first(c).alias(c) for c in ("n", "place", "rares")))
-    return rows.drop("d")
+    """key, node, n, place, rares where a key has two sets or more; one node for each set. The index is
+    shuffled once and never written: a window tells whether a key's sets differ."""
+    key = Window.partitionBy("key")
+    rows = index.withColumns({"low": F.min("d").over(key), "high": F.max("d").over(key)}).where("low <> high")
+    return rows.groupBy("key", "d").agg(F.min("node").alias("node"), *(F.first(c).alias(c) for c in ("n", "place", "rares"))).drop("d")
 
 
 BLOOM_BITS = 1 << 23
@@ -391,7 +392,7 @@ def jaccard_groups(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     summaries = common.materialise(_summaries(docs, s), "summaries")
     rows = summaries.where("kind = 0").drop("kind")
     frequent = _frequent(summaries, rows.count(), s)
-    keys = common.materialise(_shared_keys(common.materialise(_index(docs, frequent, s), "index")), "shared-keys")
+    keys = common.materialise(_shared_keys(_index(docs, frequent, s)), "shared-keys")
     joined = _components(keys, docs, rows.select("node", "n", "bits"), s)
     classes = rows.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("low"))
     named = joined.join(rows.select("node", "d0", "d1").distinct(), "node").select("d0", "d1", "component").distinct()
