@@ -23,7 +23,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def slices(texts: list, most: int = 1_000_000) -> list[tuple[int, int]]:
+def slices(texts: list, most: int = 300_000) -> list[tuple[int, int]]:
     """Runs of texts of about `most` characters in all, so that arrays over them stay small."""
     cuts, n = [0], 0
     for i, t in enumerate(texts):

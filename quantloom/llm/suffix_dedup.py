@@ -39,7 +39,7 @@ ALONE, WORD = re.compile(f"[{UNSPACED}]"), re.compile(rf"[{UNSPACED}]|[^\x20\x09
 @dataclass(frozen=True)
 class SuffixSettings:
     length: int = 400  # even
-    block: int = 20_000  # suffixes of one anchor string that a task sorts at once
+    block: int = 6_000  # suffixes of one anchor string that a task sorts at once
     words: int | None = None  # if given, passages of so many words are told, in place of `length` bytes
 
     def __post_init__(self) -> None:
@@ -177,7 +177,7 @@ def repeated_offsets(left: list[bytes], right: list[bytes], s: SuffixSettings, b
         agree = (r[order[:-1]] == r[order[1:]]) & (column < np.minimum(r_len[order[:-1]], r_len[order[1:]])[:, None])
         shared = np.where(agree.all(axis=1), s.length, agree.argmin(axis=1))
     least, most = np.full(n, -1), np.full(n, -1)
-    pairs = []
+    partner = np.zeros((2, n), np.int64)  # with which a member has its least and its largest one
     for o in range(half + 1):
         run = np.concatenate([[0], np.cumsum(shared < s.length - o)])
         ok = (r_len[order] >= s.length - o) & (l_len[order] >= o)
@@ -194,13 +194,16 @@ def repeated_offsets(left: list[bytes], right: list[bytes], s: SuffixSettings, b
             first = least[i] < 0
             least[i[first]] = o
             most[i] = o
-            pairs.append((i, j, o))
+            partner[0, i[first]], partner[1, i] = j[first], j
     if not by_bytes:
-        for i, j, o in pairs:
-            edge = (least[i] == o) | (most[i] == o)
-            i, j = i[edge], j[edge]
-            if not ((lft[i, :o] == lft[j, :o]).all() and (r[i, : s.length - o] == r[j, : s.length - o]).all()):
-                return repeated_offsets(left, right, s, by_bytes=True)
+        for offset, other in ((least, partner[0]), (most, partner[1])):
+            i = np.flatnonzero(offset >= 0)
+            for c in range(0, len(i), 1000):
+                k = i[c : c + 1000]
+                o, j = offset[k, None], other[k]
+                before, after = np.arange(half) < o, column < s.length - o
+                if ((lft[k] != lft[j]) & before).any() or ((r[k] != r[j]) & after).any():
+                    return repeated_offsets(left, right, s, by_bytes=True)
     return least, most
 
 
