@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quantloom.llm import common
 
 
+#: Rejected hosts up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_HOSTS = 100_000
+
+
 @dataclass(frozen=True)
 class RuleLimits:
     min_words: int = 10
@@ -91,14 +95,15 @@ def keep_quality(docs: DataFrame, limits: RuleLimits = RuleLimits(), host_column
     """The rows of `docs`, all columns, that quality_rules() keeps.
 
     The rules run once: rows that pass the base rules are written beside each row's host and failure,
-    both are read back for the hosts' rates, and only rejected hosts are joined, so texts are never
-    shuffled.
+    both are read back for the hosts' rates, and only rejected hosts are joined, so texts are not
+    shuffled unless rejected hosts are too many to broadcast.
     """
     base, failed = _failed(limits)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_column).alias("__text"), F.col(host_column).alias("__host"))
     rows = rule_counts(rows, limits, "__text").select("__host", failed.alias("__failed"), F.when(~base, F.col("__row")).alias("__row"))
     rows = common.materialise(rows, "rule-rows")
-    rejected = host_verdicts(rows, "__host", "__failed", limits).where("host_rejected").select("__host")
+    rejected = common.materialise(host_verdicts(rows, "__host", "__failed", limits).where("host_rejected").select("__host"), "rejected-hosts")
+    rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_HOSTS else rejected
     return rows.where("__row is not null").join(rejected, "__host", "left_anti").select("__row.*")
 
 
