@@ -220,8 +220,9 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def filtered(docs: DataFrame, bloom: np.ndarray, column: str, inside: bool = True) -> DataFrame:
-    """Rows whose id the filter lets pass, all of the ids it was made of and a few others; or the rest."""
+def filtered(docs: DataFrame, bloom: np.ndarray, column: str, inside: bool = True, then=None, schema=None) -> DataFrame:
+    """Rows whose id the filter lets pass, all of the ids it was made of and a few others; or the rest.
+    `then` maps each batch of them, in the same Python worker, to rows of `schema`."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,10 +231,11 @@ def filtered(docs: DataFrame, bloom: np.ndarray, column: str, inside: bool = Tru
             for k in ("b1", "b2"):
                 bit = batch[k].to_numpy(np.int64)
                 ok &= (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            yield batch[ok == inside].drop(columns=["b1", "b2"])
+            rows = batch[ok == inside].drop(columns=["b1", "b2"])
+            yield then(rows) if then else rows
 
     marked = docs.withColumns({f"b{k}": F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(BLOOM_BITS)) for k in (1, 2)})
-    return marked.mapInPandas(run, docs.schema)
+    return marked.mapInPandas(run, schema or docs.schema)
 
 
 def word_shingles(text: str, words: int) -> set:

@@ -308,15 +308,18 @@ def _cut(docs: DataFrame, s: SuffixSettings, make, schema) -> DataFrame:
     spans = common.materialise(repeated_spans(docs.select("uid", "text"), s), "spans")
     bloom = id_filter(spans, "uid")
 
+    def cut(batch: pd.DataFrame) -> pd.DataFrame:
+        return make(batch, [s.removed(t, x) if x is not None and len(x) else [] for t, x in zip(batch["text"], batch["spans"], strict=True)])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield make(batch, [s.removed(t, x) if x is not None and len(x) else [] for t, x in zip(batch["text"], batch["spans"], strict=True)])
+        yield from map(cut, batches)
+
+    def whole(batch: pd.DataFrame) -> pd.DataFrame:
+        return make(batch, [[]] * len(batch))
 
-    none = F.lit(None).cast("array<struct<start: bigint, stop: bigint>>")
-    kept = filtered(docs, bloom, "uid", inside=False).withColumn("spans", none)
+    kept = filtered(docs, bloom, "uid", inside=False, then=whole, schema=schema)
     hit = filtered(docs, bloom, "uid").join(spans, "uid", "left")
-    columns = [*docs.columns, "spans"]
-    return kept.select(columns).mapInPandas(run, schema).union(hit.select(columns).mapInPandas(run, schema))
+    return kept.union(hit.select(*docs.columns, "spans").mapInPandas(run, schema))
 
 
 def _kept(text: str, runs: list[tuple[int, int]]) -> bytes:

@@ -120,6 +120,7 @@ class ChunkEncoder(ChunkCache):
 
     def __init__(self, path: str):
         super().__init__(path)
+        del self.told  # large, and the library has its own
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
