@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Temporary folders of sessions on one machine, by application.
 _LOCAL: dict[str, str] = {}
 
+#: Written tables and where they are, until they are discarded.
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -44,7 +47,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (out, path)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more. Those of a store that the driver can't
+    open by itself stay."""
+    for frame in frames:
+        _, path = _WRITTEN.pop(id(frame))
+        try:
+            store, place = filesystem(path)
+            store.delete_dir(place)
+        except (OSError, ValueError, NotImplementedError):
+            continue
 
 
 def partitions(spark: SparkSession) -> int:

@@ -34,7 +34,8 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     edges = common.materialise(edges, "links")
     seen = None
     for _ in range(rounds):
-        edges = common.materialise(_small_star(_large_star(edges)).distinct(), "stars")
+        before, edges = edges, common.materialise(_small_star(_large_star(edges)).distinct(), "stars")
+        common.discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -7,7 +7,7 @@ n - least + i tokens of both: the prefix, extended by i - 1. So each linked pair
 token if that one is rare, under its first two if the first is frequent, and under its first three if
 that one is very frequent; these combinations are the index keys.
 
-A key's members are compared with one pivot at a time, the member nearest to the common part of the group, and members of
+The members of a key with few are all compared. Those of others are compared with one pivot at a time, the member nearest to the common part of the group, and members of
 one component aren't compared any more: a group of copies costs one comparison for each member. What is still open after a few
 pivots is compared pair by pair. Comparisons are made on the words themselves.
 """
@@ -41,7 +41,8 @@ class JaccardSettings:
     triples: int = 12  # longest prefix whose very frequent tokens are indexed in threes
     pairs: int = 40  # longest prefix whose frequent tokens are indexed in twos; beyond, all are keys alone
     words_of_bits: int = 16  # of 64 bits, in which each token of a set flips one
-    pivots: int = 2  # of a key, before what is left is compared pair by pair
+    few: int = 32  # members of a key that are all compared at once
+    pivots: int = 2  # of a key with more, before what is left is compared pair by pair
     block: int = 20_000  # members of a key that one task pairs with one another
     chunk: int = 128  # texts that one task compares with the same other text
 
@@ -198,12 +199,18 @@ def _index(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], s: JaccardS
     return docs.select("node", "text").mapInPandas(run, "key long, d long, node long, n int, place int, rares int")
 
 
-def _shared_keys(index: DataFrame) -> DataFrame:
-    """key, node, n, place, rares where a key has two sets or more; one node for each set. The index is
-    shuffled once and never written: a window tells whether a key's sets differ."""
+def _shared_keys(index: DataFrame, s: JaccardSettings) -> DataFrame:
+    """key, node, n, place, rares, members, near. The index is shuffled once and never written: windows
+    over its keys tell which keys have two sets or more, and for those of few members which of the
+    members after a set can link with it (near). Rows stay that have such, or whose key has many."""
     key = Window.partitionBy("key")
     rows = index.withColumns({"low": F.min("d").over(key), "high": F.max("d").over(key)}).where("low <> high")
-    return rows.groupBy("key", "d").agg(F.min("node").alias("node"), *(F.first(c).alias(c) for c in ("n", "place", "rares"))).drop("d")
+    rows = rows.groupBy("key", "d").agg(F.min("node").alias("node"), *(F.first(c).alias(c) for c in ("n", "place", "rares")))
+    after = F.collect_list(F.struct("node", "n", "place")).over(key.orderBy("d").rowsBetween(1, s.few - 1))
+    rows = rows.withColumns({"members": F.count("*").over(key), "near": after})
+    near = F.filter("near", lambda x: (x["node"] != F.col("node")) & _close(s.percent, F.col("n"), F.col("place"), x["n"], x["place"]))
+    near = F.when(F.col("members") <= s.few, F.transform(near, lambda x: x["node"]))
+    return rows.withColumn("near", near).where((F.col("members") > s.few) | (F.size("near") > 0)).drop("d")
 
 
 BLOOM_BITS = 1 << 23
@@ -232,7 +239,8 @@ def filtered(docs: DataFrame, bloom: np.ndarray, column: str, inside: bool = Tru
                 bit = batch[k].to_numpy(np.int64)
                 ok &= (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
             rows = batch[ok == inside].drop(columns=["b1", "b2"])
-            yield then(rows) if then else rows
+            if len(rows):
+                yield then(rows) if then else rows
 
     marked = docs.withColumns({f"b{k}": F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(BLOOM_BITS)) for k in (1, 2)})
     return marked.mapInPandas(run, schema or docs.schema)
@@ -351,28 +359,38 @@ def _rest(rows: DataFrame, bits: DataFrame, s: JaccardSettings) -> DataFrame:
 def _components(keys: DataFrame, docs: DataFrame, sets: DataFrame, s: JaccardSettings) -> DataFrame:
     """node, component of the sets that link."""
     links = joined = None
-    rows = keys
-    bits = sets.join(keys.select("node").distinct(), "node").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    rows = keys.where(F.col("members") > s.few).drop("members", "near")
+    nodes = keys.select("node").union(keys.select(F.explode("near"))).distinct()
+    bits = sets.join(nodes, "node").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     bits = common.materialise(bits, "parity-bits")
+    used = [bits]
     for turn in range(s.pivots + 1):
         if joined is not None:
             known = joined.withColumnRenamed("component", "__known")
             rows = rows.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("__known", "node")).drop("__known")
             spread = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
             rows = common.materialise(rows.join(spread, "key"), "open-keys")
+            used.append(rows)
             if rows.isEmpty():
                 break
         else:
             rows = rows.withColumn("component", F.col("node"))
         if turn < s.pivots:
             pairs, rows = _with_pivot(rows, s)
+            if turn == 0:
+                pairs = pairs.union(keys.select("node", F.explode("near").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = _alike(pairs, bits, s)
         else:
             pairs = _rest(rows, bits, s)
         pairs = common.materialise(pairs, "pairs")
+        if joined is not None and pairs.isEmpty():
+            common.discard(pairs)
+            continue
         found = common.materialise(_verified(pairs, docs, s), "links")
+        common.discard(pairs)
         links = found if links is None else links.union(found)
         joined = common.materialise(components(links, "a", "b"), "components")
+    common.discard(*used)
     return joined
 
 
@@ -394,8 +412,9 @@ def jaccard_groups(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     summaries = common.materialise(_summaries(docs, s), "summaries")
     rows = summaries.where("kind = 0").drop("kind")
     frequent = _frequent(summaries, rows.count(), s)
-    keys = common.materialise(_shared_keys(_index(docs, frequent, s)), "shared-keys")
+    keys = common.materialise(_shared_keys(_index(docs, frequent, s), s), "shared-keys")
     joined = _components(keys, docs, rows.select("node", "n", "bits"), s)
+    common.discard(keys)
     classes = rows.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("low"))
     named = joined.join(rows.select("node", "d0", "d1").distinct(), "node").select("d0", "d1", "component").distinct()
     classes = classes.join(named, ["d0", "d1"], "left")

@@ -288,7 +288,9 @@ def repeated_spans(docs: DataFrame, s: SuffixSettings) -> DataFrame:
     settled = common.join_sized(shared.drop("differ"), kinds.where("n > 1").select("key", "a0", "a1", "n"), ["key", "a0", "a1"], "n", shared.count())
     settled = settled.select("uid", (F.col("pos") - s.half).cast("long").alias("start"), (F.col("pos") + s.length).cast("long").alias("stop"))
     spans = settled.union(_sorted_extents(suffixes, docs, s))
-    return spans.groupBy("uid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = common.materialise(spans.groupBy("uid").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    common.discard(table, keys, shared, kinds, suffixes)
+    return spans
 
 
 def merged(spans, size: int) -> list[tuple[int, int]]:
@@ -305,7 +307,7 @@ def merged(spans, size: int) -> list[tuple[int, int]]:
 def _cut(docs: DataFrame, s: SuffixSettings, make, schema) -> DataFrame:
     """make(rows, removed runs of each) for all rows of docs (with uid, text and others). Only texts
     that lose something, and a few others, are shuffled to meet their spans."""
-    spans = common.materialise(repeated_spans(docs.select("uid", "text"), s), "spans")
+    spans = repeated_spans(docs.select("uid", "text"), s)
     bloom = id_filter(spans, "uid")
 
     def cut(batch: pd.DataFrame) -> pd.DataFrame:
