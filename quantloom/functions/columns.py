@@ -62,3 +62,28 @@ def ladder(*steps: tuple[Column, object], otherwise=None) -> Column:
 def rounded(df, digits: int = 6, skip: tuple = ()):
     """All double columns rounded: sums of floats differ in their last bits from engine to engine."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
+
+
+def with_percentiles(df, ranks: dict, cuts: int = 200):
+    """Columns of tie-averaged percentile ranks over the whole frame: name -> (x, lower_is_better, missing).
+
+    Each distinct value is counted once; the counts are cut at quantiles into ranges, summed within each
+    range on its own task, and the ranges' totals (at most cuts + 1 rows) are added before. So no task
+    sees all rows. At most `cuts` numbers for each rank reach the driver.
+    """
+    df = df.withColumns({f"__x_{name}": x.cast("double") for name, (x, _, _) in ranks.items()})
+    found = df.agg(*[F.percentile_approx(f"__x_{name}", [i / cuts for i in range(1, cuts)], 10_000).alias(name) for name in ranks]).first()
+    for name, (_, lower_is_better, missing) in ranks.items():
+        x = f"__x_{name}"
+        bounds = F.array(*[F.lit(float(b)) for b in sorted(set(found[name] or []))]).cast("array<double>")
+        values = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("__n"))
+        values = values.withColumn("__range", F.size(F.filter(bounds, lambda b: b < F.col(x))))
+        totals = values.groupBy("__range").agg(F.sum("__n").alias("__all"))
+        before = F.sum("__all").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # cuts + 1 rows at most
+        totals = totals.select("__range", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__all").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"))
+        below = F.coalesce(F.sum("__n").over(Window.partitionBy("__range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__before")
+        values = values.join(F.broadcast(totals), "__range")
+        below = F.col("__total") - below - F.col("__n") if lower_is_better else below
+        values = values.select(F.col(x), ((below + (F.col("__n") + 1) / 2) / F.col("__total") * 100).alias(name))
+        df = df.join(values, x, "left").withColumn(name, F.coalesce(clip(F.col(name), 0, 100), F.lit(float(missing)))).drop(x)
+    return df

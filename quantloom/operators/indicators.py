@@ -88,9 +88,12 @@ def change_60d(df: DataFrame) -> DataFrame:
 
 def trend_state(df: DataFrame) -> DataFrame:
     """Order of the averages of 5, 10 and 20 rows; strong if their spread is wide and grows."""
-    spread = F.abs(c("ma5") - c("ma20")) / c("ma20") * 100
+    # A rising spread is measured against the slow average, a falling one against the fast.
+    spread = F.when(c("ma5") < c("ma20"), (c("ma20") - c("ma5")) / c("ma5")).otherwise((c("ma5") - c("ma20")) / c("ma20")) * 100
     out = moving_averages(df, (5, 10, 20)).withColumn("spread", spread)
-    wide = (c("spread") > 5) & (c("spread") > F.lag("spread", 4).over(history()))
+    fast, slow = F.lag("ma5", 4).over(history()), F.lag("ma20", 4).over(history())
+    before = F.when(c("ma5") < c("ma20"), (slow - fast) / fast).otherwise((fast - slow) / slow) * 100
+    wide = (c("spread") > 5) & (c("spread") > before)
     up, down = (c("ma5") > c("ma10")) & (c("ma10") > c("ma20")), (c("ma5") < c("ma10")) & (c("ma10") < c("ma20"))
     known = c("ma20").isNotNull()
     return out.withColumn("trend", F.when(known, ladder((up & wide, "STRONG_BULL"), (up, "BULL"), (down & wide, "STRONG_BEAR"), (down, "BEAR"), ((c("ma5") > c("ma10")) & (c("ma10") <= c("ma20")), "WEAK_BULL"), ((c("ma5") < c("ma10")) & (c("ma10") >= c("ma20")), "WEAK_BEAR"), otherwise="CONSOLIDATION"))).drop("spread")
@@ -145,12 +148,13 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Data
 
 
 def macd_signal(df: DataFrame) -> DataFrame:
-    """Crosses of DIF and DEA or of DIF and zero, then which side they are on."""
+    """Crosses of DIF and DEA or of DIF and zero, then which side they are on; between the sides it counts
+    as bullish. Null before the slow average's number of rows."""
     out, w = macd(df), history()
     d0, d1 = F.lag(c("dif") - c("dea")).over(w), c("dif") - c("dea")
     z0, z1 = F.lag("dif").over(w), c("dif")
     golden, death = (d0 <= 0) & (d1 > 0), (d0 >= 0) & (d1 < 0)
-    return out.withColumn("signal", ladder((golden & (z1 > 0), "GOLDEN_CROSS_ZERO"), ((z0 <= 0) & (z1 > 0), "CROSSING_UP"), (golden, "GOLDEN_CROSS"), (death, "DEATH_CROSS"), ((z0 >= 0) & (z1 < 0), "CROSSING_DOWN"), ((z1 > 0) & (c("dea") > 0), "BULLISH"), ((z1 < 0) & (c("dea") < 0), "BEARISH"), otherwise="NEUTRAL"))
+    return out.withColumn("signal", ladder((golden & (z1 > 0), "GOLDEN_CROSS_ZERO"), ((z0 <= 0) & (z1 > 0), "CROSSING_UP"), (golden, "GOLDEN_CROSS"), (death, "DEATH_CROSS"), ((z0 >= 0) & (z1 < 0), "CROSSING_DOWN"), ((z1 > 0) & (c("dea") > 0), "BULLISH"), ((z1 < 0) & (c("dea") < 0), "BEARISH"), otherwise="BULLISH")).withColumn("signal", F.when(F.row_number().over(w) >= 26, c("signal")))
 
 
 def wilder_rsi(df: DataFrame, n: int = 14) -> DataFrame:
@@ -188,25 +192,53 @@ def cci(df: DataFrame, n: int = 14) -> DataFrame:
     return out.withColumn("cci", (c("tp") - c("mean")) / F.nullif(0.015 * c("dev"), F.lit(0.0))).drop("tp", "mean", "tps", "dev")
 
 
+def macd_status(df: DataFrame, least_rows: int = 35) -> DataFrame:
+    """code, macd_status of the last row: bullish above the signal line and zero, bearish below both. A fold
+    over one instrument's ordered closes, on the JVM."""
+    step = "named_struct('f', x * (2D / 13) + a.f * (1 - 2D / 13), 's', x * (2D / 27) + a.s * (1 - 2D / 27))"
+    fold = f"aggregate(slice(x, 2, size(x)), named_struct('f', x[0], 's', x[0], 'd', 0D), (a, x) -> transform(array({step}), e -> named_struct('f', e.f, 's', e.s, 'd', (e.f - e.s) * 0.2D + a.d * (1 - 0.2D)))[0])"
+    closes = df.where(c("close").isNotNull()).groupBy("code").agg(F.sort_array(F.collect_list(F.struct("date", "close"))).alias("x"))
+    out = closes.select("code", F.size("x").alias("n"), F.transform("x", lambda e: e["close"].cast("double")).alias("x")).withColumn("m", F.expr(fold))
+    dif = c("m.f") - c("m.s")
+    return out.select("code", F.when(c("n") < least_rows, "neutral").otherwise(ladder(((dif > c("m.d")) & (dif > 0), "bullish"), ((dif < c("m.d")) & (dif < 0), "bearish"), otherwise="neutral")).alias("macd_status"))
+
+
+def signal_score() -> Column:
+    """50 and bonuses for order, place, momentum and exhaustion, from the columns of daily_features()."""
+    change = c("change_60d")
+    score = F.lit(50.0) + F.when(c("ma_bullish"), 14.0).otherwise(0.0) + F.when(c("price_above_ma20"), 10.0).otherwise(0.0)
+    score = score + ladder((c("macd_status") == "bullish", 12.0), (c("macd_status") == "bearish", -12.0), otherwise=0.0)
+    drift = F.when((change >= 0) & (change <= 35), F.least(change * 0.35, F.lit(12.0))).when(change > 60, -F.least((change - 60) * 0.20, F.lit(12.0))).when(change < -25, -F.least(F.abs(change + 25) * 0.25, F.lit(10.0))).otherwise(0.0)
+    return clip(score + drift + ladder((c("rsi_status") == "oversold", 4.0), (c("rsi_status") == "overbought", -6.0), otherwise=0.0), 0, 100)
+
+
 def daily_features(df: DataFrame) -> DataFrame:
     """The latest row of each instrument with the features that screening reads."""
     out = df
     for step in (volume_ratios, true_range, volatility, drawdown, consolidation, change_60d, simple_rsi):
         out = step(out)
-    out = shape(out).withColumns({f"ma{n}": rolling(F.avg, c("close"), n) for n in (5, 10, 60)})
+    # ma60 is null before 60 rows here; moving_averages() has the fallback.
+    out = shape(out).withColumns({f"ma{n}": rolling(F.avg, c("close"), n) for n in (5, 60)} | {"daily_data_points": F.count("close").over(Window.partitionBy("code"))})
     # Every window above has the same partition and order: one shuffle and one sort serve all.
-    score = F.lit(50.0) + F.when(c("close") > c("ma20"), 8.0).otherwise(0.0) + F.when(c("ma5") > c("ma10"), 6.0).otherwise(0.0) + F.when(c("ma10") > c("ma20"), 6.0).otherwise(0.0) - F.when(c("rsi_status") == "overbought", 8.0).otherwise(0.0) + F.when(c("rsi_status") == "oversold", 5.0).otherwise(0.0)
     last = F.row_number().over(Window.partitionBy("code").orderBy(c("date").desc()))
-    return out.withColumn("signal_score", clip(score, 0, 100)).withColumn("rn", last).where("rn = 1").drop("rn")
-
-
-def bar_quality(df: DataFrame, least_rows: int = 60) -> DataFrame:
-    """Per instrument: bars that break a rule, and a score with flags."""
-    bad_range = (c("high") < F.greatest("open", "close", "low")) | (c("low") > F.least("open", "close", "high"))
-    out = df.groupBy("code").agg(F.count("*").alias("rows"), F.count_if(c("close").isNull()).alias("missing"), F.count_if(c("volume") < 0).alias("negative_volume"), F.count_if(bad_range).alias("invalid_ohlc"), F.count_if(c("close") <= 0).alias("non_positive"))
-    flags = F.concat_ws(";", F.when(c("rows") < least_rows, "short_history"), F.when(c("missing") > 0, "missing_close"), F.when(c("negative_volume") > 0, "negative_volume"), F.when(c("invalid_ohlc") > 0, "invalid_ohlc"), F.when(c("non_positive") > 0, "non_positive_price"))
-    points = sum((F.when(cond, p).otherwise(0.0) for cond, p in ((c("rows") < least_rows, 25.0), (c("missing") > 0, 15.0), (c("negative_volume") > 0, 20.0), (c("invalid_ohlc") > 0, 20.0), (c("non_positive") > 0, 25.0))), F.lit(0.0))
-    return out.withColumns({"flags": flags, "score": clip(100 - points, 0, 100)})
+    out = out.withColumn("rn", last).where("rn = 1").drop("rn").join(macd_status(df), "code").join(bar_quality(df), "code", "left")
+    known = lambda x: F.coalesce(x, F.lit(False))
+    out = out.withColumns({"ma_bullish": known((c("ma5") >= c("ma20")) & (c("ma20") >= c("ma60"))), "price_above_ma20": known(c("close") >= c("ma20"))})
+    return out.withColumn("signal_score", signal_score())
+
+
+def bar_quality(df: DataFrame, stale: bool = False, source_errors: int = 0) -> DataFrame:
+    """Per instrument: daily_quality_score and daily_quality_flags (joined by ;), after bars without a close
+    are left out and open, high and low are filled from it."""
+    bars_ = df.where(c("close").isNotNull()).select("code", "close", "volume", *[F.coalesce(x, "close").alias(x) for x in ("open", "high", "low")])
+    bad_range = (c("high") < c("low")) | (c("high") < c("open")) | (c("high") < c("close")) | (c("low") > c("open")) | (c("low") > c("close"))
+    out = bars_.groupBy("code").agg(F.count("*").alias("rows"), F.avg(c("volume").isNull().cast("double")).alias("no_volume"), F.max(c("volume") < 0).alias("negative"), F.max(bad_range).alias("invalid"), F.max(F.least("open", "high", "low", "close") <= 0).alias("low_price"))
+    rules = [
+        (c("rows") < 30, F.lit(35.0), "short_history_lt30"), ((c("rows") >= 30) & (c("rows") < 60), F.lit(15.0), "short_history_lt60"), (c("no_volume") > 0, F.least(c("no_volume") * 20, F.lit(10.0)), "incomplete_volume"), (c("negative"), F.lit(20.0), "negative_volume"),
+        (c("invalid"), F.lit(30.0), "invalid_ohlc"), (c("low_price"), F.lit(35.0), "non_positive_price"), (F.lit(stale), F.lit(25.0), "stale_cache"), (F.lit(source_errors > 0), F.lit(float(min(source_errors * 5, 20))), "fallback_errors"),
+    ]
+    lost = sum((F.when(cond, points).otherwise(0.0) for cond, points, _ in rules), F.lit(0.0))
+    return out.select("code", clip(100 - lost, low=0).alias("daily_quality_score"), F.concat_ws(";", *[F.when(cond, F.lit(name)) for cond, _, name in rules]).alias("daily_quality_flags"))
 
 
 def candles(df: DataFrame) -> DataFrame:

@@ -59,8 +59,9 @@ QUERIES = {
     "w21_change_60d": _query(ind.change_60d, "change_60d"),
     "w23_trend_state": _query(ind.trend_state, "trend"),
     "w28_edge_cross": _query(lambda df: ind.edge_cross(ind.moving_averages(df, (20,)), "close", "ma20"), "cross"),
-    "w29_daily_features": _query(ind.daily_features, "ma5", "ma10", "ma20", "ma60", "volume_ratio", "atr_20_pct", "rsi_status", "change_60d", "consolidation_days", "signal_score"),
-    "w30_bar_quality": lambda s, d: ind.bar_quality(tables.daily_bars(s, d)),
+    "w29_daily_features": _query(ind.daily_features, "ma5", "ma20", "ma60", "volume_ratio", "atr_20_pct", "rsi_status", "change_60d", "consolidation_days", "macd_status", "ma_bullish", "price_above_ma20", "rsi", "daily_data_points", "daily_quality_score", "daily_quality_flags", "volume_ratio_20d", "body_pct", "prev_high_20d", "range_20d_pct", "breakout_20d_pct", "pullback_ma20_pct", "volatility_20d_pct", "max_drawdown_20d_pct", "signal_score"),
+    "w9_macd_status": lambda s, d: ind.macd_status(tables.daily_bars(s, d)),
+    "w30_bar_quality": lambda s, d: rounded(ind.bar_quality(tables.daily_bars(s, d))),
     "w31_candles": lambda s, d: ind.candles(tables.weekly_bars(s, d)).groupBy("code").agg(*[F.count_if(F.col(x)).alias(x) for x in ("doji", "hammer", "shooting_star", "bullish_engulfing", "bearish_engulfing")]),
     "w33_w36_point_in_time": _query(ind.point_in_time, "return_1d", "adv20", "variation_20", "atr14", source=tables.weekly_bars),
     "w49_adjusted_prices": _adjust,
@@ -87,6 +88,11 @@ def _days(percent: float) -> str:
 _DELTA = f"d AS (SELECT *, close - {LAG} AS d FROM bars), gl AS (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS g, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS l FROM d)"
 _RSI = f"rs AS (SELECT *, 100 - 100 / (1 + {_full('avg', 'g', 14)} / nullif({_full('avg', 'l', 14)}, 0)) AS rsi FROM gl)"
 _STATUS = "CASE WHEN rsi <= 35 THEN 'oversold' WHEN rsi >= 70 THEN 'overbought' ELSE 'neutral' END"
+_MSTATUS = """ml AS (SELECT code, count(*) AS n, list_reduce(list({'f': close, 's': close, 'd': 0::DOUBLE} ORDER BY date), lambda a, x: {'f': x.f * (2 / 13) + a.f * (1 - 2 / 13), 's': x.s * (2 / 27) + a.s * (1 - 2 / 27), 'd': ((x.f * (2 / 13) + a.f * (1 - 2 / 13)) - (x.s * (2 / 27) + a.s * (1 - 2 / 27))) * 0.2::DOUBLE + a.d * 0.8::DOUBLE}) AS m FROM bars GROUP BY code),
+  ms AS (SELECT code, CASE WHEN n < 35 THEN 'neutral' WHEN m.f - m.s > m.d AND m.f - m.s > 0 THEN 'bullish' WHEN m.f - m.s < m.d AND m.f - m.s < 0 THEN 'bearish' ELSE 'neutral' END AS macd_status FROM ml)"""
+_QUALITY = """qr AS (SELECT code, count(*) AS n, bool_or(volume < 0) AS neg, bool_or(high < low OR high < open OR high < close OR low > open OR low > close) AS inv, bool_or(least(open, high, low, close) <= 0) AS nonpos FROM bars WHERE close IS NOT NULL GROUP BY code),
+  qs AS (SELECT code, CAST(greatest(0, 100 - CASE WHEN n < 30 THEN 35 WHEN n < 60 THEN 15 ELSE 0 END - CASE WHEN neg THEN 20 ELSE 0 END - CASE WHEN inv THEN 30 ELSE 0 END - CASE WHEN nonpos THEN 35 ELSE 0 END) AS DOUBLE) AS score,
+    concat_ws(';', CASE WHEN n < 30 THEN 'short_history_lt30' WHEN n < 60 THEN 'short_history_lt60' END, CASE WHEN neg THEN 'negative_volume' END, CASE WHEN inv THEN 'invalid_ohlc' END, CASE WHEN nonpos THEN 'non_positive_price' END) AS flags FROM qr)"""
 
 ORACLES = {
     "w1_partial_averages": B + "SELECT code, date, " + ", ".join(f"round(avg(close) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 6) AS ma{n}" for n in (5, 10, 20)) + " FROM bars",
@@ -94,9 +100,9 @@ ORACLES = {
     "w3_bias": B + f", m AS (SELECT *, {_MA(5)} AS ma5, {_MA(10)} AS ma10, {_MA(20)} AS ma20 FROM bars) SELECT code, date, " + ", ".join(f"round((close - ma{n}) / ma{n} * 100, 6) AS bias{n}" for n in (5, 10, 20)) + ", close > ma20 AS above20 FROM m",
     "w4_w6_volume_ratios": B + f"SELECT code, date, round({_VR}, 6) AS volume_ratio, round(CASE WHEN avg(volume) OVER {_PREV20} > 0 THEN volume / avg(volume) OVER {_PREV20} END, 6) AS volume_ratio_20d FROM bars",
     "w8_macd": _MACD + " SELECT code, date, round(dif, 6) AS dif, round(dea, 6) AS dea, round(2 * (dif - dea), 6) AS macd FROM m",
-    "w10_macd_signal": _MACD + """, p AS (SELECT *, lag(dif - dea) OVER w AS d0, dif - dea AS d1, lag(dif) OVER w AS z0 FROM m WINDOW w AS (PARTITION BY code ORDER BY date))
-      SELECT CASE WHEN d0 <= 0 AND d1 > 0 AND dif > 0 THEN 'GOLDEN_CROSS_ZERO' WHEN z0 <= 0 AND dif > 0 THEN 'CROSSING_UP' WHEN d0 <= 0 AND d1 > 0 THEN 'GOLDEN_CROSS' WHEN d0 >= 0 AND d1 < 0 THEN 'DEATH_CROSS'
-        WHEN z0 >= 0 AND dif < 0 THEN 'CROSSING_DOWN' WHEN dif > 0 AND dea > 0 THEN 'BULLISH' WHEN dif < 0 AND dea < 0 THEN 'BEARISH' ELSE 'NEUTRAL' END AS signal, count(*) AS n FROM p GROUP BY 1""",
+    "w10_macd_signal": _MACD + """, p AS (SELECT *, row_number() OVER w AS nth, lag(dif - dea) OVER w AS d0, dif - dea AS d1, lag(dif) OVER w AS z0 FROM m WINDOW w AS (PARTITION BY code ORDER BY date))
+      SELECT CASE WHEN nth < 26 THEN NULL WHEN d0 <= 0 AND d1 > 0 AND dif > 0 THEN 'GOLDEN_CROSS_ZERO' WHEN z0 <= 0 AND dif > 0 THEN 'CROSSING_UP' WHEN d0 <= 0 AND d1 > 0 THEN 'GOLDEN_CROSS' WHEN d0 >= 0 AND d1 < 0 THEN 'DEATH_CROSS'
+        WHEN z0 >= 0 AND dif < 0 THEN 'CROSSING_DOWN' WHEN dif > 0 AND dea > 0 THEN 'BULLISH' WHEN dif < 0 AND dea < 0 THEN 'BEARISH' ELSE 'BULLISH' END AS signal, count(*) AS n FROM p GROUP BY 1""",
     "w11_simple_rsi": B + f", {_DELTA}, {_RSI} SELECT code, date, round(rsi, 6) AS rsi, {_STATUS} AS rsi_status FROM rs",
     "w12_wilder_rsi": W + f""", dd AS (SELECT code, date, coalesce(close - {LAG}, 0) AS d FROM bars), ll AS (SELECT code, list(date ORDER BY date) AS d, list(greatest(d, 0) ORDER BY date) AS g, list(greatest(-d, 0) ORDER BY date) AS l FROM dd GROUP BY code),
       e AS (SELECT code, unnest(d) AS date, unnest({_ewm('g', '(1 / 14)')}) AS g, unnest({_ewm('l', '(1 / 14)')}) AS l FROM ll)
@@ -112,17 +118,21 @@ ORACLES = {
     "w19_shape": B + f"SELECT code, date, round((max(high) OVER {_LAST20} / min(low) OVER {_LAST20} - 1) * 100, 6) AS range_20d_pct, round(max(high) OVER {_PREV20}, 6) AS prev_high_20d, round((close / max(high) OVER {_PREV20} - 1) * 100, 6) AS breakout_20d_pct, round((close / open - 1) * 100, 6) AS body_pct, round((close / ({_MA(20)}) - 1) * 100, 6) AS pullback_ma20_pct FROM bars",
     "w20_consolidation": W + f"SELECT code, date, {_days(60.0)} AS consolidation_days FROM bars",
     "w21_change_60d": B + f"SELECT code, date, round({_CHANGE60}, 6) AS change_60d FROM bars",
-    "w23_trend_state": B + f""", m AS (SELECT code, date, {_MA(5)} AS a, {_MA(10)} AS b, {_MA(20)} AS c FROM bars), s AS (SELECT *, abs(a - c) / c * 100 AS sp FROM m), t AS (SELECT *, coalesce(sp > 5 AND sp > lag(sp, 4) OVER (PARTITION BY code ORDER BY date), false) AS wide FROM s)
+    "w23_trend_state": B + f""", m AS (SELECT code, date, {_MA(5)} AS a, {_MA(10)} AS b, {_MA(20)} AS c FROM bars), s AS (SELECT *, lag(a, 4) OVER (PARTITION BY code ORDER BY date) AS a4, lag(c, 4) OVER (PARTITION BY code ORDER BY date) AS c4 FROM m),
+      t AS (SELECT *, coalesce(CASE WHEN a < c THEN (c - a) / a * 100 > 5 AND (c - a) / a > (c4 - a4) / a4 ELSE (a - c) / c * 100 > 5 AND (a - c) / c > (a4 - c4) / c4 END, false) AS wide FROM s)
       SELECT code, date, CASE WHEN c IS NULL THEN NULL WHEN a > b AND b > c AND wide THEN 'STRONG_BULL' WHEN a > b AND b > c THEN 'BULL' WHEN a < b AND b < c AND wide THEN 'STRONG_BEAR' WHEN a < b AND b < c THEN 'BEAR' WHEN a > b AND b <= c THEN 'WEAK_BULL' WHEN a < b AND b >= c THEN 'WEAK_BEAR' ELSE 'CONSOLIDATION' END AS trend FROM t""",
     "w28_edge_cross": B + f", m AS (SELECT code, date, close - ({_MA(20)}) AS g FROM bars), p AS (SELECT *, lag(g) OVER (PARTITION BY code ORDER BY date) AS g0 FROM m) SELECT code, date, CASE WHEN g0 <= 0 AND g > 0 THEN 'up' WHEN g0 >= 0 AND g < 0 THEN 'down' END AS cross FROM p",
-    "w29_daily_features": B + f""", {_DELTA}, {_RSI}, t AS (SELECT *, {_TR} AS tr FROM rs), f AS (SELECT code, date, close, {_MA(5)} AS ma5, {_MA(10)} AS ma10, {_MA(20)} AS ma20, {_MA(60)} AS ma60, {_VR} AS volume_ratio,
-        CASE WHEN close > 0 THEN ({_full('avg', 'tr', 20)}) / close * 100 END AS atr_20_pct, {_STATUS} AS rsi_status, {_CHANGE60} AS change_60d, {_days(12.0)} AS consolidation_days FROM t),
-      g AS (SELECT *, 50 + CASE WHEN close > ma20 THEN 8 ELSE 0 END + CASE WHEN ma5 > ma10 THEN 6 ELSE 0 END + CASE WHEN ma10 > ma20 THEN 6 ELSE 0 END - CASE WHEN rsi_status = 'overbought' THEN 8 ELSE 0 END + CASE WHEN rsi_status = 'oversold' THEN 5 ELSE 0 END AS s FROM f QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1)
-      SELECT code, date, round(ma5, 6) AS ma5, round(ma10, 6) AS ma10, round(ma20, 6) AS ma20, round(ma60, 6) AS ma60, round(volume_ratio, 6) AS volume_ratio, round(atr_20_pct, 6) AS atr_20_pct, rsi_status, round(change_60d, 6) AS change_60d, consolidation_days, CAST(least(100, greatest(0, s)) AS DOUBLE) AS signal_score FROM g""",
-    "w30_bar_quality": B + """, q AS (SELECT code, count(*) AS rows, count_if(close IS NULL) AS missing, count_if(volume < 0) AS negative_volume, count_if(high < greatest(open, close, low) OR low > least(open, close, high)) AS invalid_ohlc, count_if(close <= 0) AS non_positive FROM bars GROUP BY code)
-      SELECT code, rows, CAST(missing AS BIGINT) AS missing, CAST(negative_volume AS BIGINT) AS negative_volume, CAST(invalid_ohlc AS BIGINT) AS invalid_ohlc, CAST(non_positive AS BIGINT) AS non_positive,
-        concat_ws(';', CASE WHEN rows < 60 THEN 'short_history' END, CASE WHEN missing > 0 THEN 'missing_close' END, CASE WHEN negative_volume > 0 THEN 'negative_volume' END, CASE WHEN invalid_ohlc > 0 THEN 'invalid_ohlc' END, CASE WHEN non_positive > 0 THEN 'non_positive_price' END) AS flags,
-        CAST(greatest(0, 100 - CASE WHEN rows < 60 THEN 25 ELSE 0 END - CASE WHEN missing > 0 THEN 15 ELSE 0 END - CASE WHEN negative_volume > 0 THEN 20 ELSE 0 END - CASE WHEN invalid_ohlc > 0 THEN 20 ELSE 0 END - CASE WHEN non_positive > 0 THEN 25 ELSE 0 END) AS DOUBLE) AS score FROM q""",
+    "w9_macd_status": B + f", {_MSTATUS} SELECT code, macd_status FROM ms",
+    "w29_daily_features": B + f""", {_DELTA}, {_RSI}, {_MSTATUS}, {_QUALITY}, t AS (SELECT *, {_TR} AS tr, close / {LAG} - 1 AS ret, list(close) OVER {_LAST20} AS x20 FROM rs), f AS (SELECT code, date, close, open, {_MA(5)} AS ma5, {_MA(20)} AS ma20, {_MA(60)} AS ma60, {_VR} AS volume_ratio, rsi,
+        CASE WHEN close > 0 THEN ({_full('avg', 'tr', 20)}) / close * 100 END AS atr_20_pct, {_STATUS} AS rsi_status, {_CHANGE60} AS change_60d, {_days(12.0)} AS consolidation_days, count(close) OVER (PARTITION BY code) AS daily_data_points,
+        CASE WHEN avg(volume) OVER {_PREV20} > 0 THEN volume / avg(volume) OVER {_PREV20} END AS volume_ratio_20d, (close / open - 1) * 100 AS body_pct, max(high) OVER {_PREV20} AS prev_high_20d, (max(high) OVER {_LAST20} / min(low) OVER {_LAST20} - 1) * 100 AS range_20d_pct,
+        ({_full('stddev_samp', 'ret', 19)}) * sqrt(252) * 100 AS volatility_20d_pct, CASE WHEN len(x20) = 20 THEN least(0, list_min([x20[i] / list_max(x20[1:i]) - 1 FOR i IN range(1, 21)])) * 100 END AS max_drawdown_20d_pct FROM t),
+      g AS (SELECT f.*, macd_status, score, flags, coalesce(ma5 >= ma20 AND ma20 >= ma60, false) AS ma_bullish, coalesce(close >= ma20, false) AS price_above_ma20 FROM f JOIN ms ON f.code = ms.code JOIN qs ON f.code = qs.code QUALIFY row_number() OVER (PARTITION BY f.code ORDER BY date DESC) = 1),
+      h AS (SELECT *, 50 + CASE WHEN ma_bullish THEN 14 ELSE 0 END + CASE WHEN price_above_ma20 THEN 10 ELSE 0 END + CASE macd_status WHEN 'bullish' THEN 12 WHEN 'bearish' THEN -12 ELSE 0 END + CASE rsi_status WHEN 'oversold' THEN 4 WHEN 'overbought' THEN -6 ELSE 0 END
+        + CASE WHEN change_60d BETWEEN 0 AND 35 THEN least(change_60d * 0.35::DOUBLE, 12) WHEN change_60d > 60 THEN -least((change_60d - 60) * 0.2::DOUBLE, 12) WHEN change_60d < -25 THEN -least(abs(change_60d + 25) * 0.25::DOUBLE, 10) ELSE 0 END AS s FROM g)
+      SELECT code, date, """ + ", ".join(f"round({x}, 6) AS {x}" for x in ("ma5", "ma20", "ma60", "volume_ratio", "atr_20_pct", "change_60d", "rsi", "volume_ratio_20d", "body_pct", "prev_high_20d", "range_20d_pct", "volatility_20d_pct", "max_drawdown_20d_pct")) + """, rsi_status, consolidation_days, macd_status, ma_bullish, price_above_ma20, daily_data_points, round(score, 6) AS daily_quality_score, flags AS daily_quality_flags,
+        round((close / prev_high_20d - 1) * 100, 6) AS breakout_20d_pct, round((close / ma20 - 1) * 100, 6) AS pullback_ma20_pct, round(least(100, greatest(0, s)), 6) AS signal_score FROM h""",
+    "w30_bar_quality": B + f", {_QUALITY} SELECT code, round(score, 6) AS daily_quality_score, flags AS daily_quality_flags FROM qs",
     "w31_candles": W + """, p AS (SELECT *, abs(close - open) AS b, high - low AS s, high - greatest(open, close) AS u, least(open, close) - low AS l, lag(open) OVER w AS o1, lag(close) OVER w AS c1 FROM bars WINDOW w AS (PARTITION BY code ORDER BY date))
       SELECT code, CAST(count_if(s > 0 AND b <= 0.1::DOUBLE * s) AS BIGINT) AS doji, CAST(count_if(s > 0 AND l >= 2 * b AND u <= b AND b > 0) AS BIGINT) AS hammer, CAST(count_if(s > 0 AND u >= 2 * b AND l <= b AND b > 0) AS BIGINT) AS shooting_star,
         CAST(count_if(c1 < o1 AND close > open AND close >= o1 AND open <= c1) AS BIGINT) AS bullish_engulfing, CAST(count_if(c1 > o1 AND close < open AND close <= o1 AND open >= c1) AS BIGINT) AS bearish_engulfing FROM p GROUP BY code""",

@@ -53,15 +53,19 @@ _F = _S + f"""f AS (SELECT *,
 _SC = _F + ", g AS (SELECT *, value_score * 0.25::DOUBLE + momentum_score * 0.25::DOUBLE + liquidity_score * 0.15::DOUBLE + activity_score * 0.15::DOUBLE + stability_score * 0.1::DOUBLE + size_score * 0.1::DOUBLE AS screen_score FROM f)"
 _RULES_SQL = ["(NOT coalesce(regexp_matches(name, 'ST|退'), false))", "coalesce(price >= 1000, false)", "coalesce(pe_ratio > 0 AND pe_ratio <= 500, false)", "coalesce(turnover_rate <= 15, false)", "coalesce(concepts IN ('ASIA', 'EUROPE', 'AMERICA'), false)"]
 _N = ["count(*) AS n0", *(f"count_if({' AND '.join(_RULES_SQL[: i + 1])}) AS n{i + 1}" for i in range(5))]
-_RISK = "CASE WHEN change_pct >= 8 THEN 3 ELSE 0 END + CASE WHEN turnover_rate >= 15 THEN 2 ELSE 0 END + CASE WHEN volume_ratio >= 6 THEN 2 ELSE 0 END + CASE WHEN pe_ratio <= 0 THEN 3 ELSE 0 END + CASE WHEN change_60d <= -35 THEN 2 ELSE 0 END"
+_RULES = [
+    ("single_day_chase_risk", "change_pct >= 8", 4), ("single_day_breakdown_risk", "change_pct <= -7", 3.5), ("abnormal_volume_ratio", "volume_ratio >= 6", 3), ("high_turnover", "turnover_rate >= 15", 3), ("negative_or_invalid_pe", "pe_ratio <= 0", 3), ("high_pb", "pb_ratio >= 8", 2),
+    ("weak_daily_signal", "signal_score < 45", 2.5), ("macd_bearish", "macd_status = 'bearish'", 2), ("rsi_overbought", "rsi_status = 'overbought'", 1.5),
+]
+_RISK = "CAST(" + " + ".join(f"CASE WHEN {cond} THEN {n} ELSE 0 END" for _, cond, n in _RULES) + " AS DOUBLE)"
 
 ORACLES = {
     "p1_hard_filters": f"WITH {tables.SNAPSHOT_SQL} SELECT code, name, price, pe_ratio FROM snap WHERE {' AND '.join(_RULES_SQL)}",
     "p6_filter_waterfall": f"WITH {tables.SNAPSHOT_SQL}, n AS (SELECT {', '.join(_N)} FROM snap), u AS (" + " UNION ALL ".join(f"SELECT {i} AS step, '{r}' AS rule, CAST(n{i - 1} AS BIGINT) AS before, CAST(n{i} AS BIGINT) AS after FROM n" for i, r in enumerate(RULE_NAMES, 1)) + ") SELECT step, rule, before, after, before - after AS removed, round(CASE WHEN before > 0 THEN (before - after) / before * 100 ELSE 0 END, 6) AS removed_pct FROM u",
     "f1_f7_factor_scores": _F + " SELECT code, " + ", ".join(f"round({f}_score, 6) AS {f}_score" for f in scr.FACTORS) + " FROM f",
     "f10_r2_r3_candidates": _SC + " SELECT code, round(screen_score, 6) AS screen_score, round(value_score, 6) AS value_score FROM g ORDER BY g.screen_score DESC, momentum_score DESC, g.value_score DESC, activity_score DESC, liquidity_score DESC, size_score DESC, stability_score DESC, code LIMIT 20",
-    "f12_risk": f"WITH {tables.SNAPSHOT_SQL} SELECT code, {_RISK} AS risk_points, concat_ws(',', CASE WHEN change_pct >= 8 THEN 'hot' END, CASE WHEN turnover_rate >= 15 THEN 'turnover' END, CASE WHEN volume_ratio >= 6 THEN 'ratio' END, CASE WHEN pe_ratio <= 0 THEN 'loss' END, CASE WHEN change_60d <= -35 THEN 'fall' END) AS risk_flags, CASE WHEN {_RISK} >= 7.92 THEN 'high' WHEN {_RISK} >= 3.96 THEN 'medium' ELSE 'low' END AS risk_level FROM snap",
-    "f13_concentration": _SC + ", h AS (SELECT *, CAST(least(greatest(row_number() OVER (PARTITION BY concepts ORDER BY screen_score DESC, code) - 2, 0) * 4, 12) AS DOUBLE) AS penalty FROM g) SELECT code, concepts, penalty, round(screen_score - penalty, 6) AS final_score FROM h",
+    "f12_risk": f"WITH {tables.SNAPSHOT_SQL} SELECT code, {_RISK} AS risk_points, concat_ws(',', " + ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond, _ in _RULES) + f") AS risk_flags, CASE WHEN {_RISK} >= 7.92 THEN 'high' WHEN {_RISK} >= 3.96 THEN 'medium' ELSE 'low' END AS risk_level FROM snap",
+    "f13_concentration": _SC + ", h AS (SELECT *, CAST(least(greatest(row_number() OVER (PARTITION BY concepts ORDER BY screen_score DESC, code) - 1, 0) * 4, 12) AS DOUBLE) AS penalty FROM g) SELECT code, concepts, penalty, round(screen_score - penalty, 6) AS final_score FROM h",
     "f17_f19_board_heat": f"WITH {tables.SNAPSHOT_SQL}, h AS (SELECT industry, avg(change_pct) AS ch, avg(code) AS rk FROM snap GROUP BY 1) SELECT industry, round(least(100, greatest(0, 50 + ch * 6 + greatest(0, 12 - least(rk, 12)))), 6) AS heat, CASE WHEN ch >= 3 THEN 'accelerating' WHEN ch > 0 THEN 'warming' ELSE 'cooling' END AS phase FROM h",
     "f20_name_match": "WITH x AS (SELECT n_nationkey, list_distinct(string_split(n_name, '')) AS a, list_distinct(string_split('NATION_7', '')) AS b FROM nation) SELECT n_nationkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM x",
     "r1_percentile_rank": f"WITH {tables.BARS_SQL} SELECT code, date, round({_pct('close', False, 50, 'date')}, 6) AS score FROM bars",
