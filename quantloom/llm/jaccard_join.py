@@ -38,8 +38,8 @@ class JaccardSettings:
     least_frequent: int = 8  # sets that hold it, whatever the share
     least_very: int = 64
     frequent_tokens: int = 100_000  # most of them that are told; the choice only affects speed
-    triples: int = 12  # longest prefix whose very frequent tokens are indexed in threes
-    pairs: int = 40  # longest prefix whose frequent tokens are indexed in twos; beyond, all are keys alone
+    triples: int = 5  # longest prefix whose very frequent tokens are indexed in threes
+    pairs: int = 12  # longest prefix whose frequent tokens are indexed in twos; beyond, all are keys alone
     words_of_bits: int = 16  # of 64 bits, in which each token of a set flips one
     few: int = 32  # members of a key that are all compared at once
     pivots: int = 2  # of a key with more, before what is left is compared pair by pair
