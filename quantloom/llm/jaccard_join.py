@@ -202,7 +202,8 @@ def _index(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], s: JaccardS
 def _shared_keys(index: DataFrame, s: JaccardSettings) -> DataFrame:
     """key, node, n, place, rares, members, near. The index is shuffled once and never written: windows
     over its keys tell which keys have two sets or more, and for those of few members which of the
-    members after a set can link with it (near). Rows stay that have such, or whose key has many."""
+    members after a set can link with it (near). Rows stay that have such, or whose key has many; `same`
+    is equal for keys of equal members."""
     key = Window.partitionBy("key")
     rows = index.withColumns({"low": F.min("d").over(key), "high": F.max("d").over(key)}).where("low <> high")
     rows = rows.groupBy("key", "d").agg(F.min("node").alias("node"), *(F.first(c).alias(c) for c in ("n", "place", "rares")))
@@ -210,7 +211,8 @@ def _shared_keys(index: DataFrame, s: JaccardSettings) -> DataFrame:
     rows = rows.withColumns({"members": F.count("*").over(key), "near": after})
     near = F.filter("near", lambda x: (x["node"] != F.col("node")) & _close(s.percent, F.col("n"), F.col("place"), x["n"], x["place"]))
     near = F.when(F.col("members") <= s.few, F.transform(near, lambda x: x["node"]))
-    return rows.withColumn("near", near).where((F.col("members") > s.few) | (F.size("near") > 0)).drop("d")
+    same = F.xxhash64("members", F.bit_xor(F.xxhash64("node")).over(key), F.bit_xor(F.xxhash64("node", F.lit(1))).over(key))
+    return rows.withColumns({"near": near, "same": same}).where((F.col("members") > s.few) | (F.size("near") > 0)).drop("d")
 
 
 BLOOM_BITS = 1 << 23
@@ -359,11 +361,13 @@ def _rest(rows: DataFrame, bits: DataFrame, s: JaccardSettings) -> DataFrame:
 def _components(keys: DataFrame, docs: DataFrame, sets: DataFrame, s: JaccardSettings) -> DataFrame:
     """node, component of the sets that link."""
     links = joined = None
-    rows = keys.where(F.col("members") > s.few).drop("members", "near")
+    # Of keys with the same members one stays, with each member's first place: copies share hundreds.
+    rows = keys.where(F.col("members") > s.few).groupBy(F.col("same").alias("key"), "node").agg(F.first("n").alias("n"), F.min("place").alias("place"), F.first("rares").alias("rares"))
+    rows = common.materialise(rows, "large-keys")
     nodes = keys.select("node").union(keys.select(F.explode("near"))).distinct()
     bits = sets.join(nodes, "node").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     bits = common.materialise(bits, "parity-bits")
-    used = [bits]
+    used = [bits, rows]
     for turn in range(s.pivots + 1):
         if joined is not None:
             known = joined.withColumnRenamed("component", "__known")
