@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 from quantloom.llm import common
 
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII that isn't a letter becomes a space; other bytes stay.
 TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -120,7 +118,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether the score is too low to rely on, for each text."""
-        spoken = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
+        spoken = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
         names, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         if spoken and self.languages:
             buckets, owners = subwords([texts[i] for i in spoken], self.settings)
