@@ -7,9 +7,11 @@ n - least + i tokens of both: the prefix, extended by i - 1. So each linked pair
 token if that one is rare, under its first two if the first is frequent, and under its first three if
 that one is very frequent; these combinations are the index keys.
 
-The members of a key with few are all compared. Those of others are compared with one pivot at a time, the member nearest to the common part of the group, and members of
-one component aren't compared any more: a group of copies costs one comparison for each member. What is still open after a few
-pivots is compared pair by pair. Comparisons are made on the words themselves.
+The members of a key with few are all compared. Those of others are compared with one pivot at a time,
+the member nearest to the common part of the group, and members of one component aren't compared any
+more: a group of copies costs one comparison for each member. What is still open after a few pivots is
+compared pair by pair. Parity bits, as many as a long set has tokens, rule pairs out before texts are
+fetched; comparisons are made on the words themselves.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ class JaccardSettings:
     triples: int = 5  # longest prefix whose very frequent tokens are indexed in threes
     pairs: int = 12  # longest prefix whose frequent tokens are indexed in twos; beyond, all are keys alone
     words_of_bits: int = 16  # of 64 bits, in which each token of a set flips one
+    most_words: int = 512  # for a set of more tokens than bits: as many bits as it has tokens, up to this
     few: int = 32  # members of a key that are all compared at once
     pivots: int = 2  # of a key with more, before what is left is compared pair by pair
     block: int = 20_000  # members of a key that one task pairs with one another
@@ -71,8 +74,20 @@ def parity_bits(values: np.ndarray, starts: np.ndarray, words: int) -> np.ndarra
     return np.packbits((flat & 1).astype(np.uint8).reshape(bits.shape), axis=1).view(np.int64)
 
 
+def long_bits(values: np.ndarray, starts: np.ndarray, s: JaccardSettings) -> list:
+    """For each set of more tokens than words_of_bits has bits, parity bits in keeping with its length,
+    since in a few bits all long sets look alike; None for others."""
+    out: list = [None] * (len(starts) - 1)
+    for i in np.flatnonzero(np.diff(starts) > 64 * s.words_of_bits):
+        own = values[starts[i] : starts[i + 1]]
+        size = 64 * min(s.most_words, 1 << int(len(own) - 1).bit_length() - 6)
+        flips = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+        out[i] = np.packbits(flips.astype(np.uint8)).view(np.int64)
+    return out
+
+
 def _summaries(docs: DataFrame, s: JaccardSettings) -> DataFrame:
-    """kind 0: node, doc_id, set size, digest of the set, its parity bits. kind 1: token, how many sets of a
+    """kind 0: node, doc_id, set size, digest of the set, its parity bits, those of a long set. kind 1: token, how many sets of a
     task hold it, for the tokens that a fair share of the task's documents hold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,7 +97,7 @@ def _summaries(docs: DataFrame, s: JaccardSettings) -> DataFrame:
         for batch in batches:
             values, starts = shingle_sets(batch["text"].tolist(), s.words)
             digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(values[a:b].tobytes()), "<i8") for a, b in zip(starts[:-1], starts[1:], strict=True)]).reshape(-1, 2)
-            yield pd.DataFrame({"kind": 0, "node": batch["node"], "doc_id": batch["id"].astype("Int64").where(batch["known"]), "n": np.diff(starts), "d0": digests[:, 0], "d1": digests[:, 1], "bits": list(parity_bits(values, starts, s.words_of_bits))})
+            yield pd.DataFrame({"kind": 0, "node": batch["node"], "doc_id": batch["id"].astype("Int64").where(batch["known"]), "n": np.diff(starts), "d0": digests[:, 0], "d1": digests[:, 1], "bits": list(parity_bits(values, starts, s.words_of_bits)), "wide": long_bits(values, starts, s)})
             n_docs += len(batch)
             # Running counts of this task; when they grow large the rarest go, as in a frequency sketch.
             all_tokens, place = np.unique(np.concatenate([tokens, values]), return_inverse=True)
@@ -92,10 +107,10 @@ def _summaries(docs: DataFrame, s: JaccardSettings) -> DataFrame:
                 tokens, counts = tokens[counts > 1], counts[counts > 1]
         top = counts >= max(min(3, s.least_frequent), s.frequent_share * n_docs)
         order = np.argsort(-counts[top], kind="stable")[: s.frequent_tokens]
-        yield pd.DataFrame({"kind": 1, "node": tokens[top][order].astype(np.int64), "doc_id": pd.array([None] * len(order), "Int64"), "n": counts[top][order], "d0": 0, "d1": 0, "bits": None})
+        yield pd.DataFrame({"kind": 1, "node": tokens[top][order].astype(np.int64), "doc_id": pd.array([None] * len(order), "Int64"), "n": counts[top][order], "d0": 0, "d1": 0, "bits": None, "wide": None})
 
     ids = docs.select("node", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNotNull().alias("known"), "text")
-    return ids.mapInPandas(run, "kind int, node long, doc_id long, n long, d0 long, d1 long, bits array<long>")
+    return ids.mapInPandas(run, "kind int, node long, doc_id long, n long, d0 long, d1 long, bits array<long>, wide array<long>")
 
 
 def _frequent(summaries: DataFrame, n_docs: int, s: JaccardSettings) -> tuple[np.ndarray, np.ndarray]:
@@ -299,8 +314,29 @@ def _alike(pairs: DataFrame, bits: DataFrame, s: JaccardSettings) -> DataFrame:
     most a share of (100 - percent) / (100 + percent) is in one set alone."""
     for x in ("a", "b"):
         pairs = pairs.join(bits.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
-    return pairs.where((100 + s.percent) * apart <= (100 - s.percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return _alike_long(pairs.where(_within(F.col("bits_a"), F.col("bits_b"), s)).select("a", "b"), bits, s)
+
+
+def _within(p, q, s: JaccardSettings):
+    """Whether two sets' parity bits, equally many, leave room for a link."""
+    apart = F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return (100 + s.percent) * apart <= (100 - s.percent) * (F.col("n_a") + F.col("n_b"))
+
+
+def _alike_long(pairs: DataFrame, bits: DataFrame, s: JaccardSettings) -> DataFrame:
+    """The same by the bits of long sets. Where one has twice as many, its halves are laid over each other,
+    which gives the bits of half the size; pairs of other sizes pass."""
+    wide = bits.where("wide is not null")
+    for x in ("a", "b"):
+        pairs = pairs.join(wide.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")), x, "left")
+    p, q = F.col("wide_a"), F.col("wide_b")
+
+    def halved(w):
+        half = (F.size(w) / 2).cast("int")
+        return F.zip_with(F.slice(w, F.lit(1), half), F.slice(w, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+    fits = F.when(F.size(p) == F.size(q), _within(p, q, s)).when(F.size(p) == 2 * F.size(q), _within(halved(p), q, s)).when(2 * F.size(p) == F.size(q), _within(p, halved(q), s)).otherwise(True)
+    return pairs.where(p.isNull() | q.isNull() | fits).select("a", "b")
 
 
 def _with_pivot(rows: DataFrame, s: JaccardSettings) -> tuple[DataFrame, DataFrame]:
@@ -365,7 +401,7 @@ def _components(keys: DataFrame, docs: DataFrame, sets: DataFrame, s: JaccardSet
     rows = keys.where(F.col("members") > s.few).groupBy(F.col("same").alias("key"), "node").agg(F.first("n").alias("n"), F.min("place").alias("place"), F.first("rares").alias("rares"))
     rows = common.materialise(rows, "large-keys")
     nodes = keys.select("node").union(keys.select(F.explode("near"))).distinct()
-    bits = sets.join(nodes, "node").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    bits = sets.join(nodes, "node").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     bits = common.materialise(bits, "parity-bits")
     used = [bits, rows]
     for turn in range(s.pivots + 1):
@@ -385,7 +421,7 @@ def _components(keys: DataFrame, docs: DataFrame, sets: DataFrame, s: JaccardSet
                 pairs = pairs.union(keys.select("node", F.explode("near").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = _alike(pairs, bits, s)
         else:
-            pairs = _rest(rows, bits, s)
+            pairs = _alike_long(_rest(rows, bits, s), bits, s)
         pairs = common.materialise(pairs, "pairs")
         if joined is not None and pairs.isEmpty():
             common.discard(pairs)
@@ -417,7 +453,7 @@ def jaccard_groups(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     rows = summaries.where("kind = 0").drop("kind")
     frequent = _frequent(summaries, rows.count(), s)
     keys = common.materialise(_shared_keys(_index(docs, frequent, s), s), "shared-keys")
-    joined = _components(keys, docs, rows.select("node", "n", "bits"), s)
+    joined = _components(keys, docs, rows.select("node", "n", "bits", "wide"), s)
     common.discard(keys)
     classes = rows.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("low"))
     named = joined.join(rows.select("node", "d0", "d1").distinct(), "node").select("d0", "d1", "component").distinct()
