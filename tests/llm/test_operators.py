@@ -183,7 +183,7 @@ def test_language_id(spark, tables):
     assert all(odd[i]["lang_pred"] == "und" for i in (0, 1, 2)) and all(0 <= r["score"] <= 1 for r in odd.values())
 
 
-@pytest.mark.parametrize("settings", [JaccardSettings(words=3, percent=90), JaccardSettings(words=5, percent=80), JaccardSettings(words=3, percent=90, block=3, frequent_share=0.0), JaccardSettings(words=3, percent=90, frequent_share=0.0, very_share=0.0, least_frequent=2, least_very=3, few=2, pivots=1, block=4, chunk=2, triples=12, pairs=40), JaccardSettings(words=5, percent=80, frequent_share=0.0, very_share=0.0, least_frequent=2, least_very=2)])
+@pytest.mark.parametrize("settings", [JaccardSettings(words=3, percent=90), JaccardSettings(words=5, percent=80), JaccardSettings(words=3, percent=90, block=3, frequent_share=0.0), JaccardSettings(words=3, percent=90, frequent_share=0.0, very_share=0.0, least_frequent=2, least_very=3, few=2, pivots=1, block=4, chunk=2, triples=12, pairs=40), JaccardSettings(words=5, percent=80, frequent_share=0.0, very_share=0.0, least_frequent=2, least_very=2), JaccardSettings(words=3, percent=90, words_of_bits=1)])
 def test_jaccard_join(docs, settings):
     source = _pandas(docs)
     texts = dict(zip(source["doc_id"], source["text"], strict=True))
