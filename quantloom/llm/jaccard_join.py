@@ -362,7 +362,7 @@ def _rest(rows: DataFrame, bits: DataFrame, s: JaccardSettings) -> DataFrame:
         node, n, place, component = (g[c].to_numpy(np.int64) for c in ("node", "n", "place", "component"))
         bits = np.stack(g["bits"].to_list())
         split, block = g["low"].iloc[0] != g["high"].iloc[0], g["block"].to_numpy()
-        step = max(1, 2_000_000 // len(g))
+        step = max(1, 500_000 // len(g))
         for a in range(0, len(g), step):
             i = slice(a, a + step)
             most = np.minimum((n - place)[i, None], (n - place)[None, :])
@@ -446,7 +446,7 @@ def jaccard_groups(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     component; a component without an id is null. An empty table gives an empty result. Other columns are ignored.
     """
     s, spark = settings, docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(spark, size="4m")  # arrays over a batch's tokens take many times its bytes
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), common.empty_text(text_column).alias("text"))
     docs = docs.withColumn("node", F.xxhash64("doc_id", "text"))
     summaries = common.materialise(_summaries(docs, s), "summaries")
