@@ -360,7 +360,7 @@ def _rest(rows: DataFrame, bits: DataFrame, s: JaccardSettings) -> DataFrame:
 
     def pairs(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
         node, n, place, component = (g[c].to_numpy(np.int64) for c in ("node", "n", "place", "component"))
-        bits = np.stack(g["bits"].to_list())
+        bits = np.stack(g["bits"].to_list()).view(np.uint64)  # of signed numbers numpy counts the absolute value's bits
         split, block = g["low"].iloc[0] != g["high"].iloc[0], g["block"].to_numpy()
         step = max(1, 500_000 // len(g))
         for a in range(0, len(g), step):
