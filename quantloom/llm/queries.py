@@ -53,7 +53,7 @@ def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.token_counts import token_counts
 
-    return token_counts(common.documents(spark, sf_dir), tokenizer(PIECE_BPE), common.shared_folder(spark, "token-counts"))
+    return token_counts(common.documents(spark, sf_dir), tokenizer(PIECE_BPE), common.stable_folder(spark, "token-counts"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline against plain versions, over a whole small table and over odd rows."""
+"""The first ten operators against plain versions, over a whole small table and over odd rows."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 import pytest
 
-import corpus_pipeline
 from quantloom.llm import common, queries, secret_scan
 from quantloom.llm.jaccard_join import JaccardSettings, drop_near_duplicates, jaccard_groups
 from quantloom.llm.packing import pack
@@ -169,6 +168,16 @@ def test_token_counts_fill_and_reuse_the_cache(docs, tmp_path):
         assert _by_id(got) == _by_id(want)
 
 
+def test_token_count_query_meets_the_counts_of_the_run_before(spark, sf_dir):
+    from quantloom.llm import token_counts
+
+    query, cached = queries.QUERIES["op6_token_counts"], lambda: token_counts._cache(spark, common.stable_folder(spark, "token-counts"), token_counts.tokenizer_version(queries.tokenizer(queries.PIECE_BPE)))
+    first = _by_id([tuple(r) for r in query(spark, sf_dir).collect()])
+    kept = cached().count()
+    assert 0 < kept <= len(first) and _by_id([tuple(r) for r in query(spark, sf_dir).collect()]) == first
+    assert cached().count() == kept  # nothing was encoded again
+
+
 def test_language_id(spark, tables):
     from quantloom.llm import language_id
 
@@ -249,20 +258,3 @@ def test_filters_keep_rows_and_columns(docs):
         base = brute.base_spans(t)
         want.append((d, brute.redacted(t, [*base, *brute.entropy_spans(t, base, limits, secret_scan.ALLOWED)])))
     assert clean.columns == docs.columns and _by_id([(r["doc_id"], r["text"]) for r in clean.collect()]) == _by_id(want)
-
-
-def test_pipeline(spark, sf_dir, tables):
-    """Every stage's decisions, one after another, in plain Python; then the packing of what is left."""
-    rows = _pandas(tables["whole"])
-    kept = brute.quality_kept(list(rows["text"]), list(rows["source"]))
-    left = {d: t for d, t, k in zip(rows["doc_id"], rows["text"], kept, strict=True) if k}
-    component = brute.jaccard_components(left, 5, 80)
-    left = {d: t for d, t in left.items() if component[d] == d}
-    runs = brute.removed_runs(list(left.values()))
-    left = {d: brute.kept_bytes(t, r).decode("utf-8", "ignore") for (d, t), r in zip(left.items(), runs, strict=True)}
-    limits = secret_scan.EntropyLimits()
-    for d, t in left.items():
-        base = brute.base_spans(t)
-        left[d] = brute.redacted(t, [*base, *brute.entropy_spans(t, base, limits, secret_scan.ALLOWED)])
-    _check_packing(corpus_pipeline.run(spark, sf_dir).collect(), list(zip(left, _encoded(list(left.values())), strict=True)))
-    assert len(corpus_pipeline.STAGES) == 5
