@@ -1,11 +1,9 @@
-"""Market breadth, robust scores, regimes, streaks, and point-in-time tables."""
+"""Market breadth, robust scores, streaks, and point-in-time tables."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from quantloom.functions.columns import clip, history, ladder
 
@@ -48,44 +46,6 @@ def robust_score(df: DataFrame, x: str, longest: int = 252, least: int = 60, neg
     return out.withColumn("score", clip(50 + clip(z, -3, 3) * 100 / 6, 0, 100)).drop("__past", "__median", "__dev", "__mad")
 
 
-#: The bands' names, of 20 points each.
-BANDS = ("PANIC", "WEAK", "RANGE", "ACTIVE", "OVERHEATED")
-
-
-def regimes(scores: DataFrame, x: str = "score", key: str = "code") -> DataFrame:
-    """Smoothed score (mean with the one before, afresh after a gap) and its regime.
-
-    A regime changes at once when the score is five points or more beyond its border, else on the
-    second day in the same other band. One series is one group; the fold is sequential.
-    """
-    schema = StructType(list(scores.schema.fields)).add("emotion", "double").add("regime", "string").add("trigger", "string")
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("date", kind="stable")
-        out, smooth, now, waiting, days = [], None, None, None, 0
-        for raw in p[x]:
-            if raw is None or pd.isna(raw):
-                smooth = now = waiting = None
-                out.append((None, None, None))
-                continue
-            smooth = raw if smooth is None else (raw + smooth) / 2
-            band, why = min(int(smooth // 20), 4), "NONE"
-            if now is None:
-                now, why, waiting = band, "INITIALIZED", None
-            elif band == now:
-                waiting = None
-            else:
-                days = days + 1 if waiting == band else 1
-                waiting = band
-                beyond = smooth - 20 * (now + 1) if band > now else 20 * now - smooth
-                if beyond >= 5 or days >= 2:
-                    now, why, waiting = band, "BOUNDARY_JUMP_GE_5" if beyond >= 5 else "TWO_DAY_CONFIRM", None
-            out.append((smooth, BANDS[now], why))
-        return p.assign(emotion=[o[0] for o in out], regime=[o[1] for o in out], trigger=[o[2] for o in out])
-
-    return scores.groupBy(key).applyInPandas(run, schema)
-
-
 def known_at(rows: DataFrame, key: list[str], cutoff: Column) -> DataFrame:
     """Of what was available at the cut-off, the latest revision of each key."""
     w = Window.partitionBy(*key).orderBy(c("revision").desc(), c("available_at").desc())

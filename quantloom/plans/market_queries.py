@@ -90,11 +90,6 @@ def w40_robust_scores(s: SparkSession, d: str) -> DataFrame:
     return rounded(sm.robust_score(tables.weekly_bars(s, d).where("close is not null"), "close").select("code", "date", "score"), 4)
 
 
-def w42_regimes(s: SparkSession, d: str) -> DataFrame:
-    scores = sm.robust_score(tables.weekly_bars(s, d), "close").select("code", "date", "score")
-    return rounded(sm.regimes(scores).select("code", "date", "emotion", "regime", "trigger"))
-
-
 def _agg(name: str, *aggs, by: list, table: str):
     return lambda s, d: rounded(t(s, d, table).groupBy(*by).agg(*aggs), 4)
 
@@ -117,7 +112,6 @@ QUERIES = {
     "a15_a24_breadth": lambda s, d: rounded(sm.breadth(tables.daily_bars(s, d))),
     "w39_streaks": lambda s, d: sm.streaks(tables.daily_bars(s, d), c("close") > c("open")).select("code", "date", "streak"),
     "w40_robust_scores": w40_robust_scores,
-    "w42_regimes": w42_regimes,
     "j11_in_force": j11_in_force,
     "j14_changes": j14_changes,
     "s20_known_at": s20_known_at,
