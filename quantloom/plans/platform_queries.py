@@ -1,4 +1,4 @@
-"""Queries of the market's state, from weekly bars and listings to the regime, each with its SQL twin."""
+"""Queries of mapped provider rows and of the market's state, each with its SQL twin."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import rounded
+from quantloom.operators import canonical as cn
 from quantloom.operators import market_state as ms
 from quantloom.operators import sentiment as sm
 from quantloom.sources import tables
@@ -70,7 +71,40 @@ def w42_regimes(s: SparkSession, d: str) -> DataFrame:
     return rounded(ms.regimes(scores, "score", ["code"]).select("code", "date", "emotion", "regime", "regime_before", "trigger"))
 
 
-QUERIES = {"m1_universe": m1_universe, "m2_raw_metrics": m2_raw_metrics, "m5_market_evaluator": m5_market_evaluator, "w42_regimes": w42_regimes}
+PROVIDER = cn.Mapping(
+    "bar_1d_raw",
+    (
+        cn.Field("entity_key", "symbol", "string", required=True, identity="entity_key"), cn.Field("trade_date", "day", "date", required=True), cn.Field("trading_status", "state", "string", enum={"O": "TRADED", "F": "SUSPENDED"}),
+        *[cn.Field(x, x, "number") for x in cn.PRICES], cn.Field("volume_shares", "lots", "integer", unit="100"),
+    ),
+)
+
+
+def _mapped(s: SparkSession, d: str) -> DataFrame:
+    """Orders as a provider's rows, all of them text, with faults by their key; customers as identities."""
+    k, text = c("o_orderkey"), lambda x: x.cast("string")
+    rows = t(s, d, "orders").select(
+        k.alias("n"), F.concat(F.lit("C"), c("o_custkey") % 50).alias("symbol"), F.when(k % 97 == 0, None).when(k % 89 == 0, "n/a").otherwise(text(F.to_date("o_orderdate"))).alias("day"), c("o_orderstatus").alias("state"),
+        text(k % 1000).alias("open"), text(k % 1000 + k % 7 - 1).alias("high"), text(F.greatest(k % 1000 - 3, F.lit(0))).alias("low"), F.when(k % 53 == 0, "abc").when(k % 59 == 0, "-5").otherwise(text(k % 1000)).alias("close"),
+        F.when(k % 61 == 0, "1.5").when(k % 67 == 0, "0.001").otherwise(text(k % 90)).alias("lots"))
+    number = (c("c_custkey") % 50).alias("i")
+    names = t(s, d, "customer").select(number).distinct().where("i % 13 <> 3")
+    identities = names.select(F.concat(F.lit("C"), "i").alias("value"), F.when(c("i") % 17 == 5, "AMBIGUOUS").otherwise("RESOLVED").alias("status"), F.concat(F.lit("stock:"), "i").alias("entity_key"), text(c("i")).alias("canonical_id"))
+    days = t(s, d, "orders").select(F.to_date("o_orderdate").alias("trade_date")).distinct().where(F.dayofmonth("trade_date") != 31)
+    calendar = days.select(F.lit("CN").alias("market"), "trade_date", (F.weekday("trade_date") < 5).alias("is_open"))
+    return cn.map_rows(rows, PROVIDER, "n", identities, calendar)
+
+
+def m7_mapped_rows(s: SparkSession, d: str) -> DataFrame:
+    out = lambda x: F.when(c("code").isNull(), c(f"out.{x}"))
+    return _mapped(s, d).select("ordinal", "code", "field", out("entity_key").alias("entity_key"), out("trade_date").alias("trade_date"), out("trading_status").alias("trading_status"), out("close").cast("double").alias("close"), out("volume_shares").alias("volume_shares"))
+
+
+def a22_quality_report(s: SparkSession, d: str) -> DataFrame:
+    return cn.quality_report(_mapped(s, d), PROVIDER).withColumn("failure_reasons", F.array_join("failure_reasons", ","))
+
+
+QUERIES = {"m7_mapped_rows": m7_mapped_rows, "a22_quality_report": a22_quality_report, "m1_universe": m1_universe, "m2_raw_metrics": m2_raw_metrics, "m5_market_evaluator": m5_market_evaluator, "w42_regimes": w42_regimes}
 
 _UNIVERSE = f"""l AS (SELECT l_suppkey % 20 AS entity, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_extendedprice / l_quantity AS price, * FROM lineitem),
 b0 AS (SELECT entity, date, list(price ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS x, max(price) AS high, min(price) AS low, sum(l_quantity) AS volume, sum(l_extendedprice) AS amount, date_diff('day', DATE '1970-01-05', date) // 7 AS k FROM l GROUP BY entity, date),
@@ -120,7 +154,16 @@ _FOLD = """rec AS (SELECT {key}0::BIGINT AS n, NULL::DATE AS date, NULL::DOUBLE
     FROM (SELECT *, CAST(least(floor(e / 20), 4) AS BIGINT) AS band FROM (SELECT {skey}s.n, s.date, r.g, r.rival, CASE WHEN r.emotion IS NULL THEN s.score ELSE (s.score + r.emotion) / 2 END AS e FROM rec r JOIN ser s ON {on}s.n = r.n + 1))))"""
 _BAND = lambda x: "CASE " + " ".join(f"WHEN {x} = {i} THEN '{b}'" for i, b in enumerate(ms.BANDS)) + " END"
 
+_MAPPED = """r AS (SELECT o_orderkey AS k, o_custkey % 50 AS i, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS st, o_orderkey % 1000 AS p FROM orders), who AS (SELECT DISTINCT c_custkey % 50 AS i FROM customer),
+e AS (SELECT *, i % 13 <> 3 AND i IN (SELECT i FROM who) AS known, k % 53 <> 0 AND k % 59 = 0 AS minus FROM r),
+x AS (SELECT *, CASE WHEN known AND i % 17 = 5 THEN 'CANONICAL_IDENTITY_AMBIGUOUS:entity_key' WHEN NOT known THEN 'CANONICAL_IDENTITY_UNRESOLVED:entity_key' WHEN k % 97 = 0 THEN 'CANONICAL_NULL_FORBIDDEN:trade_date' WHEN k % 89 = 0 THEN 'CANONICAL_TYPE_INVALID:trade_date'
+  WHEN st NOT IN ('O', 'F') THEN 'CANONICAL_ENUM_UNKNOWN:trading_status' WHEN k % 53 = 0 THEN 'CANONICAL_TYPE_INVALID:close' WHEN k % 67 = 0 AND k % 61 <> 0 THEN 'CANONICAL_TYPE_INVALID:volume_shares' WHEN p + k % 7 - 1 < 0 OR minus THEN 'CANONICAL_NEGATIVE_VALUE:' WHEN k % 7 = 0 THEN 'CANONICAL_OHLC_INVALID:'
+  WHEN day(d) = 31 THEN 'CANONICAL_TRADING_CALENDAR_UNAVAILABLE:' WHEN isodow(d) > 5 THEN 'CANONICAL_NON_TRADING_DAY:' END AS why FROM e),
+f AS (SELECT *, CASE WHEN why IS NULL AND row_number() OVER (PARTITION BY why IS NULL, i, d ORDER BY k) > 1 THEN 'CANONICAL_DUPLICATE_KEY:' ELSE why END AS final FROM x),
+m AS (SELECT *, nullif(string_split(final, ':')[1], '') AS code, nullif(string_split(final, ':')[2], '') AS field FROM f)"""
 ORACLES = {
+    "m7_mapped_rows": f"WITH {_MAPPED} SELECT k AS ordinal, code, field, CASE WHEN code IS NULL THEN 'stock:' || i END AS entity_key, CASE WHEN code IS NULL THEN d END AS trade_date, CASE WHEN code IS NULL THEN CASE st WHEN 'O' THEN 'TRADED' ELSE 'SUSPENDED' END END AS trading_status, CASE WHEN code IS NULL THEN CAST(p AS DOUBLE) END AS close, CASE WHEN code IS NULL THEN CASE WHEN k % 61 = 0 THEN 150 ELSE k % 90 * 100 END END AS volume_shares FROM m",
+    "a22_quality_report": f"WITH {_MAPPED} SELECT count(*) AS row_count, count(code) AS rejected_row_count, count(*) FILTER (code = 'CANONICAL_DUPLICATE_KEY') AS duplicate_key_count, count(*) FILTER (code = 'CANONICAL_IDENTITY_UNRESOLVED') AS identity_unresolved_count, count(*) FILTER (code = 'CANONICAL_IDENTITY_AMBIGUOUS') AS identity_ambiguous_count, array_to_string(list_sort(list(DISTINCT code) FILTER (code IS NOT NULL)), ',') AS failure_reasons, CASE WHEN count(code) = 0 THEN 'COMPLETE' ELSE 'FAILED' END AS quality_status FROM m",
     "m1_universe": f"WITH {_UNIVERSE} SELECT entity, date, listed, valid, observable, ruled, array_to_string(reasons, ',') AS reasons, CAST(NULL AS VARCHAR) AS problem FROM u",
     "m2_raw_metrics": f"WITH {_METRICS} SELECT date, flags, " + ", ".join(f"round(CAST({x} AS DOUBLE), 6) AS {x}" for x in ms.METRICS) + " FROM raw",
     "m5_market_evaluator": f"WITH RECURSIVE {_METRICS}, {', '.join(map(_score, _ALL))}, sc AS (SELECT date, {_DIMENSIONS} FROM (SELECT date FROM raw) "
