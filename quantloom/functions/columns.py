@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.scans import before_blocks, block_window, in_blocks
+from quantloom.sources.scratch import written
+
 
 def clip(x: Column, low: float | None = None, high: float | None = None) -> Column:
     """x within bounds; null stays null (greatest and least skip nulls by themselves)."""
@@ -64,26 +67,25 @@ def rounded(df, digits: int = 6, skip: tuple = ()):
     return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
 
 
-def with_percentiles(df, ranks: dict, cuts: int = 200):
+def with_percentiles(df, ranks: dict):
     """Columns of tie-averaged percentile ranks over the whole frame: name -> (x, lower_is_better, missing).
 
-    Each distinct value is counted once; the counts are cut at quantiles into ranges, summed within each
-    range on its own task, and the ranges' totals (at most cuts + 1 rows) are added before. So no task
-    sees all rows. At most `cuts` numbers for each rank reach the driver.
+    The frame is written once, with the ranked values. All ranks then go through one tall table: each distinct
+    value is counted once, and running counts in blocks tell how many rows lie below it, so that no task sees
+    all values of a rank. A value's score comes back by a join on the value.
     """
-    df = df.withColumns({f"__x_{name}": x.cast("double") for name, (x, _, _) in ranks.items()})
-    found = df.agg(*[F.percentile_approx(f"__x_{name}", [i / cuts for i in range(1, cuts)], 10_000).alias(name) for name in ranks]).first()
-    for name, (_, lower_is_better, missing) in ranks.items():
-        x = f"__x_{name}"
-        bounds = F.array(*[F.lit(float(b)) for b in sorted(set(found[name] or []))]).cast("array<double>")
-        values = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("__n"))
-        values = values.withColumn("__range", F.size(F.filter(bounds, lambda b: b < F.col(x))))
-        totals = values.groupBy("__range").agg(F.sum("__n").alias("__all"))
-        before = F.sum("__all").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # cuts + 1 rows at most
-        totals = totals.select("__range", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__all").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"))
-        below = F.coalesce(F.sum("__n").over(Window.partitionBy("__range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__before")
-        values = values.join(F.broadcast(totals), "__range")
-        below = F.col("__total") - below - F.col("__n") if lower_is_better else below
-        values = values.select(F.col(x), ((below + (F.col("__n") + 1) / 2) / F.col("__total") * 100).alias(name))
-        df = df.join(values, x, "left").withColumn(name, F.coalesce(clip(F.col(name), 0, 100), F.lit(float(missing)))).drop(x)
+    df = written(df.withColumns({f"__x_{name}": x.cast("double") for name, (x, _, _) in ranks.items()}), "ranked")
+    tall = df.select(F.inline(F.array(*[F.struct(F.lit(name).alias("rank"), F.col(f"__x_{name}").alias("x")) for name in ranks])))
+    counts = in_blocks(tall.where("x is not null").groupBy("rank", "x").agg(F.count("*").alias("n")), ["rank"], ["x"])
+    local = counts.withColumn("upto", F.sum("n").over(block_window(["rank"], ["x"])))
+    ends = local.groupBy("rank", "__block").agg(F.sum("n").alias("m"))
+    heads = before_blocks(ends, ["rank"], {"m0": F.lit(0).cast("long")}, {"m0": lambda now, block: now["m0"] + block["m"]})
+    totals = ends.groupBy("rank").agg(F.sum("m").alias("total"))  # one row for each rank
+    placed = local.join(F.broadcast(heads), ["rank", "__block"], "left").join(F.broadcast(totals), "rank")
+    upto, down = F.col("upto") + F.coalesce("m0", F.lit(0)), F.col("rank").isin([name for name, (_, lower, _) in ranks.items() if lower])
+    outside = F.when(down, F.col("total") - upto).otherwise(upto - F.col("n"))
+    scores = written(placed.select("rank", "x", ((outside + (F.col("n") + 1) / 2) / F.col("total") * 100).alias("score")), "scores")
+    for name, (_, _, missing) in ranks.items():
+        mine = scores.where(F.col("rank") == name).select(F.col("x").alias(f"__x_{name}"), F.col("score").alias(name))
+        df = df.join(mine, f"__x_{name}", "left").withColumn(name, F.coalesce(clip(F.col(name), 0, 100), F.lit(float(missing)))).drop(f"__x_{name}")
     return df

@@ -23,9 +23,11 @@ def in_blocks(df: DataFrame, keys: list[str], order: list[str], rows: int = 200_
     A table is written, so that a row's block stays the same whatever is computed again. Of a boundary
     between two blocks at most one key has rows on both sides.
     """
-    parts = max(1, -(-df.count() // rows))
-    ranged = df.repartitionByRange(parts, *keys, *order) if parts > 1 else df
-    return written(ranged.withColumn("__block", F.spark_partition_id() if parts > 1 else F.lit(0)), "blocks")
+    once = written(df, "blocks")
+    n = once.count()
+    if n <= rows:
+        return once.withColumn("__block", F.lit(0))
+    return written(once.repartitionByRange(-(-n // rows), *keys, *order).withColumn("__block", F.spark_partition_id()), "blocks")
 
 
 def block_window(keys: list[str], order: list[str]) -> Window:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -192,15 +192,20 @@ def cci(df: DataFrame, n: int = 14) -> DataFrame:
     return out.withColumn("cci", (c("tp") - c("mean")) / F.nullif(0.015 * c("dev"), F.lit(0.0))).drop("tp", "mean", "tps", "dev")
 
 
-def macd_status(df: DataFrame, least_rows: int = 35) -> DataFrame:
-    """code, macd_status of the last row: bullish above the signal line and zero, bearish below both. A fold
-    over one instrument's ordered closes, on the JVM."""
+def _last_macd(closes: str, least_rows: int = 35) -> Column:
+    """Status of an ordered array of closes: bullish above the signal line and zero, bearish below both. A fold on
+    the JVM over one instrument's history."""
     step = "named_struct('f', x * (2D / 13) + a.f * (1 - 2D / 13), 's', x * (2D / 27) + a.s * (1 - 2D / 27))"
-    fold = f"aggregate(slice(x, 2, size(x)), named_struct('f', x[0], 's', x[0], 'd', 0D), (a, x) -> transform(array({step}), e -> named_struct('f', e.f, 's', e.s, 'd', (e.f - e.s) * 0.2D + a.d * (1 - 0.2D)))[0])"
+    fold = f"aggregate(slice({closes}, 2, size({closes})), named_struct('f', {closes}[0], 's', {closes}[0], 'd', 0D), (a, x) -> transform(array({step}), e -> named_struct('f', e.f, 's', e.s, 'd', (e.f - e.s) * 0.2D + a.d * (1 - 0.2D)))[0])"
+    m = F.expr(fold)
+    dif = m["f"] - m["s"]
+    return F.when(F.size(closes) < least_rows, "neutral").otherwise(ladder(((dif > m["d"]) & (dif > 0), "bullish"), ((dif < m["d"]) & (dif < 0), "bearish"), otherwise="neutral"))
+
+
+def macd_status(df: DataFrame, least_rows: int = 35) -> DataFrame:
+    """code, macd_status of the last row."""
     closes = df.where(c("close").isNotNull()).groupBy("code").agg(F.sort_array(F.collect_list(F.struct("date", "close"))).alias("x"))
-    out = closes.select("code", F.size("x").alias("n"), F.transform("x", lambda e: e["close"].cast("double")).alias("x")).withColumn("m", F.expr(fold))
-    dif = c("m.f") - c("m.s")
-    return out.select("code", F.when(c("n") < least_rows, "neutral").otherwise(ladder(((dif > c("m.d")) & (dif > 0), "bullish"), ((dif < c("m.d")) & (dif < 0), "bearish"), otherwise="neutral")).alias("macd_status"))
+    return closes.withColumn("x", F.transform("x", lambda e: e["close"].cast("double"))).select("code", _last_macd("x", least_rows).alias("macd_status"))
 
 
 def signal_score() -> Column:
@@ -212,33 +217,71 @@ def signal_score() -> Column:
     return clip(score + drift + ladder((c("rsi_status") == "oversold", 4.0), (c("rsi_status") == "overbought", -6.0), otherwise=0.0), 0, 100)
 
 
+def _last_consolidation(bars_: str, longest: int = 20, percent: float = 12.0) -> Column:
+    """consolidation_days of the last of an array of bars: as consolidation()."""
+    d_before = lambda d: F.slice(bars_, F.size(bars_) - d, d)
+    narrow = lambda d: (
+        F.forall(d_before(d), lambda b: b["close"].isNotNull()) & ((F.array_max(F.transform(d_before(d), lambda b: b["high"])) / F.array_min(F.transform(d_before(d), lambda b: b["low"])) - 1) * 100 <= percent)
+    )
+    days = F.filter(F.sequence(F.lit(2), F.least(F.lit(longest), F.size(bars_) - 1)), narrow)
+    known = (F.size(bars_) > 1) & F.try_element_at(bars_, F.lit(-2))["close"].isNotNull()
+    return F.when(known, F.when(F.size(bars_) > 2, F.coalesce(F.array_max(days), F.lit(0))).otherwise(0))
+
+
+def _last_drawdown(bars_: str, n: int = 20) -> Column:
+    """max_drawdown of the last of an array of bars: as drawdown()."""
+    last = F.transform(F.slice(bars_, F.greatest(F.size(bars_) - n + 1, F.lit(1)), n), lambda b: b["close"].cast("double"))
+    start = F.struct(F.lit(-1e308).alias("peak"), F.lit(0.0).alias("low"))
+    fold = F.aggregate(last, start, lambda a, x: F.struct(F.greatest(a["peak"], x).alias("peak"), F.least(a["low"], x / F.greatest(a["peak"], x) - 1).alias("low")), lambda a: a["low"] * 100)
+    return F.when((F.size(last) == n) & F.forall(last, lambda x: x.isNotNull()), fold)
+
+
 def daily_features(df: DataFrame) -> DataFrame:
-    """The latest row of each instrument with the features that screening reads."""
+    """The latest row of each instrument with the features that screening reads.
+
+    One scan and one exchange: every window has the same partition and order, and what needs more than a
+    frame (status of the moving averages, quality, consolidation, drawdown) is read off the instrument's bars
+    in the aggregate that picks its last row.
+    """
     out = df
-    for step in (volume_ratios, true_range, volatility, drawdown, consolidation, change_60d, simple_rsi):
+    for step in (volume_ratios, true_range, volatility, change_60d, simple_rsi, shape):
         out = step(out)
     # ma60 is null before 60 rows here; moving_averages() has the fallback.
-    out = shape(out).withColumns({f"ma{n}": rolling(F.avg, c("close"), n) for n in (5, 60)} | {"daily_data_points": F.count("close").over(Window.partitionBy("code"))})
-    # Every window above has the same partition and order: one shuffle and one sort serve all.
-    last = F.row_number().over(Window.partitionBy("code").orderBy(c("date").desc()))
-    out = out.withColumn("rn", last).where("rn = 1").drop("rn").join(macd_status(df), "code").join(bar_quality(df), "code", "left")
+    out = out.withColumns({f"ma{n}": rolling(F.avg, c("close"), n) for n in (5, 60)})
+    listed = F.array_sort(F.collect_list(F.struct("date", "close", "high", "low"))).alias("__bars")
+    out = out.groupBy("code").agg(F.max_by(F.struct(*[x for x in out.columns if x != "code"]), "date").alias("__last"), listed, F.count("close").alias("daily_data_points"), *_quality_sums())
+    closes = F.transform(F.filter("__bars", lambda b: b["close"].isNotNull()), lambda b: b["close"].cast("double"))
+    score, flags = _quality()
+    out = out.withColumn("__closes", closes).select("code", "__last.*", "daily_data_points", _last_consolidation("__bars").alias("consolidation_days"), _last_drawdown("__bars").alias("max_drawdown_20d_pct"), _last_macd("__closes").alias("macd_status"), score, flags)
     known = lambda x: F.coalesce(x, F.lit(False))
     out = out.withColumns({"ma_bullish": known((c("ma5") >= c("ma20")) & (c("ma20") >= c("ma60"))), "price_above_ma20": known(c("close") >= c("ma20"))})
     return out.withColumn("signal_score", signal_score())
 
 
-def bar_quality(df: DataFrame, stale: bool = False, source_errors: int = 0) -> DataFrame:
-    """Per instrument: daily_quality_score and daily_quality_flags (joined by ;), after bars without a close
-    are left out and open, high and low are filled from it."""
-    bars_ = df.where(c("close").isNotNull()).select("code", "close", "volume", *[F.coalesce(x, "close").alias(x) for x in ("open", "high", "low")])
-    bad_range = (c("high") < c("low")) | (c("high") < c("open")) | (c("high") < c("close")) | (c("low") > c("open")) | (c("low") > c("close"))
-    out = bars_.groupBy("code").agg(F.count("*").alias("rows"), F.avg(c("volume").isNull().cast("double")).alias("no_volume"), F.max(c("volume") < 0).alias("negative"), F.max(bad_range).alias("invalid"), F.max(F.least("open", "high", "low", "close") <= 0).alias("low_price"))
+def _quality_sums() -> list[Column]:
+    """What the quality of an instrument's bars is told from: bars without a close are left out, and open, high and
+    low are filled from it."""
+    here, full = c("close").isNotNull(), {x: F.coalesce(x, "close") for x in ("open", "high", "low")}
+    bad_range = (full["high"] < full["low"]) | (full["high"] < full["open"]) | (full["high"] < c("close")) | (full["low"] > full["open"]) | (full["low"] > c("close"))
+    only = lambda x: F.when(here, x)
+    return [
+        F.count("close").alias("__rows"), F.avg(only(c("volume").isNull().cast("double"))).alias("__no_volume"), F.max(only(c("volume") < 0)).alias("__negative"), F.max(only(bad_range)).alias("__invalid"),
+        F.max(only(F.least(*full.values(), c("close")) <= 0)).alias("__low_price"),
+    ]
+
+
+def _quality(stale: bool = False, source_errors: int = 0) -> tuple[Column, Column]:
     rules = [
-        (c("rows") < 30, F.lit(35.0), "short_history_lt30"), ((c("rows") >= 30) & (c("rows") < 60), F.lit(15.0), "short_history_lt60"), (c("no_volume") > 0, F.least(c("no_volume") * 20, F.lit(10.0)), "incomplete_volume"), (c("negative"), F.lit(20.0), "negative_volume"),
-        (c("invalid"), F.lit(30.0), "invalid_ohlc"), (c("low_price"), F.lit(35.0), "non_positive_price"), (F.lit(stale), F.lit(25.0), "stale_cache"), (F.lit(source_errors > 0), F.lit(float(min(source_errors * 5, 20))), "fallback_errors"),
+        (c("__rows") < 30, F.lit(35.0), "short_history_lt30"), ((c("__rows") >= 30) & (c("__rows") < 60), F.lit(15.0), "short_history_lt60"), (c("__no_volume") > 0, F.least(c("__no_volume") * 20, F.lit(10.0)), "incomplete_volume"), (c("__negative"), F.lit(20.0), "negative_volume"),
+        (c("__invalid"), F.lit(30.0), "invalid_ohlc"), (c("__low_price"), F.lit(35.0), "non_positive_price"), (F.lit(stale), F.lit(25.0), "stale_cache"), (F.lit(source_errors > 0), F.lit(float(min(source_errors * 5, 20))), "fallback_errors"),
     ]
     lost = sum((F.when(cond, points).otherwise(0.0) for cond, points, _ in rules), F.lit(0.0))
-    return out.select("code", clip(100 - lost, low=0).alias("daily_quality_score"), F.concat_ws(";", *[F.when(cond, F.lit(name)) for cond, _, name in rules]).alias("daily_quality_flags"))
+    return clip(100 - lost, low=0).alias("daily_quality_score"), F.concat_ws(";", *[F.when(cond, F.lit(name)) for cond, _, name in rules]).alias("daily_quality_flags")
+
+
+def bar_quality(df: DataFrame, stale: bool = False, source_errors: int = 0) -> DataFrame:
+    """Per instrument with a close: daily_quality_score and daily_quality_flags (joined by ;)."""
+    return df.groupBy("code").agg(*_quality_sums()).where("__rows > 0").select("code", *_quality(stale, source_errors))
 
 
 def candles(df: DataFrame) -> DataFrame:
