@@ -149,12 +149,12 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Data
 
 def macd_signal(df: DataFrame) -> DataFrame:
     """Crosses of DIF and DEA or of DIF and zero, then which side they are on; between the sides it counts
-    as bullish. Null before the slow average's number of rows."""
+    as bullish, and so does everything before the slow average's number of rows."""
     out, w = macd(df), history()
     d0, d1 = F.lag(c("dif") - c("dea")).over(w), c("dif") - c("dea")
     z0, z1 = F.lag("dif").over(w), c("dif")
     golden, death = (d0 <= 0) & (d1 > 0), (d0 >= 0) & (d1 < 0)
-    return out.withColumn("signal", ladder((golden & (z1 > 0), "GOLDEN_CROSS_ZERO"), ((z0 <= 0) & (z1 > 0), "CROSSING_UP"), (golden, "GOLDEN_CROSS"), (death, "DEATH_CROSS"), ((z0 >= 0) & (z1 < 0), "CROSSING_DOWN"), ((z1 > 0) & (c("dea") > 0), "BULLISH"), ((z1 < 0) & (c("dea") < 0), "BEARISH"), otherwise="BULLISH")).withColumn("signal", F.when(F.row_number().over(w) >= 26, c("signal")))
+    return out.withColumn("signal", ladder((golden & (z1 > 0), "GOLDEN_CROSS_ZERO"), ((z0 <= 0) & (z1 > 0), "CROSSING_UP"), (golden, "GOLDEN_CROSS"), (death, "DEATH_CROSS"), ((z0 >= 0) & (z1 < 0), "CROSSING_DOWN"), ((z1 > 0) & (c("dea") > 0), "BULLISH"), ((z1 < 0) & (c("dea") < 0), "BEARISH"), otherwise="BULLISH")).withColumn("signal", F.when(F.row_number().over(w) >= 26, c("signal")).otherwise("BULLISH"))
 
 
 def wilder_rsi(df: DataFrame, n: int = 14) -> DataFrame:

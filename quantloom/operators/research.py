@@ -41,7 +41,8 @@ def _points(x: str, points: dict, otherwise: int) -> Column:
 
 
 def trade_score(df: DataFrame, threshold: float = 5.0) -> DataFrame:
-    """trade_score of at most 100 from trend, bias to ma5, volume_status, supports, signal (MACD) and rsi.
+    """trade_score of at most 100 from trend, bias to ma5, volume_status, supports, signal (MACD) and rsi; null
+    before 20 rows.
 
     A strong rising trend widens the bias threshold by half. RSI classes: above 70, above 60, from 40, from 30.
     """
@@ -50,7 +51,7 @@ def trade_score(df: DataFrame, threshold: float = 5.0) -> DataFrame:
     place = ladder(((bias < 0) & (bias > -3), 20), ((bias < 0) & (bias > -5), 16), (bias < 0, 8), (bias < 2, 18), (bias < threshold, 14), (bias > wide, 4), ((bias > threshold) & (c("trend") == "STRONG_BULL"), 10), otherwise=4)
     rsi = ladder((c("rsi") > 70, 0), (c("rsi") > 60, 8), (c("rsi") >= 40, 5), (c("rsi") >= 30, 3), (c("rsi") < 30, 10), otherwise=5)
     score = _points("trend", TREND_POINTS, 12) + place + _points("volume_status", VOLUME_POINTS, 8) + c("support_ma5").cast("int") * 5 + c("support_ma10").cast("int") * 5 + _points("signal", MACD_POINTS, 5) + rsi
-    return df.withColumn("trade_score", score)
+    return df.withColumn("trade_score", F.when(F.row_number().over(history()) >= 20, score))
 
 
 def change_percent(df: DataFrame, first: float | None = None) -> DataFrame:
@@ -81,18 +82,26 @@ def amount_ratio(df: DataFrame, x: str = "amount", n: int = 20) -> DataFrame:
     return out.withColumn("amount_ratio_20", F.when(enough & (past > 0), c(x) / past)).drop("__past", "__known")
 
 
+#: Fixed value: the share of hot observations, in percent, from which heat is lasting.
+LASTING = 66.6667
+
+
 def board_heat_trend(heat: DataFrame, n: int = 5, hot: float = 60.0, cooling: float = 5.0) -> DataFrame:
-    """board, latest, trend, persistence, cooling_score, observations of the last n heats (0 to 100)."""
+    """board, latest, trend, persistence, cooling_score, observations and state of the last n heats (0 to 100)."""
     last = Window.partitionBy("board").orderBy(c("at").desc())
     rows = heat.where(c("heat").between(0, 100)).withColumn("nth", F.row_number().over(last)).where(c("nth") <= n)
     out = rows.groupBy("board").agg(F.min_by("heat", "nth").alias("latest"), F.max_by("heat", "nth").alias("__first"), F.max(F.when(c("nth") == 2, c("heat"))).alias("__previous"), (F.avg((c("heat") >= hot).cast("double")) * 100).alias("persistence"), F.count("*").alias("observations"))
-    return out.select("board", "latest", (c("latest") - c("__first")).alias("trend"), "persistence", F.greatest(F.coalesce("__previous", "latest") - c("latest"), F.lit(0.0)).alias("cooling_score"), "observations")
+    out = out.select("board", "latest", (c("latest") - c("__first")).alias("trend"), "persistence", F.greatest(F.coalesce("__previous", "latest") - c("latest"), F.lit(0.0)).alias("cooling_score"), "observations")
+    lasting = (c("persistence") >= LASTING) & F.lit(hot > 0)
+    return out.withColumn("state", ladder((c("cooling_score") >= cooling, "cooling"), (c("trend") >= cooling, "warming"), (lasting, "persistent_hot"), (c("trend") <= -cooling, "weakening"), otherwise="flat"))
 
 
 def hotspot_stage() -> Column:
     """The lifecycle stage of a board from the columns of board_heat_trend()."""
     weak = (c("latest") < 60) | (c("trend") <= -5)
-    return ladder(((c("cooling_score") >= 8) & weak, "retreat"), (c("cooling_score") >= 5, "divergence"), ((c("latest") >= 75) & (c("trend") >= 8) & (c("persistence") >= 50), "acceleration"), (c("persistence") >= 66.6667, "diffusion"), ((c("trend") >= 5) & (c("observations") >= 2), "diffusion"), otherwise="first_move")
+    fading = c("state").isin("weakening", "cooling") | (c("cooling_score") >= 8)
+    lasting = (c("state") == "persistent_hot") | (c("persistence") >= LASTING)
+    return ladder((fading & weak, "retreat"), (c("cooling_score") >= 5, "divergence"), ((c("latest") >= 75) & (c("trend") >= 8) & (c("persistence") >= 50), "acceleration"), (lasting, "diffusion"), ((c("trend") >= 5) & (c("observations") >= 2), "diffusion"), otherwise="first_move")
 
 
 def theme_heat() -> Column:
@@ -103,13 +112,15 @@ def theme_heat() -> Column:
     return clip(score - F.greatest(score - 88, F.lit(0.0)) * 0.5, 0, 100)
 
 
-def hotspot_score(inflow: Column | None = None, limit_up: Column | None = None) -> Column:
-    """Strength of a constituent: 35 and clamped terms of change, amount, turnover, volume and inflow."""
+def hotspot_score(inflow: Column | None = None, limit_up: Column | None = None, active_days: Column | None = None, evidence: Column | None = None) -> Column:
+    """Strength of a constituent: 35 and clamped terms of change, amount, turnover, volume, inflow, active days and
+    pieces of evidence."""
     inflow, limit_up = F.lit(0.0) if inflow is None else inflow, F.lit(False) if limit_up is None else limit_up
     x = lambda name: F.coalesce(c(name).cast("double"), F.lit(0.0))
+    lasting = sum((clip(F.coalesce(n.cast("int"), F.lit(0)) * k, 0, 8) for n, k in ((active_days, 2.5), (evidence, 2.0)) if n is not None), F.lit(0.0))
     money = F.when(x("amount") > 0, clip((F.log10(x("amount")) - 6) / 4 * 18, 0, 18)).otherwise(0.0)
     flow = F.when(inflow > 0, clip((F.log10(inflow) - 5) / 4 * 12, 0, 12)).when(inflow < 0, -clip((F.log10(-inflow) - 5) / 4 * 8, 0, 8)).otherwise(0.0)
-    return clip(35 + clip(x("change_pct") * 2.7, -18, 32) + money + clip(x("turnover_rate") * 1.1, 0, 14) + clip(x("volume_ratio") * 3.0, 0, 12) + flow + F.when(limit_up, 8.0).otherwise(0.0), 0, 100)
+    return clip(35 + clip(x("change_pct") * 2.7, -18, 32) + money + clip(x("turnover_rate") * 1.1, 0, 14) + clip(x("volume_ratio") * 3.0, 0, 12) + flow + F.when(limit_up, 8.0).otherwise(0.0) + lasting, 0, 100)
 
 
 def stock_roles(df: DataFrame, theme: str) -> DataFrame:
@@ -161,10 +172,11 @@ def calibration(samples: DataFrame, by: str, confidence: float = 0.6, least: int
 
 
 def merge_realtime(bars_: DataFrame, quotes: DataFrame) -> DataFrame:
-    """History with today's quotes: a quote replaces the bar of its date or is appended."""
+    """History with today's quotes: a quote updates the bar of its date, which keeps the fields that the quote lacks,
+    or is appended."""
     both = bars_.withColumn("__source", F.lit(1)).unionByName(quotes.withColumn("__source", F.lit(0)))
-    first = F.row_number().over(Window.partitionBy("code", "date").orderBy("__source"))
-    return both.withColumn("__nth", first).where("__nth = 1").drop("__source", "__nth")
+    values = [x for x in bars_.columns if x not in ("code", "date")]
+    return both.groupBy("code", "date").agg(*[F.min_by(x, F.when(c(x).isNotNull(), c("__source"))).alias(x) for x in values]).select(*bars_.columns)
 
 
 def supplement(primary: DataFrame, secondary: DataFrame, on: str) -> DataFrame:
@@ -188,11 +200,12 @@ def resolve_aliases(requests: DataFrame, aliases: DataFrame) -> DataFrame:
     """status and entity of each request (id, alias, day, known_at) by aliases (alias, entity, valid_from,
     valid_to, available_at, state, active): CONFLICT, NOT_FOUND, AMBIGUOUS, INACTIVE or RESOLVED.
 
-    An alias counts from its day on and before its end, once available, and if not rejected.
+    An alias counts from its day on and before its end, once available, and if not rejected. An open conflict about
+    an alias is one whatever its dates.
     """
     fits = (c("valid_from") <= c("day")) & (c("valid_to").isNull() | (c("day") < c("valid_to"))) & (c("available_at") <= c("known_at")) & (c("state") != "REJECTED")
     found = requests.join(aliases, "alias", "left").withColumn("fits", F.coalesce(fits, F.lit(False)))
-    out = found.groupBy("id").agg(F.max(c("fits") & (c("state") == "CONFLICT")).alias("open"), F.count_distinct(F.when(c("fits"), c("entity"))).alias("entities"), F.min(F.when(c("fits"), c("entity"))).alias("entity"), F.max(c("fits") & c("active")).alias("live"))
+    out = found.groupBy("id").agg(F.max(F.coalesce(c("state") == "CONFLICT", F.lit(False))).alias("open"), F.count_distinct(F.when(c("fits"), c("entity"))).alias("entities"), F.min(F.when(c("fits"), c("entity"))).alias("entity"), F.max(c("fits") & c("active")).alias("live"))
     status = ladder((c("open"), "CONFLICT"), (c("entities") == 0, "NOT_FOUND"), (c("entities") > 1, "AMBIGUOUS"), (~c("live"), "INACTIVE"), otherwise="RESOLVED")
     return out.select("id", status.alias("status"), F.when(c("entities") == 1, c("entity")).alias("entity"))
 

@@ -101,7 +101,7 @@ ORACLES = {
     "w4_w6_volume_ratios": B + f"SELECT code, date, round({_VR}, 6) AS volume_ratio, round(CASE WHEN avg(volume) OVER {_PREV20} > 0 THEN volume / avg(volume) OVER {_PREV20} END, 6) AS volume_ratio_20d FROM bars",
     "w8_macd": _MACD + " SELECT code, date, round(dif, 6) AS dif, round(dea, 6) AS dea, round(2 * (dif - dea), 6) AS macd FROM m",
     "w10_macd_signal": _MACD + """, p AS (SELECT *, row_number() OVER w AS nth, lag(dif - dea) OVER w AS d0, dif - dea AS d1, lag(dif) OVER w AS z0 FROM m WINDOW w AS (PARTITION BY code ORDER BY date))
-      SELECT CASE WHEN nth < 26 THEN NULL WHEN d0 <= 0 AND d1 > 0 AND dif > 0 THEN 'GOLDEN_CROSS_ZERO' WHEN z0 <= 0 AND dif > 0 THEN 'CROSSING_UP' WHEN d0 <= 0 AND d1 > 0 THEN 'GOLDEN_CROSS' WHEN d0 >= 0 AND d1 < 0 THEN 'DEATH_CROSS'
+      SELECT CASE WHEN nth < 26 THEN 'BULLISH' WHEN d0 <= 0 AND d1 > 0 AND dif > 0 THEN 'GOLDEN_CROSS_ZERO' WHEN z0 <= 0 AND dif > 0 THEN 'CROSSING_UP' WHEN d0 <= 0 AND d1 > 0 THEN 'GOLDEN_CROSS' WHEN d0 >= 0 AND d1 < 0 THEN 'DEATH_CROSS'
         WHEN z0 >= 0 AND dif < 0 THEN 'CROSSING_DOWN' WHEN dif > 0 AND dea > 0 THEN 'BULLISH' WHEN dif < 0 AND dea < 0 THEN 'BEARISH' ELSE 'BULLISH' END AS signal, count(*) AS n FROM p GROUP BY 1""",
     "w11_simple_rsi": B + f", {_DELTA}, {_RSI} SELECT code, date, round(rsi, 6) AS rsi, {_STATUS} AS rsi_status FROM rs",
     "w12_wilder_rsi": W + f""", dd AS (SELECT code, date, coalesce(close - {LAG}, 0) AS d FROM bars), ll AS (SELECT code, list(date ORDER BY date) AS d, list(greatest(d, 0) ORDER BY date) AS g, list(greatest(-d, 0) ORDER BY date) AS l FROM dd GROUP BY code),

@@ -67,7 +67,7 @@ def _url(s: SparkSession, d: str) -> DataFrame:
 def _merged(s: SparkSession, d: str) -> DataFrame:
     b = tables.daily_bars(s, d).select("code", "date", "close", "volume")
     last = b.groupBy("code").agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"), F.max_by("volume", "date").alias("volume"))
-    quotes = last.select("code", F.when(c("code") % 2 == 0, c("date")).otherwise(F.date_add("date", 1)).alias("date"), (c("close") * 1.01).alias("close"), c("volume"))
+    quotes = last.select("code", F.when(c("code") % 2 == 0, c("date")).otherwise(F.date_add("date", 1)).alias("date"), (c("close") * 1.01).alias("close"), F.when(c("code") % 3 != 0, c("volume")).alias("volume"))
     return rounded(rs.merge_realtime(b, quotes))
 
 
@@ -131,7 +131,7 @@ QUERIES = {
     "a20_a21_snapshot_profile": _profile,
     "a28_cost_distribution": lambda s, d: rounded(rs.cost_distribution(_levels(s, d), tables.daily_bars(s, d).groupBy("code").agg((F.max_by("close", "date") / 100).alias("close")))),
     "a30_calibration": lambda s, d: rounded(rs.calibration(t(s, d, "events").select(c("user_id").alias("agent"), (c("value") > 50).alias("right")), "agent", least=10)),
-    "f16_r4_stock_roles": lambda s, d: rounded(rs.stock_roles(tables.snapshot(s, d).withColumn("hot_score", F.round(rs.hotspot_score(), 4)), "industry").select("code", "industry", "hot_score", "place", "role")),
+    "f16_r4_stock_roles": lambda s, d: rounded(rs.stock_roles(tables.snapshot(s, d).withColumn("hot_score", F.round(rs.hotspot_score(active_days=c("code") % 5, evidence=c("code") % 7), 4)), "industry").select("code", "industry", "hot_score", "place", "role")),
     "r13_ends": _ends,
     "s12_merge_realtime": _merged,
     "s13_supplement": _supplemented,
@@ -163,16 +163,17 @@ ORACLES = {
       ma AS (SELECT code, date, close, {_MAS} FROM bars), s4 AS (SELECT *, lag(a, 4) {_O} AS a4, lag(c, 4) {_O} AS c4 FROM ma),
       tw AS (SELECT *, coalesce(CASE WHEN a < c THEN (c - a) / a * 100 > 5 AND (c - a) / a > (c4 - a4) / a4 ELSE (a - c) / c * 100 > 5 AND (a - c) / c > (a4 - c4) / c4 END, false) AS wide FROM s4),
       tt AS (SELECT *, CASE WHEN c IS NULL THEN NULL WHEN a > b AND b > c AND wide THEN 'STRONG_BULL' WHEN a > b AND b > c THEN 'BULL' WHEN a < b AND b < c AND wide THEN 'STRONG_BEAR' WHEN a < b AND b < c THEN 'BEAR' WHEN a > b AND b <= c THEN 'WEAK_BULL' WHEN a < b AND b >= c THEN 'WEAK_BEAR' ELSE 'CONSOLIDATION' END AS trend, coalesce((close - a) / a * 100, 0) AS bias, {_NEAR('a')} AS s5, {_NEAR('b')} AS s10 FROM tw)
-      SELECT tt.code, tt.date, {_CASE('trend', rs.TREND_POINTS, 12)} + CASE WHEN bias < 0 AND bias > -3 THEN 20 WHEN bias < 0 AND bias > -5 THEN 16 WHEN bias < 0 THEN 8 WHEN bias < 2 THEN 18 WHEN bias < 5 THEN 14 WHEN bias > CASE WHEN trend = 'STRONG_BULL' THEN 7.5 ELSE 5 END THEN 4 WHEN bias > 5 AND trend = 'STRONG_BULL' THEN 10 ELSE 4 END
-        + {_CASE('vstat', rs.VOLUME_POINTS, 8)} + CAST(s5 AS INTEGER) * 5 + CAST(s10 AS INTEGER) * 5 + {_CASE('signal', rs.MACD_POINTS, 5)} + CASE WHEN rsi > 70 THEN 0 WHEN rsi > 60 THEN 8 WHEN rsi >= 40 THEN 5 WHEN rsi >= 30 THEN 3 WHEN rsi < 30 THEN 10 ELSE 5 END AS trade_score
+      SELECT tt.code, tt.date, CASE WHEN row_number() OVER (PARTITION BY tt.code ORDER BY tt.date) >= 20 THEN {_CASE('trend', rs.TREND_POINTS, 12)} + CASE WHEN bias < 0 AND bias > -3 THEN 20 WHEN bias < 0 AND bias > -5 THEN 16 WHEN bias < 0 THEN 8 WHEN bias < 2 THEN 18 WHEN bias < 5 THEN 14 WHEN bias > CASE WHEN trend = 'STRONG_BULL' THEN 7.5 ELSE 5 END THEN 4 WHEN bias > 5 AND trend = 'STRONG_BULL' THEN 10 ELSE 4 END
+        + {_CASE('vstat', rs.VOLUME_POINTS, 8)} + CAST(s5 AS INTEGER) * 5 + CAST(s10 AS INTEGER) * 5 + {_CASE('signal', rs.MACD_POINTS, 5)} + CASE WHEN rsi > 70 THEN 0 WHEN rsi > 60 THEN 8 WHEN rsi >= 40 THEN 5 WHEN rsi >= 30 THEN 3 WHEN rsi < 30 THEN 10 ELSE 5 END END AS trade_score
       FROM tt JOIN vs ON tt.code = vs.code AND tt.date = vs.date JOIN sg ON tt.code = sg.code AND tt.date = sg.date JOIN ri ON tt.code = ri.code AND tt.date = ri.date""",
     "w32_day_context": f"{B}, m AS (SELECT *, {_MAS}, {LAG} AS p, lag(volume) {_O} AS pv FROM bars) SELECT code, date, round(CASE WHEN pv > 0 THEN volume / pv END, 6) AS volume_change, round(CASE WHEN p > 0 THEN (close / p - 1) * 100 END, 6) AS price_change, CASE WHEN close > a AND a > b AND b > c THEN 'bull' WHEN close < a AND a < b AND b < c THEN 'bear' WHEN close > a AND a > b THEN 'short_up' WHEN close < a AND a < b THEN 'short_down' ELSE 'mixed' END AS ma_status FROM m",
     "w43_amount_ratio": f"{B}, x AS (SELECT code, date, CASE WHEN day(date) % 7 <> 0 THEN amount END AS amount FROM bars), l AS (SELECT *, list(amount) FILTER (amount IS NOT NULL) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM x) SELECT code, date, round(CASE WHEN len(past) >= 20 THEN amount / list_avg(past[-20:]) END, 6) AS amount_ratio_20 FROM l",
     "w44_f8_f18_board_heat": """WITH h AS (SELECT CAST(c_nationkey AS BIGINT) AS board, date_trunc('month', o_orderdate) AS mon, CAST(40 + count(*) * 7 % 61 AS DOUBLE) AS heat FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
       r AS (SELECT *, row_number() OVER (PARTITION BY board ORDER BY mon DESC) AS nth FROM h WHERE heat BETWEEN 0 AND 100 QUALIFY nth <= 5), g AS (SELECT board, arg_min(heat, nth) AS latest, arg_max(heat, nth) AS f, max(CASE WHEN nth = 2 THEN heat END) AS p, avg(CASE WHEN heat >= 60 THEN 1 ELSE 0 END) * 100 AS persistence, count(*) AS observations FROM r GROUP BY board),
       k AS (SELECT board, latest, latest - f AS trend, persistence, greatest(coalesce(p, latest) - latest, 0) AS cooling_score, observations FROM g),
-      z AS (SELECT *, latest + CASE WHEN observations >= 2 THEN least(greatest(trend, 0) * 0.8::DOUBLE, 10) - least(greatest(-trend, 0) * 0.8::DOUBLE, 12) ELSE 0 END + least(greatest(persistence - 60, 0) * 0.08::DOUBLE, 6) - least(cooling_score * 0.6::DOUBLE, 10) AS s FROM k)
-      SELECT board, latest, trend, round(persistence, 6) AS persistence, CAST(cooling_score AS DOUBLE) AS cooling_score, observations, CASE WHEN cooling_score >= 8 AND (latest < 60 OR trend <= -5) THEN 'retreat' WHEN cooling_score >= 5 THEN 'divergence' WHEN latest >= 75 AND trend >= 8 AND persistence >= 50 THEN 'acceleration' WHEN persistence >= 66.6667::DOUBLE THEN 'diffusion' WHEN trend >= 5 AND observations >= 2 THEN 'diffusion' ELSE 'first_move' END AS stage,
+      y AS (SELECT *, CASE WHEN cooling_score >= 5 THEN 'cooling' WHEN trend >= 5 THEN 'warming' WHEN persistence >= 66.6667::DOUBLE THEN 'persistent_hot' WHEN trend <= -5 THEN 'weakening' ELSE 'flat' END AS state FROM k),
+      z AS (SELECT *, latest + CASE WHEN observations >= 2 THEN least(greatest(trend, 0) * 0.8::DOUBLE, 10) - least(greatest(-trend, 0) * 0.8::DOUBLE, 12) ELSE 0 END + least(greatest(persistence - 60, 0) * 0.08::DOUBLE, 6) - least(cooling_score * 0.6::DOUBLE, 10) AS s FROM y)
+      SELECT board, latest, trend, round(persistence, 6) AS persistence, CAST(cooling_score AS DOUBLE) AS cooling_score, observations, state, CASE WHEN state IN ('weakening', 'cooling') AND (latest < 60 OR trend <= -5) THEN 'retreat' WHEN cooling_score >= 8 AND (latest < 60 OR trend <= -5) THEN 'retreat' WHEN cooling_score >= 5 THEN 'divergence' WHEN latest >= 75 AND trend >= 8 AND persistence >= 50 THEN 'acceleration' WHEN state = 'persistent_hot' OR persistence >= 66.6667::DOUBLE THEN 'diffusion' WHEN trend >= 5 AND observations >= 2 THEN 'diffusion' ELSE 'first_move' END AS stage,
         round(least(100, greatest(0, s - greatest(s - 88, 0) * 0.5::DOUBLE)), 6) AS theme_heat FROM z""",
     "w47_volume_spike": f"{B} SELECT code, date, volume > 2 * ({iq._full('avg', 'volume', 20)}) AS triggered FROM bars",
     "w50_change_percent": f"{B} SELECT code, date, round(CASE WHEN {LAG} IS NULL THEN 0 ELSE (close / {LAG} - 1) * 100 END, 6) AS pct_chg FROM bars",
@@ -192,12 +193,12 @@ ORACLES = {
       y AS (SELECT code, sum(CASE WHEN price <= close THEN weight ELSE 0 END) / sum(weight) AS winner_rate, sum(price * weight) / sum(weight) AS avg_cost, """ + ", ".join(f"coalesce(min(CASE WHEN share >= {q} THEN price END), max(price)) AS c{q}" for q in (5, 15, 85, 95)) + """ FROM x GROUP BY code)
       SELECT code, round(winner_rate, 6) AS winner_rate, round(avg_cost, 6) AS avg_cost, c5, c15, c85, c95, round(CASE WHEN c5 + c95 <> 0 THEN (c95 - c5) / (c95 + c5) ELSE 0 END, 6) AS concentration_90, round(CASE WHEN c15 + c85 <> 0 THEN (c85 - c15) / (c85 + c15) ELSE 0 END, 6) AS concentration_70 FROM y""",
     "a30_calibration": "SELECT user_id AS agent, count(*) AS samples, round(avg(CASE WHEN value > 50 THEN 1 ELSE 0 END), 6) AS accuracy, round(CASE WHEN count(*) >= 10 THEN least(1.5::DOUBLE, greatest(0.5::DOUBLE, avg(CASE WHEN value > 50 THEN 1 ELSE 0 END) / 0.6::DOUBLE)) ELSE 1 END, 6) AS factor FROM events GROUP BY 1",
-    "f16_r4_stock_roles": f"""WITH {tables.SNAPSHOT_SQL}, h AS (SELECT *, round(least(100, greatest(0, 35 + least(32, greatest(-18, change_pct * 2.7::DOUBLE)) + CASE WHEN amount > 0 THEN least(18, greatest(0, (log10(amount) - 6) / 4 * 18)) ELSE 0 END + least(14, greatest(0, turnover_rate * 1.1::DOUBLE)) + least(12, greatest(0, volume_ratio * 3)))), 4) AS s FROM snap),
+    "f16_r4_stock_roles": f"""WITH {tables.SNAPSHOT_SQL}, h AS (SELECT *, round(least(100, greatest(0, 35 + least(32, greatest(-18, change_pct * 2.7::DOUBLE)) + CASE WHEN amount > 0 THEN least(18, greatest(0, (log10(amount) - 6) / 4 * 18)) ELSE 0 END + least(14, greatest(0, turnover_rate * 1.1::DOUBLE)) + least(12, greatest(0, volume_ratio * 3)) + least(8, code % 5 * 2.5::DOUBLE) + least(8, code % 7 * 2))), 4) AS s FROM snap),
       r AS (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY s DESC, change_pct DESC, amount DESC, code DESC) AS n, max(s) OVER (PARTITION BY industry) AS top FROM h)
       SELECT code, industry, s AS hot_score, CAST(n AS INTEGER) AS place, CASE WHEN n = 1 AND s >= 70 THEN 'leader' WHEN n <= 3 AND s >= greatest(68, top - 8) AND change_pct >= 5 THEN 'leader' WHEN s >= 62 AND change_pct >= 3 THEN 'support' WHEN s >= 48 AND change_pct >= 0 THEN 'catch_up' WHEN s >= 38 THEN 'rear' ELSE 'laggard' END AS role FROM r""",
     "r13_ends": f"WITH {tables.SNAPSHOT_SQL} SELECT concepts, code, CAST(row_number() OVER (PARTITION BY concepts ORDER BY change_pct DESC, code) AS INTEGER) AS best, CAST(row_number() OVER (PARTITION BY concepts ORDER BY change_pct, code) AS INTEGER) AS worst FROM snap WHERE change_pct IS NOT NULL QUALIFY best <= 3 OR worst <= 3",
-    "s12_merge_realtime": f"""{B}, l AS (SELECT code, max(date) AS d, arg_max(close, date) AS k, arg_max(volume, date) AS v FROM bars GROUP BY code), q AS (SELECT code, CAST(CASE WHEN code % 2 = 0 THEN d ELSE d + INTERVAL 1 DAY END AS DATE) AS date, k * 1.01::DOUBLE AS close, v AS volume FROM l)
-      SELECT code, date, round(close, 6) AS close, volume FROM q UNION ALL SELECT b.code, b.date, round(b.close, 6), b.volume FROM bars b WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.code = b.code AND q.date = b.date)""",
+    "s12_merge_realtime": f"""{B}, l AS (SELECT code, max(date) AS d, arg_max(close, date) AS k, arg_max(volume, date) AS v FROM bars GROUP BY code), q AS (SELECT code, CAST(CASE WHEN code % 2 = 0 THEN d ELSE d + INTERVAL 1 DAY END AS DATE) AS date, k * 1.01::DOUBLE AS close, CASE WHEN code % 3 <> 0 THEN v END AS volume FROM l)
+      SELECT q.code, q.date, round(q.close, 6) AS close, coalesce(q.volume, b.volume) AS volume FROM q LEFT JOIN bars b ON b.code = q.code AND b.date = q.date UNION ALL SELECT b.code, b.date, round(b.close, 6), b.volume FROM bars b WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.code = b.code AND q.date = b.date)""",
     "s13_supplement": f"WITH {tables.SNAPSHOT_SQL} SELECT code, coalesce(pe_ratio, 1) AS pe_ratio, coalesce(pb_ratio, CASE WHEN code % 2 = 0 THEN CAST(2 AS DOUBLE) END) AS pb_ratio, signal_score FROM snap",
     "d7_relaxed_duplicates": "SELECT event_id, m AS survivor FROM (SELECT event_id, min(event_id) OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE)) AS m FROM events) WHERE event_id <> m",
     "d9_duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
@@ -207,7 +208,7 @@ ORACLES = {
     "j12_alias_resolution": """WITH r AS (SELECT event_id AS id, user_id % 40 AS alias, CAST(ts AS DATE) AS day FROM events),
       a AS (SELECT s_suppkey % 37 AS alias, s_suppkey % 50 AS entity, DATE '1990-01-01' + CAST(s_suppkey * 11 % 9000 AS INTEGER) AS vf, CASE WHEN s_suppkey % 3 = 0 THEN DATE '1995-01-01' + CAST(s_suppkey * 7 % 12000 AS INTEGER) END AS vt, CASE WHEN s_suppkey % 17 = 0 THEN 'REJECTED' WHEN s_suppkey % 29 = 0 THEN 'CONFLICT' ELSE 'VERIFIED' END AS state, s_suppkey % 5 <> 0 AS active FROM supplier WHERE s_suppkey % 50 > 5),
       j AS (SELECT id, a.*, coalesce(vf <= day AND (vt IS NULL OR day < vt) AND state <> 'REJECTED', false) AS fits FROM r LEFT JOIN a ON r.alias = a.alias),
-      g AS (SELECT id, bool_or(fits AND state = 'CONFLICT') AS o, count(DISTINCT CASE WHEN fits THEN entity END) AS n, min(CASE WHEN fits THEN entity END) AS e, bool_or(fits AND active) AS live FROM j GROUP BY id)
+      g AS (SELECT id, bool_or(coalesce(state = 'CONFLICT', false)) AS o, count(DISTINCT CASE WHEN fits THEN entity END) AS n, min(CASE WHEN fits THEN entity END) AS e, bool_or(fits AND active) AS live FROM j GROUP BY id)
       SELECT id, CASE WHEN o THEN 'CONFLICT' WHEN n = 0 THEN 'NOT_FOUND' WHEN n > 1 THEN 'AMBIGUOUS' WHEN NOT live THEN 'INACTIVE' ELSE 'RESOLVED' END AS status, CASE WHEN n = 1 THEN e END AS entity FROM g""",
     "m6_coverage_flag": "WITH d AS (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS expected, CAST(count_if(l_returnflag <> 'R') AS BIGINT) AS observed FROM lineitem GROUP BY 1) SELECT date, expected, observed, observed / expected >= 0.998::DOUBLE AND (expected - observed) / expected <= 0.002::DOUBLE AND expected - observed <= 10 AS met FROM d",
     "m11_worst_state": f"SELECT o_custkey, {_PROFILE_STATES}[max(o_orderkey % 5 + 1)] AS state FROM orders GROUP BY 1",

@@ -33,7 +33,7 @@ QUERIES = {
     "f17_f19_board_heat": lambda s, d: rounded(tables.snapshot(s, d).groupBy("industry").agg(F.avg("change_pct").alias("change"), F.avg("code").alias("rank")).select("industry", scr.board_heat(c("change"), c("rank")).alias("heat"), scr.theme_phase(c("change")).alias("phase"))),
     "f20_name_match": lambda s, d: rounded(tables.table(s, d, "nation").select("n_nationkey", scr.char_jaccard(c("n_name"), F.lit("NATION_7")).alias("jaccard"))),
     "r1_percentile_rank": lambda s, d: rounded(tables.daily_bars(s, d).select("code", "date", scr.percentile_score(c("close"), lower_is_better=False, missing=50, by=[c("date")]).alias("score"))),
-    "r5_seeded_rotation": lambda s, d: scr.seeded_rotation(_scored(s, d), "s1", "2024-01").select("code", "industry", "place"),
+    "r5_seeded_rotation": lambda s, d: scr.seeded_rotation(_scored(s, d), "s1", "2024-01", "concepts", 6).select("code", "concepts", "place"),
 }
 
 
@@ -69,6 +69,9 @@ ORACLES = {
     "f17_f19_board_heat": f"WITH {tables.SNAPSHOT_SQL}, h AS (SELECT industry, avg(change_pct) AS ch, avg(code) AS rk FROM snap GROUP BY 1) SELECT industry, round(least(100, greatest(0, 50 + ch * 6 + greatest(0, 12 - least(rk, 12)))), 6) AS heat, CASE WHEN ch >= 3 THEN 'accelerating' WHEN ch > 0 THEN 'warming' ELSE 'cooling' END AS phase FROM h",
     "f20_name_match": "WITH x AS (SELECT n_nationkey, list_distinct(string_split(n_name, '')) AS a, list_distinct(string_split('NATION_7', '')) AS b FROM nation) SELECT n_nationkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM x",
     "r1_percentile_rank": f"WITH {tables.BARS_SQL} SELECT code, date, round({_pct('close', False, 50, 'date')}, 6) AS score FROM bars",
-    "r5_seeded_rotation": _SC + """, k AS (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY screen_score DESC, code) AS nth, sha256('s1' || chr(0) || '2024-01' || chr(0) || CAST(code AS VARCHAR)) AS key, screen_score >= max(screen_score) OVER (PARTITION BY industry) - 5 AS near FROM g)
-      SELECT code, industry, CAST(row_number() OVER (PARTITION BY industry ORDER BY (nth = 1) DESC, near DESC, CASE WHEN near THEN key END, nth) AS INTEGER) AS place FROM k""",
+    "r5_seeded_rotation": _SC + """, o AS (SELECT code, concepts, screen_score AS s, row_number() OVER (PARTITION BY concepts ORDER BY screen_score DESC, code) AS nth, count(*) OVER (PARTITION BY concepts) AS n FROM g), t AS (SELECT *, least(n, 6) AS k FROM o),
+      x AS (SELECT t.*, z.s AS cut FROM t JOIN t z ON z.concepts = t.concepts AND z.nth = z.k), bt AS (SELECT concepts, count(*) FILTER (nth <= k AND s > cut + 1.5::DOUBLE) AS q FROM x GROUP BY 1),
+      y AS (SELECT *, least(k - q, greatest(1, k // 2)) AS op FROM x JOIN bt USING (concepts)), p AS (SELECT *, nth > k - op AND s >= cut - 1.5::DOUBLE AS pooled FROM y),
+      d AS (SELECT *, count(*) FILTER (pooled) OVER (PARTITION BY concepts) AS size, row_number() OVER (PARTITION BY concepts, pooled ORDER BY sha256('s1' || chr(0) || '2024-01' || chr(0) || CAST(code AS VARCHAR))) AS turn FROM p)
+      SELECT code, concepts, CAST(row_number() OVER (PARTITION BY concepts ORDER BY nth) AS INTEGER) AS place FROM d WHERE CASE WHEN k >= 2 AND n > k AND size > op THEN nth <= k - op OR (pooled AND turn <= op) ELSE nth <= k END""",
 }

@@ -1,13 +1,9 @@
-"""Bars and alerts over streams of events."""
+"""Bars over streams of ticks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def ohlc(ticks: DataFrame, width: str = "1 day", late: str = "2 hours", key: str = "user_id", at: str = "ts", price: str = "value") -> DataFrame:
@@ -16,31 +12,3 @@ def ohlc(ticks: DataFrame, width: str = "1 day", late: str = "2 hours", key: str
     first = F.struct(at, "event_id")
     out = t.groupBy(F.window(at, width).alias("w"), F.col(key).alias("code")).agg(F.min_by(price, first).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, first).alias("close"), F.count("*").alias("ticks"))
     return out.select("code", F.col("w.start").alias("start"), "open", "high", "low", "close", "ticks")
-
-
-def alerts(ticks: DataFrame, level: float, cooldown_s: int = 3600, late: str = "2 hours", key: str = "user_id", at: str = "ts", price: str = "value") -> DataFrame:
-    """A row when a key's price rises above the level from it or below, at most one per cool-down.
-
-    State per key: the last price and the end of its cool-down; it goes when a key is silent for a day
-    of event time.
-    """
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, until = state.get if state.exists else (None, 0.0)
-        found = []
-        rows = pd.concat(list(batches)).sort_values([at, "event_id"], kind="stable")
-        for t, x in zip(rows[at], rows[price], strict=True):
-            s = t.timestamp()
-            if last is not None and last <= level < x and s >= until:
-                found.append((k[0], t, x))
-                until = s + cooldown_s
-            last = x
-        state.update((float(last), float(until)))
-        state.setTimeoutTimestamp(max(int(rows[at].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 86_400_000)
-        yield pd.DataFrame(found, columns=["code", "at", "price"])
-
-    t = ticks.withColumn(at, F.col(at).cast("timestamp")).select(key, at, price, "event_id").withWatermark(at, late)
-    return t.groupBy(key).applyInPandasWithState(run, "code long, at timestamp, price double", "last double, until double", "append", GroupStateTimeout.EventTimeTimeout)
