@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from quantloom.functions.columns import bars, clip, history, ladder, rolling
+from quantloom.functions.folds import running_fold
 
 c = F.col
 
@@ -115,36 +113,34 @@ def simple_rsi(df: DataFrame, n: int = 14) -> DataFrame:
     return out.withColumn("rsi_status", ladder((c("rsi") <= 35, "oversold"), (c("rsi") >= 70, "overbought"), otherwise="neutral")).drop("d")
 
 
-def ewm(x: np.ndarray, alpha: float) -> np.ndarray:
-    """y0 = x0; y = alpha x + (1 - alpha) y."""
-    out, y = np.empty(len(x)), 0.0
-    for i, v in enumerate(x):
-        y = v if i == 0 else v * alpha + y * (1 - alpha)
-        out[i] = y
-    return out
+def _ewm(before: Column, x: Column, alpha: float) -> Column:
+    """The exponential mean after x: x itself at the start; a null x leaves it as it is."""
+    return F.when(x.isNull(), before).when(before.isNull(), x).otherwise(x * alpha + before * (1 - alpha))
 
 
-def _fold(df: DataFrame, columns: dict[str, str], f) -> DataFrame:
-    """f(bars of one instrument in order) -> new columns. A group is one instrument's history."""
-    schema = StructType(list(df.schema.fields))
-    for name, kind in columns.items():
-        schema = schema.add(name, kind)
+def _means(df: DataFrame, alphas: dict[str, tuple[str, float]]) -> DataFrame:
+    """df with exponential means: name -> (column, alpha). A name may read one that stands before it."""
+    start = {name: F.lit(None).cast("double") for name in alphas}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", kind="stable")
-        return pdf.assign(**f(pdf))
+    def step(acc: Column, row: Column) -> dict[str, Column]:
+        out: dict[str, Column] = {}
+        for name, (x, alpha) in alphas.items():
+            out[name] = _ewm(acc[name], out[x] if x in out else row[x].cast("double"), alpha)
+        return out
 
-    return df.groupBy("code").applyInPandas(run, schema)
+    return running_fold(df, ["code"], ["date"], start, step, list(alphas))
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    def f(p: pd.DataFrame) -> dict:
-        x = p["close"].to_numpy(float)
-        dif = ewm(x, 2 / (fast + 1)) - ewm(x, 2 / (slow + 1))
-        dea = ewm(dif, 2 / (signal + 1))
-        return {"dif": dif, "dea": dea, "macd": 2 * (dif - dea)}
+    """dif, the fast mean of closes less the slow one; dea, its own mean; and twice their distance."""
+    start = {x: F.lit(None).cast("double") for x in ("f", "s", "dif", "dea")}
+
+    def step(acc: Column, row: Column) -> dict[str, Column]:
+        x = row["close"].cast("double")
+        f, s = _ewm(acc["f"], x, 2 / (fast + 1)), _ewm(acc["s"], x, 2 / (slow + 1))
+        return {"f": f, "s": s, "dif": f - s, "dea": _ewm(acc["dea"], f - s, 2 / (signal + 1))}
 
-    return _fold(df, {"dif": "double", "dea": "double", "macd": "double"}, f)
+    return running_fold(df, ["code"], ["date"], start, step, ["dif", "dea"]).withColumn("macd", 2 * (c("dif") - c("dea")))
 
 
 def macd_signal(df: DataFrame) -> DataFrame:
@@ -159,15 +155,12 @@ def macd_signal(df: DataFrame) -> DataFrame:
 
 def wilder_rsi(df: DataFrame, n: int = 14) -> DataFrame:
     """From exponential means, where the first change counts as 0; 50 where nothing moved."""
-
-    def f(p: pd.DataFrame) -> dict:
-        d = np.diff(p["close"].to_numpy(float), prepend=p["close"].iloc[:1])
-        gain, loss = ewm(np.maximum(d, 0), 1 / n), ewm(np.maximum(-d, 0), 1 / n)
-        with np.errstate(all="ignore"):
-            rsi = 100 - 100 / (1 + gain / loss)
-        return {"rsi": np.where((gain == 0) & (loss == 0), 50.0, np.where(loss == 0, 100.0, rsi))}
-
-    return _fold(df, {"rsi": "double"}, f)
+    change = F.coalesce(c("close") - F.lag("close").over(history()), F.lit(0.0))
+    moved = df.withColumns({"__up": F.greatest(change, F.lit(0.0)), "__down": F.greatest(-change, F.lit(0.0))})
+    out = _means(moved, {"__gain": ("__up", 1 / n), "__loss": ("__down", 1 / n)})
+    gain, loss = c("__gain"), c("__loss")
+    rsi = F.when((gain == 0) & (loss == 0), 50.0).when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / F.nullif(loss, F.lit(0.0))))
+    return out.withColumn("rsi", rsi).drop("__up", "__down", "__gain", "__loss")
 
 
 def kdj(df: DataFrame, n: int = 9, k: int = 3, d: int = 3) -> DataFrame:
@@ -175,13 +168,8 @@ def kdj(df: DataFrame, n: int = 9, k: int = 3, d: int = 3) -> DataFrame:
     low, high = rolling(F.min, c("low"), n), rolling(F.max, c("high"), n)
     rsv = F.when(high == low, 50.0).otherwise((c("close") - low) / (high - low) * 100)
     out = df.withColumn("rsv", F.when(low.isNotNull(), rsv)).where(c("rsv").isNotNull())
-
-    def f(p: pd.DataFrame) -> dict:
-        kk = ewm(p["rsv"].to_numpy(float), 1 / k)
-        dd = ewm(kk, 1 / d)
-        return {"k": kk, "d": dd, "j": 3 * kk - 2 * dd}
-
-    return _fold(out, {"k": "double", "d": "double", "j": "double"}, f)
+    out = _means(out, {"k": ("rsv", 1 / k), "d": ("k", 1 / d)})
+    return out.withColumn("j", 3 * c("k") - 2 * c("d"))
 
 
 def cci(df: DataFrame, n: int = 14) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,25 +25,23 @@ def fifo_matches(trades: DataFrame) -> DataFrame:
 
 
 def average_cost(trades: DataFrame) -> DataFrame:
-    """Replay per account: a sale leaves the mean cost as it is; what is oversold is cut and counted.
-    A true fold, so each account's trades are one group."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        held: dict = {}
-        for r in p.sort_values(["date", "id"], kind="stable").itertuples(index=False):
-            q, cost, profit, over = held.get(r.symbol, (0.0, 0.0, 0.0, 0.0))
-            if r.side == "buy":
-                q, cost = q + r.quantity, cost + r.quantity * r.price
-            else:
-                take = min(q, r.quantity)
-                mean = cost / q if q > EPSILON else 0.0
-                q, cost, profit, over = q - take, cost - take * mean, profit + take * (r.price - mean), over + r.quantity - take
-                if q <= EPSILON:
-                    q = cost = 0.0
-            held[r.symbol] = (q, cost, profit, over)
-        return pd.DataFrame([(p["account"].iloc[0], s, *x) for s, x in held.items()], columns=["account", "symbol", "quantity", "cost", "profit", "oversold"])
-
-    return trades.groupBy("account").applyInPandas(run, "account long, symbol long, quantity double, cost double, profit double, oversold double")
+    """Replay per position: a sale leaves the mean cost as it is; what is oversold is cut and counted. A fold over
+    the position's trades; ledgers of any length, with splits, are operators.ledger's."""
+    rows = trades.groupBy("account", "symbol").agg(F.array_sort(F.collect_list(F.struct("date", "id", "side", c("quantity").cast("double").alias("quantity"), c("price").cast("double").alias("price")))).alias("rows"))
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("quantity"), zero.alias("cost"), zero.alias("profit"), zero.alias("oversold"))
+
+    def step(acc: Column, row: Column) -> Column:
+        buys = row["side"] == "buy"
+        take = F.least(acc["quantity"], row["quantity"])
+        mean = F.when(acc["quantity"] > EPSILON, acc["cost"] / acc["quantity"]).otherwise(0.0)
+        left = acc["quantity"] - take
+        gone = left <= EPSILON
+        bought = F.struct((acc["quantity"] + row["quantity"]).alias("quantity"), (acc["cost"] + row["quantity"] * row["price"]).alias("cost"), acc["profit"].alias("profit"), acc["oversold"].alias("oversold"))
+        sold = F.struct(F.when(gone, 0.0).otherwise(left).alias("quantity"), F.when(gone, 0.0).otherwise(acc["cost"] - take * mean).alias("cost"), (acc["profit"] + take * (row["price"] - mean)).alias("profit"), (acc["oversold"] + row["quantity"] - take).alias("oversold"))
+        return F.when(buys, bought).otherwise(sold)
+
+    return rows.select("account", "symbol", F.aggregate("rows", start, step).alias("s")).select("account", "symbol", "s.*")
 
 
 def positions(trades: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import bars, clip, history, ladder, rolling
 
+from quantloom.operators.profile import SCORING_PROFILE
+from quantloom.operators.screening import heat_adjusted
+
 c = F.col
 
 #: Points of each state in a trade score.
@@ -104,12 +107,9 @@ def hotspot_stage() -> Column:
     return ladder((fading & weak, "retreat"), (c("cooling_score") >= 5, "divergence"), ((c("latest") >= 75) & (c("trend") >= 8) & (c("persistence") >= 50), "acceleration"), (lasting, "diffusion"), ((c("trend") >= 5) & (c("observations") >= 2), "diffusion"), otherwise="first_move")
 
 
-def theme_heat() -> Column:
-    """Theme heat from board heat with its trend, persistence, cooling and overheating."""
-    reliable, trend = c("observations") >= 2, c("trend")
-    bonus = F.least(F.greatest(trend, F.lit(0.0)) * 0.8, F.lit(10.0)) - F.least(F.greatest(-trend, F.lit(0.0)) * 0.8, F.lit(12.0))
-    score = F.coalesce("latest", F.lit(50.0)) + F.when(reliable, bonus).otherwise(0.0) + F.least(F.greatest(c("persistence") - 60, F.lit(0.0)) * 0.08, F.lit(6.0)) - F.least(c("cooling_score") * 0.6, F.lit(10.0))
-    return clip(score - F.greatest(score - 88, F.lit(0.0)) * 0.5, 0, 100)
+def theme_heat(p: dict = SCORING_PROFILE) -> Column:
+    """Theme heat from the columns of board_heat_trend()."""
+    return heat_adjusted(F.coalesce("latest", F.lit(p["theme_heat_unknown_score"])), p, c("trend"), c("observations"), c("persistence"), c("cooling_score"))
 
 
 def hotspot_score(inflow: Column | None = None, limit_up: Column | None = None, active_days: Column | None = None, evidence: Column | None = None) -> Column:

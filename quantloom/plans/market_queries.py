@@ -104,7 +104,7 @@ QUERIES = {
     "j8_strictly_before": j8_strictly_before,
     "j16_convert": j16_convert,
     "b8_fifo": b8_fifo,
-    "b9_average_cost": lambda s, d: rounded(pf.average_cost(_trades(s, d)), 4),
+    "b9_average_cost": lambda s, d: rounded(pf.average_cost(_trades(s, d)).withColumns({x: c(x) + 1e-7 for x in ("cost", "profit")}), 4),
     "b11_positions": lambda s, d: rounded(pf.positions(_trades(s, d)), 4),
     "a16_concentration": a16_concentration,
     "a17_drawdown": a17_drawdown,
@@ -169,6 +169,10 @@ ORACLES = {
     "j8_strictly_before": f"WITH {_FX} SELECT o.id, o.code, o.date, round(amount, 6) AS amount, round(f.rate, 6) AS asof_rate FROM ob o ASOF LEFT JOIN fx f ON o.code = f.code AND o.date > f.date",
     "j16_convert": f"WITH {_FX}, v AS (SELECT o.code, amount, rate FROM ob o ASOF LEFT JOIN fx f ON o.code = f.code AND o.date >= f.date) SELECT code, round(sum(amount * coalesce(rate, 1)), 2) AS value, CAST(coalesce(count_if(rate IS NULL), 0) AS BIGINT) AS stale FROM v GROUP BY 1",
     "b8_fifo": f"WITH {_TR}, u AS (SELECT *, sum(quantity) OVER (PARTITION BY account, symbol, side ORDER BY date, id ROWS UNBOUNDED PRECEDING) AS upto FROM tr), m AS (SELECT b.account, b.symbol, least(b.upto, s.upto) - greatest(b.upto - b.quantity, s.upto - s.quantity) AS q, s.price - b.price AS gain FROM u b JOIN u s ON b.account = s.account AND b.symbol = s.symbol AND b.side = 'buy' AND s.side = 'sell' AND b.upto - b.quantity < s.upto AND s.upto - s.quantity < b.upto) SELECT account, symbol, count(*) AS matches, round(sum(q), 2) AS quantity, round(sum(q * gain) + 1e-7, 2) AS profit FROM m GROUP BY 1, 2",
+    "b9_average_cost": f"""WITH RECURSIVE {_TR}, ev AS (SELECT *, row_number() OVER (PARTITION BY account, symbol ORDER BY date, id) AS n FROM tr), rec AS (SELECT account, symbol, 0::BIGINT AS n, 0::DOUBLE AS q, 0::DOUBLE AS cost, 0::DOUBLE AS profit, 0::DOUBLE AS over FROM ev GROUP BY 1, 2
+      UNION ALL SELECT r.account, r.symbol, e.n, CASE WHEN side = 'buy' THEN q + quantity WHEN q - quantity <= 1e-9 THEN 0 ELSE q - quantity END, CASE WHEN side = 'buy' THEN cost + quantity * price WHEN q - quantity <= 1e-9 THEN 0 ELSE cost - quantity * (cost / q) END,
+        profit + CASE WHEN side = 'sell' AND q > 1e-9 THEN least(q, quantity) * (price - cost / q) ELSE 0 END, over + CASE WHEN side = 'sell' THEN quantity - least(q, quantity) ELSE 0 END FROM rec r JOIN ev e ON r.account = e.account AND r.symbol = e.symbol AND e.n = r.n + 1)
+      SELECT account, symbol, round(q, 4) AS quantity, round(cost + 1e-7, 4) AS cost, round(profit + 1e-7, 4) AS profit, round(over, 4) AS oversold FROM rec WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY account, symbol ORDER BY n DESC) = 1""",
     "b11_positions": f"WITH {_TR} SELECT account, symbol, round(sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END), 4) AS quantity, round(sum(CASE WHEN side = 'buy' THEN -1 ELSE 1 END * quantity * price), 4) AS cash FROM tr GROUP BY 1, 2",
     "a16_concentration": f"WITH {_TR}, p AS (SELECT account, sum(quantity * price) AS exposure FROM tr GROUP BY 1), q AS (SELECT account, exposure, exposure / sum(exposure) OVER () * 100 AS w FROM p) SELECT account, round(exposure, 4) AS exposure, round(w, 4) AS weight_pct, w >= 0.1 AS alert FROM q ORDER BY w DESC, account LIMIT 10",
     "a17_drawdown": "WITH e AS (SELECT user_id % 5 AS book, CAST(ts AS DATE) AS date, sum(value) AS equity FROM events GROUP BY 1, 2), p AS (SELECT *, greatest(max(equity) OVER (PARTITION BY book ORDER BY date ROWS UNBOUNDED PRECEDING), 0) AS peak FROM e) SELECT book, date, round(equity, 4) AS equity, round(peak, 4) AS peak, round(CASE WHEN peak > 0 THEN (peak - equity) / peak * 100 ELSE 0 END, 4) AS drawdown_pct FROM p",

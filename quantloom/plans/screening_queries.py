@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import rounded
+from quantloom.operators import indicators as ind
 from quantloom.operators import screening as scr
+from quantloom.plans import indicator_queries as iq
 from quantloom.sources import tables
 
 c = F.col
 WEIGHTS = {"value": 0.25, "momentum": 0.25, "liquidity": 0.15, "activity": 0.15, "stability": 0.1, "size": 0.1}
+SNAPSHOT_FACTORS = ("value", "liquidity", "momentum", "reversal", "activity", "stability", "size")
 RULE_NAMES = ["name", "price_min", "pe_range", "turnover_max", "regions"]
 
 
@@ -23,10 +26,33 @@ def _scored(spark, sf_dir):
     return scr.score(tables.snapshot(spark, sf_dir), WEIGHTS)
 
 
+DAILY = ("volatility_20d_pct", "max_drawdown_20d_pct", "atr_20_pct", "daily_quality_score", "daily_quality_flags")
+
+
+def f6_f12_daily_penalties(spark, sf_dir):
+    """Stability, with some of its profile overridden, and risk on features of real bars."""
+    daily = rounded(ind.daily_features(tables.daily_bars(spark, sf_dir)).select("code", *DAILY))
+    df = tables.snapshot(spark, sf_dir).join(daily, "code")
+    scored = scr.score(df, {"stability": 1.0}, {"stability_high_volatility_pct": 300.0, "stability_high_atr_pct": 20.0, "no_such_key": 1.0})
+    return rounded(scr.risk(scored).select("code", "stability_score", "risk_points", "risk_flags"))
+
+
+def f8_f9_theme_topics(spark, sf_dir):
+    """Heat of the industry's board and topics that hot boards name."""
+    k = c("code")
+    df = tables.snapshot(spark, sf_dir).withColumns({
+        "board_heat_score": F.when(k % 6 != 0, (k * 13 % 100).cast("double")), "board_heat_trend_score": (k * 7 % 41 - 20).cast("double"), "board_heat_observations": k % 4, "board_heat_persistence_score": (k * 3 % 101).cast("double"), "board_heat_cooling_score": (k % 23).cast("double"),
+        "board_heat_summary": F.when(k % 5 == 0, "none").when(k % 5 == 1, "ASIA:80|Rank:1").when(k % 5 == 2, F.concat(c("industry"), F.lit(":70/EUROPE:60"))).otherwise("AFRICA；NATION_3，other"),
+    })
+    return rounded(scr.score(df, {"theme_heat": 1.0, "topic_alignment": 1.0}).select("code", "theme_heat_score", "topic_alignment_score", "screen_score"))
+
+
 QUERIES = {
+    "f6_f12_daily_penalties": f6_f12_daily_penalties,
+    "f8_f9_theme_topics": f8_f9_theme_topics,
     "p1_hard_filters": lambda s, d: scr.hard_filters(tables.snapshot(s, d), _rules()).select("code", "name", "price", "pe_ratio"),
     "p6_filter_waterfall": lambda s, d: rounded(scr.waterfall(tables.snapshot(s, d), _rules())),
-    "f1_f7_factor_scores": lambda s, d: rounded(scr.score(tables.snapshot(s, d), dict.fromkeys(scr.FACTORS, 1.0)).select("code", *[f"{f}_score" for f in scr.FACTORS])),
+    "f1_f7_factor_scores": lambda s, d: rounded(scr.score(tables.snapshot(s, d), dict.fromkeys(SNAPSHOT_FACTORS, 1.0)).select("code", *[f"{f}_score" for f in SNAPSHOT_FACTORS])),
     "f10_r2_r3_candidates": lambda s, d: rounded(scr.candidates(_scored(s, d), WEIGHTS, 20).select("code", "screen_score", "value_score")),
     "f12_risk": lambda s, d: scr.risk(tables.snapshot(s, d)).select("code", "risk_points", "risk_flags", "risk_level"),
     "f13_concentration": lambda s, d: rounded(scr.concentration_penalty(_scored(s, d), "concepts").select("code", "concepts", "penalty", "final_score")),
@@ -59,10 +85,20 @@ _RULES = [
 ]
 _RISK = "CAST(" + " + ".join(f"CASE WHEN {cond} THEN {n} ELSE 0 END" for _, cond, n in _RULES) + " AS DOUBLE)"
 
+_DAILY_RISK = f"{_RISK} + CASE WHEN daily_quality_score < {scr.RISK_PROFILE['low_daily_quality_score']}::DOUBLE THEN {scr.RISK_PROFILE['low_daily_quality_points']}::DOUBLE ELSE 0 END"
+_TOPICS = lambda x: f"list_distinct(list_filter([trim(string_split(v, ':')[1]) FOR v IN regexp_split_to_array(coalesce({x}, ''), '[|,，;；/\\s]+')], lambda v: v <> '' AND lower(v) NOT IN ('rank', 'nan', 'none', '<na>')))"
 ORACLES = {
+    "f6_f12_daily_penalties": _S + f"""w AS ({iq.ORACLES['w29_daily_features']}), d AS (SELECT b.*, w.* EXCLUDE (code, signal_score, macd_status, rsi_status, date, volume_ratio, change_60d) FROM b JOIN w ON b.code = w.code)
+      SELECT code, round(least(100, greatest(0, 78 - least(abs(x), 10) * 3 - greatest(x - 7, 0) * 5 - greatest(t - 10, 0) * 2 - greatest(r - 5, 0) * 4 - CASE WHEN pe_ratio <= 0 THEN 18 ELSE 0 END + (s - 50) * 0.12::DOUBLE - coalesce(greatest(volatility_20d_pct - 300, 0), 0) * 0.45::DOUBLE - coalesce(greatest(-12 - max_drawdown_20d_pct, 0), 0) * 1.2::DOUBLE - coalesce(greatest(atr_20_pct - 20, 0), 0) * 2
+        - greatest(80 - daily_quality_score, 0) * 0.35::DOUBLE - CASE WHEN regexp_matches(daily_quality_flags, 'invalid_ohlc|non_positive_price|negative_volume|stale_cache') THEN 8 ELSE 0 END)), 6) AS stability_score, round({_DAILY_RISK}, 6) AS risk_points,
+        concat_ws(',', """ + ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond, _ in _RULES) + f", CASE WHEN daily_quality_score < {scr.RISK_PROFILE['low_daily_quality_score']}::DOUBLE THEN 'low_daily_quality' END) AS risk_flags FROM d",
+    "f8_f9_theme_topics": f"""WITH {tables.SNAPSHOT_SQL}, h AS (SELECT code, industry, concepts, CASE WHEN code % 6 <> 0 THEN CAST(code * 13 % 100 AS DOUBLE) END AS heat, code * 7 % 41 - 20 AS trend, code % 4 AS obs, code * 3 % 101 AS pers, code % 23 AS cool, CASE code % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'ASIA:80|Rank:1' WHEN 2 THEN industry || ':70/EUROPE:60' ELSE 'AFRICA；NATION_3，other' END AS hot FROM snap),
+      a AS (SELECT *, coalesce(heat, 50) + CASE WHEN obs >= 2 THEN least(greatest(trend, 0) * 0.8::DOUBLE, 10) - least(greatest(-trend, 0) * 0.8::DOUBLE, 12) ELSE 0 END + least(greatest(pers - 60, 0) * 0.08::DOUBLE, 6) - least(cool * 0.6::DOUBLE, 10) AS z, list_concat({_TOPICS('industry')}, {_TOPICS('concepts')}) AS mine, {_TOPICS('hot')} AS theirs FROM h),
+      b AS (SELECT *, least(100, greatest(0, z - greatest(z - 88, 0) * 0.5::DOUBLE)) AS th, least(100, greatest(0, CASE WHEN len(mine) = 0 OR len(theirs) = 0 THEN 50 WHEN list_has_any(mine, theirs) THEN 75 + coalesce(greatest(heat - 50, 0), 0) * 0.25::DOUBLE ELSE 38 END)) AS ta FROM a)
+      SELECT code, round(th, 6) AS theme_heat_score, round(ta, 6) AS topic_alignment_score, round(th / 2 + ta / 2, 6) AS screen_score FROM b""",
     "p1_hard_filters": f"WITH {tables.SNAPSHOT_SQL} SELECT code, name, price, pe_ratio FROM snap WHERE {' AND '.join(_RULES_SQL)}",
     "p6_filter_waterfall": f"WITH {tables.SNAPSHOT_SQL}, n AS (SELECT {', '.join(_N)} FROM snap), u AS (" + " UNION ALL ".join(f"SELECT {i} AS step, '{r}' AS rule, CAST(n{i - 1} AS BIGINT) AS before, CAST(n{i} AS BIGINT) AS after FROM n" for i, r in enumerate(RULE_NAMES, 1)) + ") SELECT step, rule, before, after, before - after AS removed, round(CASE WHEN before > 0 THEN (before - after) / before * 100 ELSE 0 END, 6) AS removed_pct FROM u",
-    "f1_f7_factor_scores": _F + " SELECT code, " + ", ".join(f"round({f}_score, 6) AS {f}_score" for f in scr.FACTORS) + " FROM f",
+    "f1_f7_factor_scores": _F + " SELECT code, " + ", ".join(f"round({f}_score, 6) AS {f}_score" for f in SNAPSHOT_FACTORS) + " FROM f",
     "f10_r2_r3_candidates": _SC + " SELECT code, round(screen_score, 6) AS screen_score, round(value_score, 6) AS value_score FROM g ORDER BY g.screen_score DESC, momentum_score DESC, g.value_score DESC, activity_score DESC, liquidity_score DESC, size_score DESC, stability_score DESC, code LIMIT 20",
     "f12_risk": f"WITH {tables.SNAPSHOT_SQL} SELECT code, {_RISK} AS risk_points, concat_ws(',', " + ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond, _ in _RULES) + f") AS risk_flags, CASE WHEN {_RISK} >= 7.92 THEN 'high' WHEN {_RISK} >= 3.96 THEN 'medium' ELSE 'low' END AS risk_level FROM snap",
     "f13_concentration": _SC + ", h AS (SELECT *, CAST(least(greatest(row_number() OVER (PARTITION BY concepts ORDER BY screen_score DESC, code) - 1, 0) * 4, 12) AS DOUBLE) AS penalty FROM g) SELECT code, concepts, penalty, round(screen_score - penalty, 6) AS final_score FROM h",
