@@ -67,8 +67,8 @@ def fullest(sizes: list[int], counts: list[int], capacity: int) -> dict[int, int
 
 
 def configurations(groups: dict[int, list[tuple[int, int]]], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """(how often, sizes used) until every size is used up: each time the fullest configuration, as
-    often as its sizes last."""
+    """(how often, sizes used) until every size is used up: each time the configuration that leaves the least room of
+    all with the largest size still there, as often as its sizes last."""
     sizes = sorted(groups, reverse=True)
     counts = [sum(n for _, n in groups[s]) for s in sizes]
     out = []
@@ -146,32 +146,25 @@ def best_fit(bins: Bins, small: dict[int, int], capacity: int) -> Bins:
     return [x for kinds in by_room.values() for x in kinds]
 
 
-#: Numbers of groups, and least shares of the capacity that a configuration fills, of which the best is taken.
-GROUPS, FILLED = (32, 128, 1024), (0.0, 0.997)
+#: Numbers of groups, of which the one that needs the fewest bins is taken. With many, a group has few lengths, and
+#: rounding up costs little; there are never more sizes than lengths.
+GROUPS = (128, 1024, 65_536)
 
 
-def plan_bins(lengths: dict[int, int], capacity: int, small_share: int = 8) -> Bins:
+def plan_bins(lengths: dict[int, int], capacity: int, small_share: int = 6) -> Bins:
     """Bins for all pieces, told by how many there are of each length.
 
-    Lengths above capacity / small_share are grouped; the others fill what is left, and so do the
-    documents of configurations that would fill too little. Every choice of GROUPS and FILLED is
-    planned, on numbers alone, and the one with the fewest bins is kept.
+    Lengths above capacity / small_share are grouped and rounded up, so a configuration has fewer than `small_share`
+    pieces; every one of them is placed by a configuration, and the real lengths take the rounded ones' places.
+    The smaller ones fill what is left. Every number of groups is planned, on numbers alone.
     """
     large = {a: n for a, n in lengths.items() if a * small_share > capacity}
-    best: Bins | None = None
+    small = {a: n for a, n in lengths.items() if a not in large}
+    plans = []
     for groups in GROUPS if large else (1,):
         grouped = group_up(large, groups) if large else {}
-        plan = configurations(grouped, capacity)
-        for filled in FILLED:
-            bins = substitute(grouped, [(n, used) for n, used in plan if sum(a * k for a, k in used.items()) >= filled * capacity])
-            rest = dict(lengths)
-            for n, content in bins:
-                for a, k in content:
-                    rest[a] -= n * k
-            bins = best_fit(bins, {a: n for a, n in rest.items() if n}, capacity)
-            if best is None or sum(n for n, _ in bins) < sum(n for n, _ in best):
-                best = bins
-    return best or []
+        plans.append(best_fit(substitute(grouped, configurations(grouped, capacity)), small, capacity))
+    return min(plans, key=lambda bins: sum(n for n, _ in bins))
 
 
 def placements(bins: Bins) -> list[tuple[int, int, int, int, int, int]]:

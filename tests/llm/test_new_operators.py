@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quantloom.llm import common, queries, quality_classifier
+from quantloom.llm import common, packing, quality_classifier, queries
 from quantloom.llm.fill_in_middle import ClassRuns, MiddleSettings, fill_in_middle, middle_report
 from quantloom.llm.quality_classifier import CompressionModel, CompressionSettings, classify_quality, train
 from quantloom.llm.whitening import WhiteningSettings, fit_whitening, jacobi_svd, whitening_report
@@ -188,3 +188,29 @@ def test_whole_texts_are_scored():
     head, tail = " ".join(good), " ".join(bad)
     scores = model.score([head, head + tail * 3, tail])
     assert scores[0] > 0.9 > 0.5 > scores[1] >= scores[2]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_plan_places_large_pieces_by_configurations(seed):
+    """No more sequences than plain best fit needs; every piece once; large ones all from configurations."""
+    r = np.random.default_rng(seed)
+    lengths: dict[int, int] = {}
+    for x in [*r.integers(1, 1025, 3000), *[1024] * 500, *r.integers(1, 60, 400)]:
+        lengths[int(x)] = lengths.get(int(x), 0) + 1
+    bins = packing.plan_bins(lengths, 1024)
+    held: dict[int, int] = {}
+    for n, content in bins:
+        assert sum(a * k for a, k in content) <= 1024
+        for a, k in content:
+            held[a] = held.get(a, 0) + n * k
+    assert held == lengths
+    used = sum(n for n, _ in bins)
+    total = sum(a * n for a, n in lengths.items())
+    assert -(-total // 1024) <= used <= sum(n for n, _ in packing.best_fit([], dict(lengths), 1024))
+
+
+def test_grouping_rounds_up_within_groups_of_equal_size():
+    groups = packing.group_up({100: 3, 90: 2, 80: 4, 10: 1}, 5)
+    assert groups == {100: [(100, 2), (100, 1), (90, 1)], 90: [(90, 1), (80, 1)], 80: [(80, 2), (80, 1), (10, 1)]}
+    plan = packing.configurations({100: [(100, 3)], 60: [(60, 2)], 40: [(40, 2)]}, 100)
+    assert sorted((n, sorted(u.items())) for n, u in plan) == [(2, [(40, 1), (60, 1)]), (3, [(100, 1)])]
