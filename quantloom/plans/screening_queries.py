@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import rounded
+from quantloom.operators import hard_filters as hf
 from quantloom.operators import indicators as ind
 from quantloom.operators import screening as scr
 from quantloom.plans import indicator_queries as iq
@@ -47,7 +48,21 @@ def f8_f9_theme_topics(spark, sf_dir):
     return rounded(scr.score(df, {"theme_heat": 1.0, "topic_alignment": 1.0}).select("code", "theme_heat_score", "topic_alignment_score", "screen_score"))
 
 
+HARD = {"exclude_st": True, "amount_min": 20_000.0, "price_min": 1000.0, "pe_ttm_min": 0.0, "pe_ttm_max": 500.0, "turnover_rate_min": 1.0, "change_pct_max": 9.0, "macd_status_whitelist": ["bullish", "neutral"], "signal_score_min": 20.0, "require_ma_bullish": True}
+
+
+def _with_flag(spark, sf_dir):
+    return tables.snapshot(spark, sf_dir).withColumn("ma_bullish", F.when(c("code") % 7 != 0, c("code") % 3 != 0))
+
+
+def p6_p7_waterfall_samples(spark, sf_dir):
+    out = hf.filter_waterfall(_with_flag(spark, sf_dir), HARD, samples=2)
+    return out.select("step", "rule", "before", "after", "removed", F.array_join(F.transform("samples", lambda x: x["code"]), ",").alias("codes"))
+
+
 QUERIES = {
+    "p1_p3_p4_filters_by_name": lambda s, d: hf.apply_hard_filters(_with_flag(s, d), HARD).select("code", "name", "price"),
+    "p6_p7_waterfall_samples": p6_p7_waterfall_samples,
     "f6_f12_daily_penalties": f6_f12_daily_penalties,
     "f8_f9_theme_topics": f8_f9_theme_topics,
     "p1_hard_filters": lambda s, d: scr.hard_filters(tables.snapshot(s, d), _rules()).select("code", "name", "price", "pe_ratio"),
@@ -87,7 +102,14 @@ _RISK = "CAST(" + " + ".join(f"CASE WHEN {cond} THEN {n} ELSE 0 END" for _, cond
 
 _DAILY_RISK = f"{_RISK} + CASE WHEN daily_quality_score < {scr.RISK_PROFILE['low_daily_quality_score']}::DOUBLE THEN {scr.RISK_PROFILE['low_daily_quality_points']}::DOUBLE ELSE 0 END"
 _TOPICS = lambda x: f"list_distinct(list_filter([trim(string_split(v, ':')[1]) FOR v IN regexp_split_to_array(coalesce({x}, ''), '[|,，;；/\\s]+')], lambda v: v <> '' AND lower(v) NOT IN ('rank', 'nan', 'none', '<na>')))"
+_HARD = ["NOT coalesce(regexp_matches(name, 'ST|退'), false)", "coalesce(amount >= 20000, false)", "coalesce(price >= 1000, false)", "coalesce(pe_ratio >= 0, false)", "coalesce(pe_ratio <= 500, false)", "coalesce(turnover_rate >= 1, false)", "coalesce(change_pct <= 9, false)", "coalesce(code % 7 <> 0 AND code % 3 <> 0, false)", "coalesce(signal_score >= 20, false)", "macd_status IN ('bullish', 'neutral')"]
+_HARD_NAMES = ["exclude_st", "amount_min", "price_min", "pe_ttm_min", "pe_ttm_max", "turnover_rate_min", "change_pct_max", "require_ma_bullish", "signal_score_min", "macd_status_whitelist"]
+_STEP = "CASE " + " ".join(f"WHEN NOT ({x}) THEN {i}" for i, x in enumerate(_HARD, 1)) + " END"
 ORACLES = {
+    "p1_p3_p4_filters_by_name": f"WITH {tables.SNAPSHOT_SQL} SELECT code, name, price FROM snap WHERE {' AND '.join(_HARD)}",
+    "p6_p7_waterfall_samples": f"""WITH {tables.SNAPSHOT_SQL}, g AS (SELECT CAST(code AS VARCHAR) AS code, {_STEP} AS step FROM snap), k AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}')" for i, n in enumerate(_HARD_NAMES, 1))}) v(step, rule)),
+      w AS (SELECT k.step, rule, count(*) FILTER (g.step IS NULL OR g.step >= k.step) AS before, count(*) FILTER (g.step IS NULL OR g.step > k.step) AS after FROM k, g GROUP BY 1, 2), f AS (SELECT step, code FROM g WHERE step IS NOT NULL QUALIFY row_number() OVER (PARTITION BY step ORDER BY code) <= 2)
+      SELECT w.step, rule, before, after, before - after AS removed, coalesce((SELECT string_agg(code, ',' ORDER BY code) FROM f WHERE f.step = w.step), '') AS codes FROM w""",
     "f6_f12_daily_penalties": _S + f"""w AS ({iq.ORACLES['w29_daily_features']}), d AS (SELECT b.*, w.* EXCLUDE (code, signal_score, macd_status, rsi_status, date, volume_ratio, change_60d) FROM b JOIN w ON b.code = w.code)
       SELECT code, round(least(100, greatest(0, 78 - least(abs(x), 10) * 3 - greatest(x - 7, 0) * 5 - greatest(t - 10, 0) * 2 - greatest(r - 5, 0) * 4 - CASE WHEN pe_ratio <= 0 THEN 18 ELSE 0 END + (s - 50) * 0.12::DOUBLE - coalesce(greatest(volatility_20d_pct - 300, 0), 0) * 0.45::DOUBLE - coalesce(greatest(-12 - max_drawdown_20d_pct, 0), 0) * 1.2::DOUBLE - coalesce(greatest(atr_20_pct - 20, 0), 0) * 2
         - greatest(80 - daily_quality_score, 0) * 0.35::DOUBLE - CASE WHEN regexp_matches(daily_quality_flags, 'invalid_ohlc|non_positive_price|negative_volume|stale_cache') THEN 8 ELSE 0 END)), 6) AS stability_score, round({_DAILY_RISK}, 6) AS risk_points,

@@ -97,3 +97,27 @@ def test_percentiles_over_several_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(i, float(i * 7 % 50)) for i in range(100)], "i int, x double")
     got = with_percentiles(rows, {"up": (F.col("x"), False, 0.0), "down": (F.col("x"), True, 0.0)}).collect()
     assert all(r["up"] == pytest.approx(2 * r["x"] + 1.5) and r["down"] == pytest.approx(101 - r["up"]) for r in got) and len(got) == 100
+
+
+def test_profile_overrides_by_public_name():
+    from quantloom.operators.profile import SCORING_PROFILE, scoring_profile
+
+    assert len(SCORING_PROFILE) == 67 and scoring_profile() == SCORING_PROFILE
+    assert scoring_profile({"momentum_base": "70", "no_such_key": 1}) == SCORING_PROFILE | {"momentum_base": 70.0}
+    with pytest.raises(ValueError, match="finite"):
+        scoring_profile({"momentum_base": float("nan")})
+
+
+def test_topics_and_alignment(spark):
+    rows = spark.createDataFrame([(1, "AI,Chips:90", None, "chips:80|AI", 70.0), (2, "Banks", "nan", "AI Rank:1", 70.0), (3, None, "None", "AI", 70.0), (4, "AI", None, "<NA>", None), (5, "AI/x", None, "x；y", None)], "i int, industry string, concepts string, board_heat_summary string, board_heat_score double")
+    out = scr.score(rows, {"topic_alignment": 1.0}).orderBy("i").collect()
+    assert [r["topic_alignment_score"] for r in out] == [80, 38, 50, 50, 75]
+
+
+def test_theme_heat_falls_back(spark):
+    frame = lambda columns, *rows: spark.createDataFrame(list(rows), columns)
+    heat = lambda df: [r["theme_heat_score"] for r in scr.score(df, {"theme_heat": 1.0}).collect()]
+    assert heat(frame("industry_heat_score double, concept_heat_score double", (60.0, 70.0), (None, 40.0), (None, None))) == [70, 40, 50]
+    assert heat(frame("industry_change_pct double, industry_rank double", (2.0, 3.0), (None, None), (1.0, 40.0))) == [69, 50, 56]
+    assert heat(frame("x int", (1,))) == [50]
+    assert heat(frame("board_heat_score double, board_heat_trend_score double, board_heat_observations int", (90.0, 20.0, 2), (90.0, 20.0, 1), (50.0, -30.0, 5))) == [94, 89, 38]
