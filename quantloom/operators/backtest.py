@@ -86,11 +86,29 @@ def breakdowns(evaluated: DataFrame, dimensions: list[str]) -> DataFrame:
     return tall.select(name.alias("dimension"), value.alias("value"), "total", "completed", "wins", "losses", "win_rate_pct", "avg_return_pct")
 
 
-def skill_weights(evaluated: DataFrame, by: str, prior: float = 4.0, most: float = 2.0) -> DataFrame:
-    """Beta-smoothed hit rate as a score in -1..1, and a weight of most ** score."""
-    out = evaluated.groupBy(by).agg(F.count_if(c("outcome") == "win").alias("hits"), F.count_if(c("outcome").isin("win", "loss")).alias("n"))
-    score = 2 * (c("hits") + prior / 2) / (c("n") + prior) - 1
-    return out.withColumn("score", score).withColumn("weight", F.exp(F.log(F.lit(most)) * c("score")))
+#: Hits and misses that every bucket begins with, what not being able to judge costs, the least number
+#: of judged samples, and the largest weight.
+PRIOR_HITS, PRIOR_MISSES, UNABLE_PENALTY, LEAST_SAMPLES, MOST_WEIGHT = 15, 15, 0.25, 30, 1.2
+
+
+def skill_weights(samples: DataFrame) -> DataFrame:
+    """skill and weight, from samples (skill, horizon, status: evaluated, observational or unable; hit).
+
+    A skill and horizon is a bucket. With samples enough it scores the posterior hit rate, from -1 to 1, less a share
+    of what it couldn't judge; buckets count by their evidence. A weight lies between 1 / 1.2 and 1.2; skills without
+    a bucket that counts have 1.
+    """
+    n = lambda x: F.count_if(F.coalesce(x, F.lit(False)))
+    judged = c("status") == "evaluated"
+    buckets = samples.groupBy("skill", "horizon").agg(n(judged).alias("evaluated"), n(judged & c("hit")).alias("hits"), n(c("status") == "unable").alias("unable"), n(c("status").isin("evaluated", "observational", "unable")).alias("ended"))
+    prior = PRIOR_HITS + PRIOR_MISSES
+    rate = (c("hits") + PRIOR_HITS) / (c("evaluated") + prior)
+    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * rate - 1 - UNABLE_PENALTY * c("unable") / c("ended")))
+    counts = c("evaluated") >= LEAST_SAMPLES
+    evidence = F.when(counts, c("evaluated") / (c("evaluated") + prior))
+    mean = F.sum(evidence * score) / F.sum(evidence)
+    weight = F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(1 / MOST_WEIGHT), F.exp(F.log(F.lit(MOST_WEIGHT)) * mean)))
+    return buckets.groupBy("skill").agg(F.sum("evaluated").alias("evaluated"), F.when(mean.isNotNull(), weight).otherwise(1.0).alias("weight"))
 
 
 def invalidations(signals: DataFrame) -> DataFrame:

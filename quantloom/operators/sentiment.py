@@ -26,6 +26,40 @@ def breadth(bars: DataFrame) -> DataFrame:
         F.median("change").alias("median_change"), (F.sum(F.when(c("place") <= 20, c("amount"))) / F.sum("amount")).alias("top20_share"))
 
 
+#: Code beginnings of the boards with other price limits, and the limits.
+BEIJING, STAR_CHINEXT = ("92", "43", "81", "82", "83", "87", "88"), ("688", "30")
+LIMITS = {"beijing": 0.30, "star_chinext": 0.20, "special": 0.05, "other": 0.10}
+
+
+def limit_ratio(code: Column, name: Column) -> Column:
+    """The daily price limit of a stock, by its six-digit code and by ST in its name."""
+    starts = lambda prefixes: code.rlike(f"^({'|'.join(prefixes)})")
+    beijing = code.rlike(r"^\d{6}$") & starts(BEIJING)
+    special = F.contains(F.upper(F.coalesce(name, F.lit(""))), F.lit("ST"))
+    return ladder((beijing, LIMITS["beijing"]), (starts(STAR_CHINEXT), LIMITS["star_chinext"]), (special, LIMITS["special"]), otherwise=LIMITS["other"])
+
+
+def market_breadth(quotes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Counts of up, down, flat, limit_up and limit_down, and the amount in hundred millions, of quotes (code, name,
+    close, prev_close, amount).
+
+    A limit is the close before, times one plus or minus the stock's ratio, rounded half up to cents; a price at
+    most as far from it as rounding moved it is there. Quotes without a price or a close before, or with an amount of
+    0, are suspended and don't count; prices of 0 and less don't either.
+    """
+    live = c("close").isNotNull() & c("prev_close").isNotNull() & ~F.coalesce(c("amount") == 0, F.lit(False)) & (c("close") > 0)
+    ratio = limit_ratio(c("code"), c("name"))
+
+    def at(share: Column) -> Column:
+        exact = c("prev_close") * share
+        limit = F.floor(exact * 100 + 0.5) / 100
+        return F.abs(c("close") - limit) <= F.round(F.abs(exact - limit), 10)
+
+    n = lambda x: F.count_if(F.coalesce(live & x, F.lit(False)))
+    return quotes.groupBy(*(by or [])).agg(
+        n(c("close") > c("prev_close")).alias("up"), n(c("close") < c("prev_close")).alias("down"), n(c("close") == c("prev_close")).alias("flat"), n(at(1 + ratio)).alias("limit_up"), n(at(1 - ratio)).alias("limit_down"), (F.sum("amount") / 1e8).alias("total_amount"))
+
+
 def streaks(bars: DataFrame, holds: Column) -> DataFrame:
     """How many rows in a row, up to each, `holds` is true."""
     breaks = F.sum(F.when(holds, 0).otherwise(1)).over(history().rowsBetween(Window.unboundedPreceding, 0))

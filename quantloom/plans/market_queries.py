@@ -94,11 +94,30 @@ def _agg(name: str, *aggs, by: list, table: str):
     return lambda s, d: rounded(t(s, d, table).groupBy(*by).agg(*aggs), 4)
 
 
+def a9_skill_weights(s: SparkSession, d: str) -> DataFrame:
+    """Actions as skills, three horizons by instrument; what is neutral was only observed."""
+    status = F.when(c("status") != "completed", "unable").when(c("outcome") == "neutral", "observational").otherwise("evaluated")
+    return rounded(bt.skill_weights(_evaluated(s, d).select(c("action").alias("skill"), (c("code") % 3).alias("horizon"), status.alias("status"), (c("outcome") == "win").alias("hit"))))
+
+
+def a15_market_breadth(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers as stocks of five boards, some of them special; their daily bars in cents."""
+    k = c("code")
+    code = F.concat(F.element_at(F.array(*map(F.lit, ("600", "688", "300", "830", "900"))), (k % 5 + 1).cast("int")), F.lpad((k % 1000).cast("string"), 3, "0"))
+    b = tables.daily_bars(s, d).withColumns({"stock": code, "name": F.when(k % 4 == 0, "*st one").when(k % 4 == 1, "two"), "cents": F.floor(c("close") / 10) / 100})
+    b = b.withColumn("prev_close", F.lag("cents").over(Window.partitionBy("code").orderBy("date")))
+    # Every third price is the limit of a stock of its kind, so that limits are met.
+    moved = F.floor(c("prev_close") * F.when(k % 2 == 0, 1.1).otherwise(0.8) * 100 + 0.5) / 100
+    quotes = b.select("date", c("stock").alias("code"), "name", F.when(F.pmod(k + F.unix_date("date"), F.lit(3)) == 0, moved).otherwise(c("cents")).alias("close"), "prev_close", F.when(F.pmod(k + F.unix_date("date"), F.lit(11)) == 0, 0.0).otherwise(c("amount")).alias("amount"))
+    return rounded(sm.market_breadth(quotes, ["date"]))
+
+
 QUERIES = {
     "b1_b2_evaluations": lambda s, d: rounded(_evaluated(s, d).select("id", "code", "status", "end_close", "max_high", "min_low", "return_pct", "first_hit", "hit_days", "outcome")),
     "a1_a4_backtest_summaries": lambda s, d: rounded(bt.summaries(_evaluated(s, d))),
     "a6_breakdowns": lambda s, d: rounded(bt.breakdowns(_evaluated(s, d), ["action", "status", "first_hit"])),
-    "a9_skill_weights": lambda s, d: rounded(bt.skill_weights(_evaluated(s, d), "action")),
+    "a9_skill_weights": a9_skill_weights,
+    "a15_market_breadth": a15_market_breadth,
     "b16_invalidations": lambda s, d: bt.invalidations(tables.advice(s, d)).select("id", "side", "invalidated_at"),
     "j7_as_of": j7_as_of,
     "j8_strictly_before": j8_strictly_before,
@@ -163,7 +182,14 @@ ORACLES = {
     "b1_b2_evaluations": _EV + " SELECT id, code, status, round(end_close, 6) AS end_close, round(max_high, 6) AS max_high, round(min_low, 6) AS min_low, round(r, 6) AS return_pct, first_hit, CAST(hit_days AS BIGINT) AS hit_days, outcome FROM ev",
     "a1_a4_backtest_summaries": _EV + f" SELECT code, {_SUM} FROM ev GROUP BY ROLLUP (code)",
     "a6_breakdowns": _EV + " " + " UNION ALL ".join(f"SELECT '{x}' AS dimension, coalesce({x}, 'unknown') AS value, CAST(count(*) AS BIGINT) AS total, CAST(coalesce(count_if(done), 0) AS BIGINT) AS completed, CAST(coalesce(count_if(outcome = 'win'), 0) AS BIGINT) AS wins, CAST(coalesce(count_if(outcome = 'loss'), 0) AS BIGINT) AS losses, {_rate(chr(111) + 'utcome = ' + repr('win'), 'outcome IN (' + repr('win') + ', ' + repr('loss') + ')')} AS win_rate_pct, round(avg(CASE WHEN done THEN r END), 6) AS avg_return_pct FROM ev GROUP BY {x}" for x in ("action", "status", "first_hit")),
-    "a9_skill_weights": _EV + ", w AS (SELECT action, CAST(coalesce(count_if(outcome = 'win'), 0) AS BIGINT) AS hits, CAST(coalesce(count_if(outcome IN ('win', 'loss')), 0) AS BIGINT) AS n FROM ev GROUP BY 1) SELECT action, hits, n, round(2 * (hits + 2) / (n + 4) - 1, 6) AS score, round(exp(ln(2) * (2 * (hits + 2) / (n + 4) - 1)), 6) AS weight FROM w",
+    "a9_skill_weights": _EV + """, s AS (SELECT action AS skill, code % 3 AS h, CASE WHEN NOT done THEN 'u' WHEN outcome = 'neutral' THEN 'o' ELSE 'e' END AS st, outcome = 'win' AS hit FROM ev),
+      b AS (SELECT skill, h, count(*) FILTER (st = 'e') AS e, count(*) FILTER (st = 'e' AND hit) AS k, count(*) FILTER (st = 'u') AS u, count(*) AS n FROM s GROUP BY 1, 2),
+      p AS (SELECT *, CASE WHEN e >= 30 THEN e / (e + 30) END AS w, greatest(-1, least(1, 2 * ((k + 15) / (e + 30)) - 1 - 0.25::DOUBLE * u / n)) AS sc FROM b)
+      SELECT skill, CAST(sum(e) AS BIGINT) AS evaluated, round(CASE WHEN sum(w) IS NULL THEN 1 ELSE least(1.2::DOUBLE, greatest(1 / 1.2::DOUBLE, exp(ln(1.2::DOUBLE) * sum(w * sc) / sum(w)))) END, 6) AS weight FROM p GROUP BY 1""",
+    "a15_market_breadth": f"""WITH {tables.BARS_SQL}, b AS (SELECT code, date, amount, ['600', '688', '300', '830', '900'][code % 5 + 1] AS board, floor(close / 10) / 100 AS x, lag(floor(close / 10) / 100) OVER (PARTITION BY code ORDER BY date) AS p, code + date_diff('day', DATE '1970-01-01', date) AS k FROM bars),
+      q AS (SELECT date, CASE WHEN k % 3 = 0 THEN floor(p * CASE WHEN code % 2 = 0 THEN 1.1::DOUBLE ELSE 0.8::DOUBLE END * 100 + 0.5::DOUBLE) / 100 ELSE x END AS x, p, CASE WHEN k % 11 = 0 THEN 0 ELSE amount END AS amount, CASE board WHEN '830' THEN 0.3::DOUBLE WHEN '688' THEN 0.2::DOUBLE WHEN '300' THEN 0.2::DOUBLE ELSE CASE WHEN code % 4 = 0 THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END END AS r FROM b),
+      l AS (SELECT *, x IS NOT NULL AND p IS NOT NULL AND amount <> 0 AND x > 0 AS live, floor(p * (1 + r) * 100 + 0.5::DOUBLE) / 100 AS lu, floor(p * (1 - r) * 100 + 0.5::DOUBLE) / 100 AS ld FROM q)
+      SELECT date, count(*) FILTER (live AND x > p) AS up, count(*) FILTER (live AND x < p) AS down, count(*) FILTER (live AND x = p) AS flat, count(*) FILTER (live AND abs(x - lu) <= round(abs(p * (1 + r) - lu), 10)) AS limit_up, count(*) FILTER (live AND abs(x - ld) <= round(abs(p * (1 - r) - ld), 10)) AS limit_down, round(sum(amount) / 1e8, 6) AS total_amount FROM l GROUP BY 1""",
     "b16_invalidations": f"WITH {tables.ADVICE_SQL}, s AS (SELECT *, CASE WHEN action IN ('buy', 'add') THEN 1 ELSE -1 END AS side FROM advice WHERE action IN ('buy', 'add', 'sell', 'reduce')) SELECT id, side, (SELECT min(o.ts) FROM s o WHERE o.code = s.code AND o.side = -s.side AND (o.ts > s.ts OR o.ts = s.ts AND o.id > s.id)) AS invalidated_at FROM s",
     "j7_as_of": f"WITH {_FX} SELECT o.id, o.code, o.date, round(amount, 6) AS amount, f.date AS asof_date, round(f.rate, 6) AS asof_rate FROM ob o ASOF LEFT JOIN fx f ON o.code = f.code AND o.date >= f.date",
     "j8_strictly_before": f"WITH {_FX} SELECT o.id, o.code, o.date, round(amount, 6) AS amount, round(f.rate, 6) AS asof_rate FROM ob o ASOF LEFT JOIN fx f ON o.code = f.code AND o.date > f.date",

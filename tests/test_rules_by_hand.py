@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import with_percentiles
+from quantloom.operators import backtest as bt
 from quantloom.operators import indicators as ind
 from quantloom.operators import research as rs
 from quantloom.operators import screening as scr
+from quantloom.operators import sentiment as sm
 
 
 def _day(i):
@@ -121,3 +123,25 @@ def test_theme_heat_falls_back(spark):
     assert heat(frame("industry_change_pct double, industry_rank double", (2.0, 3.0), (None, None), (1.0, 40.0))) == [69, 50, 56]
     assert heat(frame("x int", (1,))) == [50]
     assert heat(frame("board_heat_score double, board_heat_trend_score double, board_heat_observations int", (90.0, 20.0, 2), (90.0, 20.0, 1), (50.0, -30.0, 5))) == [94, 89, 38]
+
+
+def _weights(spark, *buckets):
+    rows = [(skill, h, status, hit) for skill, h, hits, misses, seen, unable in buckets for status, hit, n in (("evaluated", True, hits), ("evaluated", False, misses), ("observational", None, seen), ("unable", None, unable)) for _ in range(n)]
+    return {r["skill"]: r["weight"] for r in bt.skill_weights(spark.createDataFrame(rows, "skill string, horizon string, status string, hit boolean")).collect()}
+
+
+def test_skill_weights(spark):
+    """30 of 30 hits with 15 and 15 before make 45 of 60: a score of 0.5. A quarter unable costs a sixteenth."""
+    got = _weights(spark, ("few", "1d", 29, 0, 0, 0), ("sure", "1d", 30, 0, 0, 0), ("torn", "1d", 30, 0, 0, 10), ("two", "1d", 30, 0, 0, 0), ("two", "5d", 0, 60, 0, 0), ("two", "9d", 9, 0, 5, 5), ("bad", "1d", 0, 3000, 0, 0))
+    two = (0.5 * 0.5 + (2 * 15 / 90 - 1) * 60 / 90) / (0.5 + 60 / 90)
+    assert got == {"few": 1.0, "sure": pytest.approx(1.2**0.5), "torn": pytest.approx(1.2 ** (0.5 - 0.25 * 0.25)), "two": pytest.approx(1.2**two), "bad": pytest.approx(1.2 ** (2 * 15 / 3030 - 1))}
+
+
+def test_market_breadth_by_boards(spark):
+    quotes = [
+        ("600001", "A", 11.0, 10.0, 5e8), ("600002", "*st B", 10.5, 10.0, 1.0), ("600003", "*ST C", 11.0, 10.0, 1.0), ("688001", "D", 12.0, 10.0, 1.0), ("300001", "ST E", 8.0, 10.0, 1.0), ("830001", "F", 13.0, 10.0, 1.0), ("900901", "G", 9.0, 10.0, 1.0),
+        ("600004", None, 10.0, 10.0, None), ("600005", "H", 11.0, 10.0, 0.0), ("600006", "I", None, 10.0, 1.0), ("600007", "J", 0.0, 10.0, 1.0), ("600008", "K", 3.66, 3.33, 1.0), ("600009", "L", 3.67, 3.33, 1.0),
+    ]
+    (r,) = sm.market_breadth(spark.createDataFrame(quotes, "code string, name string, close double, prev_close double, amount double")).collect()
+    # At the limit up: 600001, 600002, 688001, 830001, 600008 (3.663 is 3.66); down: 300001, 900901.
+    assert (r["up"], r["down"], r["flat"], r["limit_up"], r["limit_down"]) == (7, 2, 1, 5, 2) and r["total_amount"] == pytest.approx(5.0000001)
