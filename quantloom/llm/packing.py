@@ -181,6 +181,17 @@ def placements(bins: Bins) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
+def in_rank_blocks(places: list[tuple[int, int, int, int, int, int]]) -> tuple[dict[int, int], list[tuple]]:
+    """A block width for each length, and the placements by (length, block of ranks): so that few placements share a
+    block, and a placement lies in few blocks. There are at most twice as many rows as placements, and one a length."""
+    ranks, kinds = defaultdict(int), defaultdict(int)
+    for length, _, n, *_ in places:
+        ranks[length] += n
+        kinds[length] += 1
+    width = {a: max(1, 2 * ranks[a] // kinds[a]) for a in ranks}
+    return width, [(p[0], block, *p[1:]) for p in places for block in range(p[1] // width[p[0]], (p[1] + p[2] - 1) // width[p[0]] + 1)]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Ids of each whole text and an end id, cut only if longer than the capacity: then into pieces of
     the capacity, and the first piece is what is over. One row per piece; no shuffle."""
@@ -224,9 +235,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024,
     before = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     in_bucket = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = pieces.withColumn("rank", in_bucket - 1).join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
-    plan = spark.createDataFrame(places, "p_length long, p_rank long, p_n long, p_sequence long, p_copies long, p_offset long")
+    width, blocks = in_rank_blocks(places)
+    plan = spark.createDataFrame(blocks, "length long, block long, p_rank long, p_n long, p_sequence long, p_copies long, p_offset long")
+    widths = spark.createDataFrame(list(width.items()), "length long, width long")
     at = F.col("rank") - F.col("p_rank")
     # The plan's size is bounded by the capacity, so it may be broadcast.
-    out = ranked.join(F.broadcast(plan), (F.col("length") == F.col("p_length")) & (at >= 0) & (at < F.col("p_n")))
+    ranked = ranked.join(F.broadcast(widths), "length").withColumn("block", F.floor(F.col("rank") / F.col("width")))
+    out = ranked.join(F.broadcast(plan), ["length", "block"]).where((at >= 0) & (at < F.col("p_n")))
     out = out.withColumns({"sequence_id": F.col("p_sequence") + F.floor(at / F.col("p_copies")), "offset": F.col("p_offset") + F.pmod(at, F.col("p_copies")) * F.col("length")})
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset")

@@ -214,3 +214,17 @@ def test_grouping_rounds_up_within_groups_of_equal_size():
     assert groups == {100: [(100, 2), (100, 1), (90, 1)], 90: [(90, 1), (80, 1)], 80: [(80, 2), (80, 1), (10, 1)]}
     plan = packing.configurations({100: [(100, 3)], 60: [(60, 2)], 40: [(40, 2)]}, 100)
     assert sorted((n, sorted(u.items())) for n, u in plan) == [(2, [(40, 1), (60, 1)]), (3, [(100, 1)])]
+
+
+def test_every_rank_lies_in_one_placement_of_its_block():
+    r = np.random.default_rng(2)
+    lengths = {int(a): int(n) for a, n in zip(r.choice(1024, 300, replace=False) + 1, r.integers(1, 400, 300), strict=True)} | {1024: 5000}
+    places = packing.placements(packing.plan_bins(lengths, 1024))
+    width, rows = packing.in_rank_blocks(places)
+    assert len(rows) <= 2 * len(places) + len(lengths)
+    by: dict[tuple, list] = {}
+    for length, block, first, n, *_ in rows:
+        by.setdefault((length, block), []).append((first, n))
+    for length, n in lengths.items():
+        for rank in range(n):
+            assert sum(first <= rank < first + k for first, k in by[length, rank // width[length]]) == 1
