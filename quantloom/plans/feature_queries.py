@@ -74,7 +74,7 @@ def m15_published(s: SparkSession, d: str) -> DataFrame:
     path = shared_folder(s, "features")
     for _ in range(2):
         fs.publish(f, decided, AT, path)
-    return s.read.schema("entity long, date date, value decimal(18,2), quality string, available_at timestamp, revision int, instance string").parquet(path).select("instance", "entity", "date", "value", "revision")
+    return s.read.schema("entity long, date date, value decimal(18,2), quality string, available_at timestamp, revision int, instance string").parquet(path).select("instance", "entity", "date", c("value").cast("double").alias("value"), "revision")
 
 
 _TEXT = lambda names: " || ',' || ".join(f"coalesce(CAST(length(CAST({n} AS VARCHAR)) AS VARCHAR) || ':' || CAST({n} AS VARCHAR), '~')" for n in sorted(names))
@@ -101,7 +101,7 @@ held AS (SELECT instance FROM checked WHERE p IS NOT NULL UNION SELECT consumer
 decided AS (SELECT k.instance, n_rows, n_warmup, content_hash, coalesce(p, CASE WHEN h.instance IS NOT NULL THEN 'dependency' END) AS problem, CASE WHEN h.instance IS NOT NULL THEN 'held' WHEN old IS NULL THEN 'new' WHEN corr THEN 'correction' ELSE 'kept' END AS action, old FROM checked k LEFT JOIN held h USING (instance)),
 final AS (SELECT * EXCLUDE (old), CASE WHEN action = 'new' THEN 1 WHEN action = 'correction' THEN 2 WHEN old IS NOT NULL THEN 1 END AS revision FROM decided)"""
 M15_SQL = f"WITH RECURSIVE {FEATURES_SQL} SELECT * FROM final"
-M15_ROWS_SQL = f"WITH RECURSIVE {FEATURES_SQL} SELECT instance, entity, date, value, revision FROM o JOIN final USING (instance) WHERE action IN ('new', 'correction')"
+M15_ROWS_SQL = f"WITH RECURSIVE {FEATURES_SQL} SELECT instance, entity, date, CAST(value AS DOUBLE) AS value, revision FROM o JOIN final USING (instance) WHERE action IN ('new', 'correction')"
 
 
 def s14_upsert(s: SparkSession, d: str) -> DataFrame:
