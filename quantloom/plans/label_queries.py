@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.operators import labels as lb
+from quantloom.operators import names as nm
 from quantloom.sources import tables
 
 c = F.col
@@ -70,5 +71,14 @@ def j18_fan_out(s: SparkSession, d: str) -> DataFrame:
 
 J18_SQL = "SELECT DISTINCT o_orderpriority, b.c_nationkey AS nation, b.c_custkey FROM orders JOIN customer a ON o_custkey = a.c_custkey JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE o_totalprice > 450000"
 
-QUERIES = {"j2_merge": j2_merge, "j13_best_board": j13_best_board, "j18_fan_out": j18_fan_out}
+def f20_resolve_names(s: SparkSession, d: str) -> DataFrame:
+    """Names of parts with a letter left out or another in its place, and what they resolve to."""
+    part = t(s, d, "part").select("p_name", "p_partkey")
+    place = (c("p_partkey") % F.char_length("p_name") + 1).cast("int")
+    slip = F.when(c("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.concat(F.substring(c("p_name"), F.lit(1), place - 1), F.when(c("p_partkey") % 3 == 1, "q").otherwise(""), F.substring(c("p_name"), place + 1, F.char_length("p_name"))))
+    out = nm.resolve(part.select(slip.alias("piece")), part.select(c("p_name").alias("name")))
+    return out.withColumn("matches", F.array_join("matches", ","))
+
+
+QUERIES = {"f20_resolve_names": f20_resolve_names, "j2_merge": j2_merge, "j13_best_board": j13_best_board, "j18_fan_out": j18_fan_out}
 ORACLES = {"j2_merge": J2_SQL, "j13_best_board": J13_SQL, "j18_fan_out": J18_SQL}
