@@ -70,7 +70,7 @@ BUY, SELL = ("buy", "b", "买", "买入", "证券买入", "普通买入"), ("sel
 FALLBACK = "gb18030"
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_DATES = ("y-M-d[ H:m[:s]]", "y/M/d[ H:m[:s]]", "yyyyMMdd[ H:m[:s]]", "y-M-d'T'H:m[:s]")
+_DAY = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?$"
 
 
 def number(x: Column) -> Column:
@@ -82,8 +82,8 @@ def number(x: Column) -> Column:
 
 def day(x: Column) -> Column:
     """The date of a text in one of the usual forms, with or without a time; else null."""
-    text = F.trim(x.cast("string"))
-    return F.to_date(F.coalesce(*[F.try_to_timestamp(text, F.lit(form)) for form in _DATES]))
+    text = F.regexp_replace(F.translate(F.trim(x.cast("string")), "/", "-"), r"^(\d{4})(\d{2})(\d{2})(?!\d)", "$1-$2-$3")
+    return F.when(text.rlike(_DAY), text.try_cast("date"))
 
 
 def find_column(df: DataFrame, names: Sequence[str], loose: bool = False) -> str | None:
