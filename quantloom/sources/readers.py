@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quantloom.functions.columns import ladder
+from quantloom.sources.scratch import written
 
 c = F.col
 #: Names a bar's columns go by, in order of preference; columns that are numbers.
@@ -66,6 +67,8 @@ BROKER_FIRST = {
 }
 FEES, TAXES = ("手续费", "佣金", "交易费", "规费", "过户费"), ("印花税", "税费", "其他税费")
 BUY, SELL = ("buy", "b", "买", "买入", "证券买入", "普通买入"), ("sell", "s", "卖", "卖出", "证券卖出", "普通卖出")
+#: All spellings of nan, so that values need not be put in small letters.
+NAN = ("nan", "naN", "nAn", "nAN", "Nan", "NaN", "NAn", "NAN")
 #: Fixed value: the encoding of brokers' files that are not UTF-8.
 FALLBACK = "gb18030"
 
@@ -96,6 +99,12 @@ def _quoted(name: str) -> Column:
     return c("`" + name.replace("`", "``") + "`")
 
 
+def _once(row: Column) -> Column:
+    """The fields of a struct as columns that are computed once a row: a condition on plain columns is moved
+    ahead of them, with all of their expressions in place of each mention."""
+    return F.inline(F.array(row))
+
+
 def clean_bars(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bars with dates and numbers, and the rows that aren't: the original columns and `problem`.
 
@@ -143,7 +152,7 @@ def provider_snapshot(df: DataFrame, source: str) -> DataFrame:
 def _first_value(df: DataFrame, names: Sequence[str]) -> Column:
     """The first of the columns that says something in this row."""
     text = lambda x: F.trim(_quoted(x).cast("string"))
-    values = [F.when(~F.lower(text(x)).isin("", "nan"), text(x)) for x in names if x in df.columns]
+    values = [F.when(~text(x).isin("", *NAN), text(x)) for x in names if x in df.columns]
     return F.coalesce(*values) if values else F.lit(None).cast("string")
 
 
@@ -164,17 +173,19 @@ def broker_trades(df: DataFrame, broker: str, file: str = "file") -> tuple[DataF
     value = {x: _first_value(df, names[x]) for x in names}
     amount = lambda x: number(F.replace(x, F.lit(","), F.lit("")))
     total = lambda columns: sum((F.coalesce(amount(_first_value(df, [x])), F.lit(0.0)) for x in columns), F.lit(0.0))
-    told = df.select(F.struct(*[_quoted(x) for x in df.columns]).alias("_row"), (c(file) if file in df.columns else F.lit("")).alias("_file"),
-        day(value["trade_date"]).alias("trade_date"), F.upper(value["symbol"]).alias("symbol"), _side(value["side"]).alias("side"), amount(value["quantity"]).alias("quantity"), amount(value["price"]).alias("price"),
-        total(FEES).alias("fee"), total(TAXES).alias("tax"), value["trade_uid"].alias("trade_uid"), F.upper(value["currency"]).alias("currency"))
+    texts = [x.alias(name) for name, x in value.items()]
+    told = df.select(F.struct(*[_quoted(x).alias(f"_{i}") for i, x in enumerate(df.columns)]).alias("_row"), (c(file) if file in df.columns else F.lit("")).alias("_file"), *texts, total(FEES).alias("fee"), total(TAXES).alias("tax"))
+    told = told.select("_row", "_file", day(c("trade_date")).alias("trade_date"), F.upper("symbol").alias("symbol"), _side(c("side")).alias("side"), amount(c("quantity")).alias("quantity"), amount(c("price")).alias("price"), "fee", "tax", "trade_uid", F.upper("currency").alias("currency"))
     lacks = [(c(x).isNull(), x) for x in ("trade_date", "symbol", "side")] + [(~F.coalesce(c(x) > 0, F.lit(False)), x) for x in ("quantity", "price")]
     told = told.withColumn("problem", ladder(*lacks))
+    # Both results come from one reading, which is written with the original columns of the bad rows alone.
+    told = written(told.withColumn("_row", F.when(c("problem").isNotNull(), c("_row"))), "trades")
     kept = ["trade_date", "symbol", "side", "quantity", "price", "fee", "tax", "trade_uid", "currency"]
     good = told.where("problem IS NULL").groupBy("_file", *kept).agg(F.count(F.lit(1)).alias("_n"))
     good = good.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
     money = [F.format_string("%.8f", c(x)) for x in ("quantity", "price", "fee", "tax")]
     payload = F.concat_ws("|", c("trade_date").cast("string"), "symbol", "side", *money, F.coalesce("trade_uid", F.lit("")), F.coalesce("currency", F.lit("")), c("copy").cast("string"))
-    return good.select(*kept, c("_file").alias("file"), "copy", F.sha2(payload, 256).alias("dedup_hash")), told.where("problem IS NOT NULL").select("_row.*", "problem")
+    return good.select(*kept, c("_file").alias("file"), "copy", F.sha2(payload, 256).alias("dedup_hash")), told.where("problem IS NOT NULL").select(*[c(f"_row._{i}").alias(x) for i, x in enumerate(df.columns)], "problem")
 
 
 @F.pandas_udf(StringType())
@@ -194,13 +205,20 @@ def read_broker_files(spark: SparkSession, path: str) -> DataFrame:
     top = lines.where(c("at") == 0).first()
     if top is None:
         return lines.select("file")
-    told = lines.join(lines.groupBy("file").agg(F.min("valid").alias("whole")), "file")
-    utf = F.regexp_replace(c("line").cast("string"), "^\ufeff", "")
-    rows = told.where("whole").select("file", utf.alias("text")).unionByName(told.where(~c("whole")).select("file", _decoded("line").alias("text")))
-
     head = bytes(top.line).decode("utf-8-sig" if top.valid else FALLBACK)
     names: list[str] = []
     for name in next(csv.reader([head])):
         names.append(name.strip() if name.strip() and name.strip() not in names else f"{name.strip()}_{len(names)}")
+    utf = F.regexp_replace(c("line").cast("string"), "^\ufeff", "")
+    rows = lines.select("file", utf.alias("text"))
+    commas = F.octet_length("line") - F.octet_length(F.replace(c("line").cast("string"), F.lit(","), F.lit("")))
+    files = written(lines.groupBy("file").agg(F.min("valid").alias("whole"), F.max(commas).alias("commas")), "files")
+    widest = files.agg(F.max("commas")).first()[0]
+    foreign = files.where(~c("whole")).select("file")
+    if not foreign.isEmpty():  # lines are decoded after the join alone
+        other = lines.join(F.broadcast(foreign), "file", "left_semi").select("file", _once(F.struct(_decoded("line").alias("text"))))
+        rows = lines.join(F.broadcast(foreign), "file", "left_anti").select("file", utf.alias("text")).unionByName(other)
     body = rows.where((c("text") != head) & (F.trim("text") != ""))
-    return body.select("file", F.from_csv("text", ", ".join(f"`{x}` STRING" for x in names), {"escape": '"'}).alias("_r")).select("_r.*", "file")
+    # A parser sets up room for all columns at each line, so it is told how many there can be.
+    options = {"escape": '"', "maxColumns": str(max(widest, len(names)) + 2)}
+    return body.select("file", _once(F.from_csv("text", ", ".join(f"`{x}` STRING" for x in names), options))).select(*[_quoted(x) for x in names], "file")

@@ -62,3 +62,16 @@ def test_brokers_prefer_their_own_columns(spark):
     assert got("huatai") == [("2024-02-02", 3.0), ("2024-02-02", 3.0)]
     assert got("citic") == [("2024-01-01", 4.0), ("2024-02-02", 3.0)]
     assert rd.broker_trades(df.limit(0), "cmb")[0].agg(F.count("*")).first()[0] == 0
+
+
+def test_broker_lines_are_read_once(spark):
+    """A condition on parsed columns parses a line once; trades and bad rows come from one reading; wide lines stay."""
+    folder = tempfile.mkdtemp(prefix="broker-")
+    with open(os.path.join(folder, "0.csv"), "w") as f:
+        f.write(HEAD + "\n".join([*LINES, LINES[2] + "," * 600]) + "\n")
+    raw = rd.read_broker_files(spark, folder)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(raw.where("`成交数量` > 0 AND `成交均价` > 0")).count("from_csv(") == 1
+    good, bad = rd.broker_trades(raw, "huatai")
+    assert "from_csv(" not in plan(good) and "from_csv(" not in plan(bad)
+    assert good.count() == 4 and bad.columns == [*raw.columns, "problem"]
