@@ -23,11 +23,19 @@ def in_blocks(df: DataFrame, keys: list[str], order: list[str], rows: int = 200_
     A table is written, so that a row's block stays the same whatever is computed again. Of a boundary
     between two blocks at most one key has rows on both sides.
     """
+    return split_blocks(df, keys, order, rows)[0]
+
+
+def split_blocks(df: DataFrame, keys: list[str], order: list[str], rows: int = 200_000) -> tuple[DataFrame, bool]:
+    """The rows in blocks, and whether a key may have several. Where no key has more than `rows` rows, keys stay
+    whole: they are dealt out once, about `rows` rows to a task, and what follows by key needs no other shuffle."""
     once = written(df, "blocks")
     n = once.count()
     if n <= rows:
-        return once.withColumn("__block", F.lit(0))
-    return written(once.repartitionByRange(-(-n // rows), *keys, *order).withColumn("__block", F.spark_partition_id()), "blocks")
+        return once.withColumn("__block", F.lit(0)), False
+    if once.groupBy(*keys).count().agg(F.max("count")).first()[0] <= rows:
+        return once.repartition(-(-n // rows), *keys).withColumn("__block", F.lit(0)), False
+    return written(once.repartitionByRange(-(-n // rows), *keys, *order).withColumn("__block", F.spark_partition_id()), "blocks"), True
 
 
 def block_window(keys: list[str], order: list[str]) -> Window:
@@ -69,7 +77,8 @@ def affine(df: DataFrame, keys: list[str], order: list[str], factor: str, added:
     place = [*keys, *([block] if block else [])]
     part = max((x for x in df.columns if x.startswith("__chunk")), default="__chunk", key=len) + "_"  # chunks of chunks have another name
     number = F.row_number().over(Window.partitionBy(*place).orderBy(*order)) - 1
-    held = [x for x in df.columns if x not in place]
+    ordered = [x for x in order if x not in place]
+    held = [x for x in df.columns if x not in place and x not in ordered]
     step = F.struct(*order, c(factor).cast("double").alias("__times"), c(added).cast("double").alias("__plus"), F.struct(*held).alias("__row"))
     chunks = df.withColumn(part, F.floor(number / chunk)).groupBy(*place, part).agg(F.array_sort(F.collect_list(step)).alias("__steps"))
     start = F.struct(F.lit(1.0).alias("f"), F.lit(0.0).alias("a"), F.array().cast("array<struct<f:double,a:double>>").alias("out"))
@@ -84,4 +93,4 @@ def affine(df: DataFrame, keys: list[str], order: list[str], factor: str, added:
         chunks = chunks.withColumn("__head", F.lit(0.0))
     out = chunks.select(*place, "__head", F.inline(F.arrays_zip(c("__steps").alias("step"), c("__fold.out").alias("at"))))
     out = out.withColumn(before, c("at.f") * c("__head") + c("at.a")).withColumn(after, c("step.__times") * c(before) + c("step.__plus"))
-    return out.select(*place, "step.__row.*", before, after).select(*df.columns, before, after)
+    return out.select(*place, *[f"step.{x}" for x in ordered], "step.__row.*", before, after).select(*df.columns, before, after)

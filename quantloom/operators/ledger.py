@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import ladder
-from quantloom.functions.scans import affine, before_blocks, block_window, in_blocks
+from quantloom.functions.scans import affine, before_blocks, block_window, split_blocks
 from quantloom.sources.scratch import written
 
 c = F.col
@@ -65,25 +65,29 @@ def ledger_events(trades: DataFrame, actions: DataFrame) -> DataFrame:
 
 def position_states(events: DataFrame, rows: int = 200_000) -> DataFrame:
     """Each event with `before` and `held`, the quantity before and after it, in units of its day; `bought`
-    and `sold`, running sums in units before all splits; and `spent`, the running cost of all purchases.
+    and `sold`, running sums in units before all splits; and `spent`, the running cost of all purchases. `__last`
+    marks the last event of a position in its block.
 
     A sale of more than is held has the problem oversell. Sums of many rows are allowed a millionth of a
     millionth, beside EPSILON.
     """
-    blocks = in_blocks(events, KEY, ORDER, rows)
+    blocks, several = split_blocks(events, KEY, ORDER, rows)
     w = block_window(KEY, ORDER)
-    local = blocks.withColumn("f", F.product("ratio").over(w))
+    local = blocks.withColumns({"f": F.product("ratio").over(w), "__last": F.lead("priority").over(Window.partitionBy(*KEY, "__block").orderBy(*ORDER)).isNull()})
     buys, sells = c("kind") == "buy", c("kind") == "sell"
     unit = c("quantity") / c("f")
     sums = {"x": F.when(buys, unit).otherwise(0.0), "y": F.when(sells, unit).otherwise(0.0), "k": F.when(buys, c("gross") + c("fee") + c("tax")).otherwise(0.0)}
     local = local.withColumns({name: F.sum(x).over(w) for name, x in sums.items()})
-    ends = local.groupBy(*KEY, "__block").agg(*[F.max_by(x, F.struct(*ORDER)).alias(x) for x in ("f", "x", "y", "k")])
-    heads = before_blocks(
-        ends, KEY, {"f0": F.lit(1.0), "x0": F.lit(0.0), "y0": F.lit(0.0), "k0": F.lit(0.0)},
-        {"f0": lambda now, b: now["f0"] * b["f"], "x0": lambda now, b: now["x0"] + b["x"] / now["f0"], "y0": lambda now, b: now["y0"] + b["y"] / now["f0"], "k0": lambda now, b: now["k0"] + b["k"]},
-    )
-    # Fewer than two rows for each block.
-    joined = local.join(F.broadcast(heads), [*KEY, "__block"], "left")
+    if several:
+        ends = local.where("__last").select(*KEY, "__block", "f", "x", "y", "k")
+        heads = before_blocks(
+            ends, KEY, {"f0": F.lit(1.0), "x0": F.lit(0.0), "y0": F.lit(0.0), "k0": F.lit(0.0)},
+            {"f0": lambda now, b: now["f0"] * b["f"], "x0": lambda now, b: now["x0"] + b["x"] / now["f0"], "y0": lambda now, b: now["y0"] + b["y"] / now["f0"], "k0": lambda now, b: now["k0"] + b["k"]},
+        )
+        # Fewer than two rows for each block.
+        joined = local.join(F.broadcast(heads), [*KEY, "__block"], "left")
+    else:
+        joined = local.withColumns({x: F.lit(None).cast("double") for x in ("f0", "x0", "y0", "k0")})
     at = lambda name, none: F.coalesce(c(name), F.lit(none))
     out = joined.withColumns({"bought": at("x0", 0.0) + c("x") / at("f0", 1.0), "sold": at("y0", 0.0) + c("y") / at("f0", 1.0), "spent": at("k0", 0.0) + c("k"), "factor": at("f0", 1.0) * c("f")})
     slack = EPSILON + 1e-12 * c("bought") * c("factor")
@@ -92,7 +96,7 @@ def position_states(events: DataFrame, rows: int = 200_000) -> DataFrame:
     before = F.when(buys, c("held") - c("quantity")).when(sells, c("raw") + c("quantity")).otherwise(c("raw") / c("ratio"))
     out = out.withColumn("before", F.when(F.abs(before) <= slack, 0.0).otherwise(before))
     problem = F.when(sells & (c("raw") < -slack), F.lit("oversell"))
-    return out.withColumn("problem", F.coalesce("problem", problem)).select(*events.columns, "__block", "before", "held", "bought", "sold", "spent", "factor")
+    return out.withColumn("problem", F.coalesce("problem", problem)).select(*events.columns, "__block", "before", "held", "bought", "sold", "spent", "factor", "__last")
 
 
 def fifo_costs(states: DataFrame, rows: int = 200_000) -> DataFrame:
@@ -106,13 +110,15 @@ def fifo_costs(states: DataFrame, rows: int = 200_000) -> DataFrame:
     ends = states.where("kind = 'sell'").select(*KEY, "id", F.explode(F.array(F.struct((c("sold") - unit).alias("place"), F.lit(-1).alias("sign")), F.struct(c("sold").alias("place"), F.lit(1).alias("sign")))).alias("e"))
     ends = ends.select(*KEY, "e.place", F.lit(0).alias("side"), "id", "e.sign", F.lit(None).cast(lots.schema["lot"].dataType).alias("lot"))
     order = ["place", "side", "id", "sign"]
-    blocks = in_blocks(lots.unionByName(ends), KEY, order, rows)
+    blocks, several = split_blocks(lots.unionByName(ends), KEY, order, rows)
     last = F.last("lot", ignorenulls=True).over(block_window(KEY, order))
     local = blocks.withColumn("last", last)
-    tails = local.groupBy(*KEY, "__block").agg(F.max_by("lot", F.when(c("lot").isNotNull(), F.struct(*order))).alias("lot"))
-    none = F.lit(None).cast(lots.schema["lot"].dataType)
-    heads = before_blocks(tails, KEY, {"head": none}, {"head": lambda now, b: F.coalesce(b["lot"], now["head"])})
-    found = local.where("side = 0").join(F.broadcast(heads), [*KEY, "__block"], "left").withColumn("last", F.coalesce("last", "head"))
+    found = local.where("side = 0")
+    if several:
+        tails = local.groupBy(*KEY, "__block").agg(F.max_by("lot", F.when(c("lot").isNotNull(), F.struct(*order))).alias("lot"))
+        none = F.lit(None).cast(lots.schema["lot"].dataType)
+        heads = before_blocks(tails, KEY, {"head": none}, {"head": lambda now, b: F.coalesce(b["lot"], now["head"])})
+        found = found.join(F.broadcast(heads), [*KEY, "__block"], "left").withColumn("last", F.coalesce("last", "head"))
     cost = F.coalesce(c("last.cost") + (c("place") - c("last.at")) * c("last.unit"), F.lit(0.0))
     return found.groupBy(*KEY, "id").agg(F.sum(c("sign") * cost).alias("basis"))
 
@@ -138,15 +144,16 @@ def replay(trades: DataFrame, actions: DataFrame, cash: DataFrame, method: str =
     if method not in ("fifo", "average"):
         raise ValueError(f"unknown cost method {method}")
     upto = (lambda df: df) if as_of is None else (lambda df: df.where(c("date") <= as_of))
-    states = written(position_states(ledger_events(upto(trades), upto(actions)), rows), "states")
+    states = position_states(ledger_events(upto(trades), upto(actions)), rows)
     if method == "average":
-        costs = average_costs(states)
+        states = costs = average_costs(states)  # written on the way
         sales = costs.where("kind = 'sell'").withColumn("basis", F.when(c("before") > 0, c("cost_before") * (c("quantity") / c("before"))).otherwise(0.0))
-        left = costs.groupBy(*KEY).agg(F.max_by("held", F.struct(*ORDER)).alias("quantity"), F.max_by("cost", F.struct(*ORDER)).alias("total_cost"))
+        left = costs.where("__last").groupBy(*KEY).agg(F.max_by("held", F.struct(*ORDER)).alias("quantity"), F.max_by("cost", F.struct(*ORDER)).alias("total_cost"))
     else:
+        states = written(states, "states")
         basis = fifo_costs(states, rows)
         sales = states.where("kind = 'sell'").join(basis, [*KEY, "id"])
-        spent = states.groupBy(*KEY).agg(F.max_by("held", F.struct(*ORDER)).alias("quantity"), F.max("spent").alias("spent"))
+        spent = states.where("__last").groupBy(*KEY).agg(F.max_by("held", F.struct(*ORDER)).alias("quantity"), F.max("spent").alias("spent"))
         left = spent.join(basis.groupBy(*KEY).agg(F.sum("basis").alias("gone")), KEY, "left").withColumn("total_cost", c("spent") - F.coalesce("gone", F.lit(0.0)))
     positions = left.where(c("quantity") > EPSILON).select(*KEY, "quantity", "total_cost", (c("total_cost") / c("quantity")).alias("avg_cost"))
     proceeds = c("gross") - c("fee") - c("tax")
@@ -157,9 +164,11 @@ def replay(trades: DataFrame, actions: DataFrame, cash: DataFrame, method: str =
     signed = F.when(c("direction") == "in", c("amount")).when(c("direction") == "out", -c("amount")).otherwise(0.0)
     flows = booked.select("account", "currency", "date", signed.alias("amount")).unionByName(states.select("account", "currency", "date", moved.alias("amount")))
     wrong = F.when(~F.coalesce(c("direction").isin("in", "out"), F.lit(False)), F.lit("unsupported_direction"))
-    told = states.select("account", *ORDER, "problem").unionByName(booked.select("account", *ORDER, wrong.alias("problem")))
-    first = F.min_by("problem", F.when(c("problem").isNotNull(), F.struct(*ORDER)))
-    accounts = told.groupBy("account").agg(F.coalesce(first, F.lit("ok")).alias("status"))
+    # Events without a problem tell only that there is such an account.
+    known = states.select("account").unionByName(booked.select("account")).distinct()
+    told = states.select("account", *ORDER, "problem").unionByName(booked.select("account", *ORDER, wrong.alias("problem"))).where("problem IS NOT NULL")
+    first = told.groupBy("account").agg(F.min_by("problem", F.struct(*ORDER)).alias("first")).withColumnRenamed("account", "_account")
+    accounts = known.join(first, known["account"].eqNullSafe(c("_account")), "left").select("account", F.coalesce("first", F.lit("ok")).alias("status"))
     return positions, sales, flows.groupBy("account", "currency").agg(F.sum("amount").alias("balance")), accounts
 
 

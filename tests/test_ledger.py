@@ -194,3 +194,14 @@ def test_affine_recurrence(spark, chunk):
         want[k, i] = (value[k], f * value[k] + a)
         value[k] = want[k, i][1]
     assert {(x["k"], x["i"]): (pytest.approx(x["before"]), pytest.approx(x["after"])) for x in got} == want
+
+
+@pytest.mark.parametrize("rows", [4, 1000])
+def test_whole_positions_are_dealt_out_once(spark, rows):
+    """Positions of few rows each need one shuffle, however many rows there are; results don't depend on it."""
+    trades, actions, _ = _tables(spark, [(a, i, _day(0), "S", "us", "USD", "sell" if i == 3 else "buy", float(i), 10.0, 0.0, 0.0) for a in range(6) for i in (1, 2, 3)])
+    states = ledger.position_states(ledger.ledger_events(trades, actions), rows)
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "BroadcastHashJoin" not in plan
+    assert sorted((r.account, r.id, r.held, r["__last"]) for r in states.collect()) == [(a, i, h, i == 3) for a in range(6) for i, h in ((1, 1.0), (2, 3.0), (3, 0.0))]
