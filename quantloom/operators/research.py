@@ -204,10 +204,16 @@ def resolve_aliases(requests: DataFrame, aliases: DataFrame) -> DataFrame:
     an alias is one whatever its dates.
     """
     fits = (c("valid_from") <= c("day")) & (c("valid_to").isNull() | (c("day") < c("valid_to"))) & (c("available_at") <= c("known_at")) & (c("state") != "REJECTED")
-    found = requests.join(aliases, "alias", "left").withColumn("fits", F.coalesce(fits, F.lit(False)))
-    out = found.groupBy("id").agg(F.max(F.coalesce(c("state") == "CONFLICT", F.lit(False))).alias("open"), F.count_distinct(F.when(c("fits"), c("entity"))).alias("entities"), F.min(F.when(c("fits"), c("entity"))).alias("entity"), F.max(c("fits") & c("active")).alias("live"))
-    status = ladder((c("open"), "CONFLICT"), (c("entities") == 0, "NOT_FOUND"), (c("entities") > 1, "AMBIGUOUS"), (~c("live"), "INACTIVE"), otherwise="RESOLVED")
-    return out.select("id", status.alias("status"), F.when(c("entities") == 1, c("entity")).alias("entity"))
+    # What is told depends on alias and days alone: requests alike in these meet the aliases once.
+    asked = ["alias", "day", "known_at"]
+    found = requests.select(*asked).distinct().join(aliases, "alias", "left").withColumn("fits", F.coalesce(fits, F.lit(False)))
+    entity = F.when(c("fits"), c("entity"))
+    told = found.groupBy(*asked).agg(F.max(F.coalesce(c("state") == "CONFLICT", F.lit(False))).alias("open"), F.min(entity).alias("least"), F.max(entity).alias("most"), F.max(c("fits") & c("active")).alias("live"))
+    told = told.withColumnsRenamed({x: f"_{x}" for x in asked})
+    same = c("alias").eqNullSafe(c("_alias")) & c("day").eqNullSafe(c("_day")) & c("known_at").eqNullSafe(c("_known_at"))
+    out = requests.join(told, same, "left").groupBy("id").agg(F.max("open").alias("open"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("live").alias("live"))
+    status = ladder((c("open"), "CONFLICT"), (c("least").isNull(), "NOT_FOUND"), (c("least") != c("most"), "AMBIGUOUS"), (~c("live"), "INACTIVE"), otherwise="RESOLVED")
+    return out.select("id", status.alias("status"), F.when(c("least") == c("most"), c("least")).alias("entity"))
 
 
 def coverage_flag(days: DataFrame, least: float = 0.998, most_share: float = 0.002, most: int = 10) -> DataFrame:

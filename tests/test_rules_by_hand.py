@@ -76,6 +76,17 @@ def test_conflicts_count_whatever_their_dates(spark):
     assert {r["id"]: r["status"] for r in rs.resolve_aliases(asked, aliases).collect()} == {1: "CONFLICT", 2: "INACTIVE", 3: "NOT_FOUND"}
 
 
+def test_requests_alike_meet_aliases_once(spark):
+    D = dt.date
+    asked = spark.createDataFrame([(i, "a", D(2024, 1, 1), D(2024, 1, 1)) for i in range(5)] + [(5, "a", None, None), (6, None, D(2024, 1, 1), None), (7, "a", D(2024, 1, 1), D(2024, 1, 1)), (7, "b", D(2024, 1, 1), D(2024, 1, 1))], "id long, alias string, day date, known_at date")
+    aliases = spark.createDataFrame([("a", "x", D(2020, 1, 1), None, D(2020, 1, 1), "VERIFIED", True), ("b", "y", D(2020, 1, 1), None, D(2020, 1, 1), "VERIFIED", True)], "alias string, entity string, valid_from date, valid_to date, available_at date, state string, active boolean")
+    out = rs.resolve_aliases(asked, aliases)
+    assert {r["id"]: (r["status"], r["entity"]) for r in out.collect()} == {**{i: ("RESOLVED", "x") for i in range(5)}, 5: ("NOT_FOUND", None), 6: ("NOT_FOUND", None), 7: ("AMBIGUOUS", None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [alias" in plan[plan.index("Join LeftOuter, (alias"):]
+
+
+
 def test_no_trade_score_before_twenty_rows_and_bullish_before_twenty_six(spark):
     rows = spark.createDataFrame([("x", _day(i), 100.0 - i) for i in range(30)], "code string, date date, close double")
     signals = [r["signal"] for r in ind.macd_signal(rows).orderBy("date").collect()]
