@@ -91,9 +91,11 @@ RESOLVE = {
 
 def last_of_each(mapping: DataFrame, code: str, order: Sequence[str]) -> DataFrame:
     """A mapping's last row of each stock code, by `order`; rows without a code go."""
-    keyed = mapping.withColumn(code, safe_code(c(code))).where(~c(code).isin("", NO_CODE))
-    rest = [x for x in keyed.columns if x != code]
-    return keyed.groupBy(code).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")).select(code, "_last.*")
+    rest, place = [x for x in mapping.columns if x != code], F.struct(*order)
+    spelt = mapping.groupBy(code).agg(F.max_by(F.struct(*rest), place).alias("_last"), F.max(place).alias("_place"))
+    # A code is put in its form once for each spelling, not for each row.
+    keyed = spelt.select(F.inline(F.array(F.struct(safe_code(c(code)).alias(code), "_last", "_place")))).where(~c(code).isin("", NO_CODE))
+    return keyed.groupBy(code).agg(F.max_by("_last", "_place").alias("_last")).select(code, "_last.*")
 
 
 def merge_mapping(snapshot: DataFrame, mapping: DataFrame, code: str = "code", resolvers: dict[str, str] | None = None) -> DataFrame:

@@ -43,3 +43,12 @@ def test_fan_out_meets_each_member_once(spark):
     left = spark.createDataFrame([("u", [1, 1, 2, None]), ("v", [9]), ("w", None)], "u string, members array<int>")
     right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "c")], "k int, q string")
     assert sorted((r.u, r.k, r.q) for r in lb.fan_out(left, "members", right, "k").collect()) == [("u", 1, "a"), ("u", 1, "b"), ("u", 2, "a")]
+
+
+def test_codes_are_put_in_form_by_spelling(spark):
+    """The last row over all spellings of a code, and no work on a code's text ahead of the first aggregate."""
+    mapping = spark.createDataFrame([("1", 1, "a"), ("000001", 3, "b"), ("1.0", 2, "c"), (None, 9, "d"), ("0", 9, "e"), ("2", 1, "f"), ("2", 4, None)], "code string, at int, x string")
+    last = lb.last_of_each(mapping, "code", ["at"])
+    assert sorted((r.code, r["at"], r.x) for r in last.collect()) == [("000001", 3, "b"), ("000002", 4, None)]
+    plan = last._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("regexp_replace") < plan.rindex("Aggregate")
