@@ -224,23 +224,30 @@ def _last_drawdown(bars_: str, n: int = 20) -> Column:
     return F.when((F.size(last) == n) & F.forall(last, lambda x: x.isNotNull()), fold)
 
 
-def daily_features(df: DataFrame) -> DataFrame:
+def daily_features(df: DataFrame, longest: int = 61) -> DataFrame:
     """The latest row of each instrument with the features that screening reads.
 
-    One scan and one exchange: every window has the same partition and order, and what needs more than a
-    frame (status of the moving averages, quality, consolidation, drawdown) is read off the instrument's bars
-    in the aggregate that picks its last row.
+    One scan and one exchange. What needs the whole history (quality, MACD, the first close) is told by the
+    aggregate that lists an instrument's bars; frames of the latest row reach back over `longest` rows at most,
+    so windows run over the list's end alone, where it is.
     """
-    out = df
-    for step in (volume_ratios, true_range, volatility, change_60d, simple_rsi, shape):
-        out = step(out)
-    # ma60 is null before 60 rows here; moving_averages() has the fallback.
-    out = out.withColumns({f"ma{n}": rolling(F.avg, c("close"), n) for n in (5, 60)})
-    listed = F.array_sort(F.collect_list(F.struct("date", "close", "high", "low"))).alias("__bars")
-    out = out.groupBy("code").agg(F.max_by(F.struct(*[x for x in out.columns if x != "code"]), "date").alias("__last"), listed, F.count("close").alias("daily_data_points"), *_quality_sums())
+    first = ["date", "close", "high", "low"]
+    listed = F.sort_array(F.collect_list(F.struct(*first, *[x for x in df.columns if x not in ("code", *first)]))).alias("__bars")
+    whole = df.groupBy("code").agg(listed, F.count("close").alias("daily_data_points"), *_quality_sums())
     closes = F.transform(F.filter("__bars", lambda b: b["close"].isNotNull()), lambda b: b["close"].cast("double"))
     score, flags = _quality()
-    out = out.withColumn("__closes", closes).select("code", "__last.*", "daily_data_points", _last_consolidation("__bars").alias("consolidation_days"), _last_drawdown("__bars").alias("max_drawdown_20d_pct"), _last_macd("__closes").alias("macd_status"), score, flags)
+    n = F.size("__bars")
+    before = F.coalesce(F.when(n > 60, F.get("__bars", n - 61)["close"]), F.get("__bars", F.lit(0))["close"])
+    whole = whole.withColumn("__closes", closes).select(
+        "code", F.slice("__bars", F.greatest(n - longest + 1, F.lit(1)), longest).alias("__end"),
+        F.struct("daily_data_points", _last_consolidation("__bars").alias("consolidation_days"), _last_drawdown("__bars").alias("max_drawdown_20d_pct"), _last_macd("__closes").alias("macd_status"), score, flags, before.alias("__before")).alias("__whole"))
+    out = whole.select("code", "__whole", F.size("__end").alias("__size"), F.posexplode("__end").alias("__at", "__bar"))
+    out = out.select("code", F.when(c("__at") == c("__size") - 1, c("__whole")).alias("__whole"), "__bar.*").select(*df.columns, "__whole")
+    for step in (volume_ratios, true_range, volatility, simple_rsi, shape):
+        out = step(out)
+    # ma60 is null before 60 rows here; moving_averages() has the fallback.
+    out = out.withColumns({f"ma{n}": rolling(F.avg, c("close"), n) for n in (5, 60)}).where("__whole is not null")
+    out = out.select(*[x for x in out.columns if x != "__whole"], "__whole.*").withColumn("change_60d", (c("close") / c("__before") - 1) * 100).drop("__before")
     known = lambda x: F.coalesce(x, F.lit(False))
     out = out.withColumns({"ma_bullish": known((c("ma5") >= c("ma20")) & (c("ma20") >= c("ma60"))), "price_above_ma20": known(c("close") >= c("ma20"))})
     return out.withColumn("signal_score", signal_score())
