@@ -59,6 +59,14 @@ def test_rows_without_price_are_left_out(spark, tmp_path):
     assert _told(queries.run_stream(alerts.alerts(stream, [alerts.LevelRule("r", 20.0)]), "append")) == [("r", 1, 10, 30.0)]
 
 
+def test_rules_share_a_targets_ticks(spark, tmp_path):
+    """Ticks aren't copied for each rule; rules of one name and severity share a cool-down, others don't."""
+    rules = [alerts.LevelRule("a", 20.0, cooldown_s=3600), alerts.LevelRule("a", 10.0, cooldown_s=60), alerts.LevelRule("b", 20.0, cooldown_s=0), alerts.LevelRule("b", 50.0, severity="info")]
+    out = alerts.alerts(_stream(spark, tmp_path, [(1, 0, 5.0), (1, 1, 15.0)], [(1, 30, 25.0), (1, 40, 5.0), (1, 50, 60.0)], END), rules)
+    assert "Generate" not in out._jdf.queryExecution().logical().toString()
+    assert _told(queries.run_stream(out, "append")) == [("a", 1, 1, 15.0), ("a", 1, 30, 25.0), ("b", 1, 30, 25.0), ("b", 1, 50, 60.0), ("b", 1, 50, 60.0)]
+
+
 def test_told_once(spark, tmp_path):
     stream = _stream(spark, tmp_path, [(1, 0, 1.0), (1, 0, 1.0), (None, 0, 1.0)], [(1, 0, 1.0), (1, 1, 1.0), (None, 0, 2.0)])
     got = queries.run_stream(alerts.told_once(stream.selectExpr("user_id", "ts", "ts as second"), ["user_id", "second"], "ts"), "append")
