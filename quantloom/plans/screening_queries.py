@@ -73,7 +73,7 @@ QUERIES = {
     "f13_concentration": lambda s, d: rounded(scr.concentration_penalty(_scored(s, d), "concepts").select("code", "concepts", "penalty", "final_score")),
     "f17_f19_board_heat": lambda s, d: rounded(tables.snapshot(s, d).groupBy("industry").agg(F.avg("change_pct").alias("change"), F.avg("code").alias("rank")).select("industry", scr.board_heat(c("change"), c("rank")).alias("heat"), scr.theme_phase(c("change")).alias("phase"))),
     "f20_name_match": lambda s, d: rounded(tables.table(s, d, "nation").select("n_nationkey", scr.char_jaccard(c("n_name"), F.lit("NATION_7")).alias("jaccard"))),
-    "r1_percentile_rank": lambda s, d: rounded(tables.daily_bars(s, d).select("code", "date", scr.percentile_score(c("close"), lower_is_better=False, missing=50, by=[c("date")]).alias("score"))),
+    "r1_percentile_rank": lambda s, d: rounded(tables.daily_bars(s, d, by="date").select("code", "date", scr.percentile_score(c("close"), lower_is_better=False, missing=50, by=[c("date")]).alias("score"))),
     "r5_seeded_rotation": lambda s, d: scr.seeded_rotation(_scored(s, d), "s1", "2024-01", "concepts", 6).select("code", "concepts", "place"),
 }
 
