@@ -48,9 +48,9 @@ def _features(s: SparkSession, d: str) -> DataFrame:
     return tall.select("instance", "entity", "date", "value", F.when(partial, "PARTIAL").otherwise("COMPLETE").alias("quality"), F.when(late, F.lit("2004-01-01")).otherwise(c("date").cast("string")).cast("timestamp").alias("available_at"))
 
 
-def _published(s: SparkSession, d: str) -> DataFrame:
+def _published(features: DataFrame) -> DataFrame:
     """What is published: other rows of high and parts, the same of orders and spread."""
-    f = _features(s, d).where(c("date").between(AT.date_from, AT.date_to)).where(c("instance").isin("high", "parts", "orders", "spread"))
+    f = features.where(c("date").between(AT.date_from, AT.date_to)).where(c("instance").isin("high", "parts", "orders", "spread"))
     other = c("instance").isin("high", "parts") & (c("date") == "1998-06-01")
     return sinks.content_hashes(f.withColumn("value", F.when(other, c("value") + 1).otherwise(c("value")).cast("decimal(18,2)")), ["instance"]).withColumn("revision", F.lit(1))
 
@@ -61,7 +61,7 @@ def _decided(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     months = s.range(1).select(F.explode(F.sequence(F.lit(AT.date_from).cast("date"), F.lit(AT.date_to).cast("date"), F.expr("INTERVAL 1 MONTH"))).alias("date"))
     edges = s.createDataFrame(EDGES, "dependency string, consumer string")
     corrected = s.createDataFrame([(x,) for x in CORRECTED], "instance string")
-    return f, fs.decide(fs.gate(f, nations, months, AT), edges, _published(s, d), corrected)
+    return f, fs.decide(fs.gate(f, nations, months, AT), edges, _published(f), corrected)
 
 
 def m15_decisions(s: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import percentile_score
 from quantloom.operators import indicators as ind
+from quantloom.plans import feature_queries
 from quantloom.sources import tables
 
 
@@ -41,3 +42,11 @@ def test_windows_of_daily_features_see_the_end_alone(spark):
     assert "posexplode" in _plan(out).split("Window")[-1]
     assert row["daily_data_points"] == 99 and row["date"].isoformat() == "2020-04-09"
     assert abs(row["change_60d"] - (149 / 50 - 1) * 100) < 1e-9 and row["ma60"] is not None and row["ma5"] == 147.0
+
+
+def test_features_are_made_once(spark, sf_dir, monkeypatch):
+    """What is published is told from the written features, not from a second pass over all lines."""
+    made, features = [], feature_queries._features
+    monkeypatch.setattr(feature_queries, "_features", lambda s, d: made.append(d) or features(s, d))
+    assert feature_queries.m15_published(spark, sf_dir).count() > 0
+    assert len(made) == 1
