@@ -8,6 +8,7 @@ import corpus_pipeline
 from quantloom.llm import common, jaccard_join
 from quantloom.llm.suffix_dedup import _shared_anchors
 from tests.llm.test_operators import SCHEMA, _odd_rows
+from tests.llm.test_passages import _words
 
 
 def _folders() -> set:
@@ -65,3 +66,18 @@ def test_shared_anchors_with_one_very_common_key(spark):
     plan = _shared_anchors(table, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1 and plan.count("LeftAnti") == 1
     assert _shared_anchors(table.where("key < 0")).count() == 0
+
+
+def test_components_are_joined_once_a_turn(spark, monkeypatch):
+    """Rows of large keys meet the components known so far in one join, not in one for each reader."""
+    texts = [(k, " ".join([*_words(k // 6, 60), f"x{k}"])) for k in range(36)]
+    plans, write = [], common.materialise
+
+    def watched(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(common, "materialise", watched)
+    settings = jaccard_join.JaccardSettings(frequent_share=0.0, very_share=0.0, least_frequent=2, least_very=3, few=2, pivots=1)
+    jaccard_join.jaccard_groups(spark.createDataFrame(texts, "doc_id long, text string"), settings).collect()
+    assert [p for name, p in plans if name == "open-keys"] and all(p.count("LeftOuter") == 0 for name, p in plans if name == "open-keys")
