@@ -77,8 +77,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_clears
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence of at most 1024 tokens and their offset in it."""
-    return pack(docs, queries.tokenizer(queries.BYTE_BPE), end_id=2, capacity=1024)
+    """Token pieces with their sequence of at most 1024 tokens and their offset in it. Executors are
+    full from the stages before, so the encoders are lean."""
+    return pack(docs, queries.tokenizer(queries.BYTE_BPE), end_id=2, capacity=1024, lean=True)
 
 
 STAGES = [

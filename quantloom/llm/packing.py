@@ -192,14 +192,14 @@ def in_rank_blocks(places: list[tuple[int, int, int, int, int, int]]) -> tuple[d
     return width, [(p[0], block, *p[1:]) for p in places for block in range(p[1] // width[p[0]], (p[1] + p[2] - 1) // width[p[0]] + 1)]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text", lean: bool = False) -> DataFrame:
     """Ids of each whole text and an end id, cut only if longer than the capacity: then into pieces of
     the capacity, and the first piece is what is over. One row per piece; no shuffle."""
     common.small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = chunk_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = chunk_encoder(tokenizer, True) if lean else chunk_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc, ids in zip(batch["doc_id"], encoder.encode(batch["text"].tolist()), strict=True):
@@ -214,17 +214,18 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, wi
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), common.empty_text(text_column).alias("text")).mapInPandas(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text", lean: bool = False) -> DataFrame:
     """Pieces of all documents with the sequence that holds each, and its offset there.
 
     Only the number of pieces of each length, at most `capacity` numbers, reaches the driver, which
     plans bins for lengths; the plan's size depends on the capacity, not on the documents. Pieces of
     one length get consecutive ranks from counts per (length, hash bucket), so no group of equal
     lengths meets in one task, and a rank's place follows from the plan. A null text is an end id
-    alone; repeated rows are packed each; an empty table gives no rows.
+    alone; repeated rows are packed each; an empty table gives no rows. With `lean` the encoders take
+    less memory and more time.
     """
     spark = docs.sparkSession
-    pieces = token_pieces(docs, tokenizer, end_id, capacity, with_ids, id_column, text_column)
+    pieces = token_pieces(docs, tokenizer, end_id, capacity, with_ids, id_column, text_column, lean)
     buckets = max(64, common.partitions(spark))
     pieces = common.materialise(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")), "pieces")
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))

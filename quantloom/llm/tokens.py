@@ -10,8 +10,12 @@ import re
 
 import numpy as np
 
+from quantloom.llm.shingles import slices
+
 #: Chunks a worker gathers, and their characters, before the older half of its memory is dropped.
 KEPT_CHUNKS, KEPT_CHARS = 450_000, 9_000_000
+#: For workers that share an executor with much else: chunks gathered, and characters encoded at once. Costs CPU time.
+LEAN_CHUNKS, LEAN_CHARS = 100_000, 1_000_000
 #: A space amid white space: only there a cut before the space could change the pre-tokens.
 UNSAFE = re.compile(r"\s \s")
 #: Marks that are cut off a word's end.
@@ -32,10 +36,12 @@ class ChunkCache:
     The byte-level pre-tokenizer never joins characters across a cut made before a space, unless
     white space stands on both sides of that space. So a text is cut before each space and each
     distinct chunk is encoded once per worker; texts with such a space, or with an added token
-    inside, are encoded whole. A subclass says how, in `_whole`.
+    inside, are encoded whole. A subclass says how, in `_whole`. A lean one keeps fewer chunks and
+    cuts up few texts at a time, but for a single long one; the ids are the same.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, lean: bool = False):
+        self.lean = lean
         with open(path, encoding="utf-8") as f:
             self.told = told = json.load(f)
         pre = told.get("pre_tokenizer") or {}
@@ -51,6 +57,9 @@ class ChunkCache:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit unsigned integers in the machine's order."""
+        return [x for a, b in slices(texts, LEAN_CHARS) for x in self._encode(texts[a:b])] if self.lean else self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if not self.cuts or UNSAFE.search(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
         whole = [i for i, x in enumerate(cut) if x is None]
         out: list[bytes] = [b""] * len(texts)
@@ -59,7 +68,7 @@ class ChunkCache:
         firsts = [i for i, x in enumerate(cut) if x is not None]
         for i, x in zip(firsts, self._whole([cut[i][0] for i in firsts]), strict=True):
             out[i] = x
-        if len(self.kept) > KEPT_CHUNKS or self.chars > KEPT_CHARS:
+        if len(self.kept) > (LEAN_CHUNKS if self.lean else KEPT_CHUNKS) or self.chars > KEPT_CHARS:
             self.older, self.kept, self.bare, self.chars = self.kept, {}, {}, 0
         known = [list(map(self.kept.get, cut[i][1:])) for i in firsts]
         gaps = [[k for k, x in enumerate(ids) if x is None] if None in ids else [] for ids in known]
@@ -118,8 +127,8 @@ class ChunkCache:
 class ChunkEncoder(ChunkCache):
     """With the tokenizers library."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, lean: bool = False):
+        super().__init__(path, lean)
         del self.told  # large, and the library has its own
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -155,9 +164,9 @@ class ChunkEncoder(ChunkCache):
 
 
 @functools.lru_cache(maxsize=4)
-def chunk_encoder(path: str) -> ChunkEncoder:
+def chunk_encoder(path: str, lean: bool = False) -> ChunkEncoder:
     """One encoder for each file and Python worker; workers outlive tasks."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, lean)
 
 
 def vocabulary_size(path: str) -> int:
